@@ -1,0 +1,160 @@
+"""Table profiling: shape, per-column non-null counts and types, numeric summary.
+
+``describe_numeric`` matches ``DataFrame.describe()`` of pandas: non-null count,
+mean, sample standard deviation, min, linearly interpolated 25/50/75 %
+percentiles and max, one row per numeric column.
+
+Exact percentiles are found by a distributed selection instead of Spark's
+``percentile`` aggregate, whose final merge holds every distinct value of a
+column in one task:
+
+1. count rows per (column, distinct value) - partial aggregation folds a hot
+   value into one row per task, so one value holding a third of the table is
+   one row afterwards;
+2. range-partition those (column, value, count) rows and checkpoint them, which
+   fixes each row's partition id;
+3. per (column, partition) total -> running offsets over the few
+   (column, partition) rows -> per-row cumulative ranks by a window inside each
+   partition;
+4. join the wanted ranks (two per percentile per column, a bounded table) and
+   interpolate.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tally.session import ensure_checkpoint_dir
+
+NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+           T.DecimalType)
+DESCRIBE_PROBS = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """One row per column: name, position, type, non-null count, table rows and columns.
+
+    One aggregate pass computes every count.
+    """
+    fields = df.schema.fields
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"),
+                    *[F.count(F.col(f"`{f.name}`")).alias(f"_c{i}") for i, f in enumerate(fields)])
+    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"),
+                     F.lit(f.dataType.simpleString()).alias("data_type"),
+                     F.col(f"_c{i}").alias("non_null")) for i, f in enumerate(fields)]
+    return counts.select(F.explode(F.array(*rows)).alias("r"), "_rows").select(
+        "r.*", F.col("_rows").alias("n_rows"), F.lit(len(fields)).cast("bigint").alias("n_columns"))
+
+
+def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value) for every non-null, non-NaN numeric cell."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"),
+                               F.col(f"`{c}`").cast("double").alias("value")) for c in cols])
+    long = df.select(F.explode(cells).alias("cell")).select("cell.*")
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str],
+                    probs: Sequence[tuple[str, float]] = DESCRIBE_PROBS,
+                    partitions: int | None = None) -> DataFrame:
+    """Linearly interpolated quantiles per column: (column_name, <name> for each prob).
+
+    For n values sorted v[0..n-1], quantile q is v[lo] + (v[hi] - v[lo]) * f with
+    h = (n-1) q, lo = floor(h), hi = ceil(h), f = h - lo.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = _long_values(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+    ranged = (counts.repartitionByRange(parts, "column_name", "value")
+              .withColumn("pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+
+    per_part = ranged.groupBy("column_name", "pid").agg(F.sum("c").alias("pc"))
+    before = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("column_name", "pid",
+                              F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"))
+    # (column, partition) pairs: at most len(cols) x parts rows.
+    upto = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    spans = (ranged.join(F.broadcast(offsets), ["column_name", "pid"])
+             .select("column_name", "value",
+                     (F.col("off") + F.sum("c").over(upto)).alias("end_rank"), "c")
+             .withColumn("start_rank", F.col("end_rank") - F.col("c")))
+
+    n_by_col = per_part.groupBy("column_name").agg(F.sum("pc").alias("n"))
+    pos = [F.struct(F.lit(name).alias("q_name"), F.lit(float(q)).alias("q")) for name, q in probs]
+    targets = (n_by_col.select("column_name", "n", F.explode(F.array(*pos)).alias("p"))
+               .select("column_name", "p.q_name",
+                       ((F.col("n") - 1).cast("double") * F.col("p.q")).alias("h"))
+               .select("column_name", "q_name", F.floor("h").alias("lo"), F.ceil("h").alias("hi"),
+                       (F.col("h") - F.floor("h")).alias("frac")))
+    # Wanted ranks: len(cols) x len(probs) x 2 rows, a bounded table.
+    wanted = targets.select("column_name", "q_name", "frac",
+                            F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("lo").alias("rank")),
+                                              F.struct(F.lit("hi").alias("side"), F.col("hi").alias("rank"))))
+                            .alias("w")).select("column_name", "q_name", "frac", "w.side", "w.rank")
+    hits = spans.join(F.broadcast(wanted),
+                      (spans.column_name == wanted.column_name)
+                      & (wanted.rank >= spans.start_rank) & (wanted.rank < spans.end_rank)) \
+        .select(spans.column_name, "q_name", "frac", "side", "value")
+    per_q = hits.groupBy("column_name", "q_name").agg(
+        F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("v_lo"),
+        F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("v_hi"),
+        F.max("frac").alias("frac"))
+    per_q = per_q.select("column_name", "q_name",
+                         (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("v"))
+    names = [name for name, _ in probs]
+    return per_q.groupBy("column_name").pivot("q_name", names).agg(F.first("v"))
+
+
+def approx_quantiles(df: DataFrame, cols: Sequence[str],
+                     probs: Sequence[tuple[str, float]] = DESCRIBE_PROBS,
+                     accuracy: int = 10000) -> DataFrame:
+    """Single-pass approximate quantiles (rank error at most n / accuracy)."""
+    long = _long_values(df, cols)
+    qs = F.percentile_approx("value", [q for _, q in probs], accuracy)
+    out = long.groupBy("column_name").agg(qs.alias("qs"))
+    return out.select("column_name", *[F.col("qs")[i].alias(name) for i, (name, _) in enumerate(probs)])
+
+
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
+                     digits: int | None = None) -> DataFrame:
+    """pandas ``describe()`` in long form: (column_name, n, mean, std, min, p25, p50, p75, max).
+
+    ``digits`` rounds mean and std (floating sums depend on summation order in
+    their last bits); percentiles, min and max are exact values.
+    """
+    cols = list(cols) if cols is not None else numeric_columns(df)
+    moments = F.array(*[F.struct(
+        F.lit(c).alias("column_name"),
+        F.count(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("n"),
+        F.avg(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("mean"),
+        F.stddev_samp(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("std"),
+        F.min(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("min"),
+        F.max(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("max"),
+    ) for c in cols])
+    m = df.agg(moments.alias("m")).select(F.explode("m").alias("r")).select("r.*")
+    if digits is not None:
+        m = m.withColumn("mean", F.round("mean", digits)).withColumn("std", F.round("std", digits))
+    q = exact_quantiles(df, cols) if exact else approx_quantiles(df, cols)
+    return (m.join(q, "column_name", "left")
+            .select("column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max"))
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """(n_rows, n_columns) as a one-row frame."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "n_columns", F.lit(len(df.columns)).cast("bigint"))
+
+
+__all__ = ["profile", "describe_numeric", "exact_quantiles", "approx_quantiles", "shape",
+           "numeric_columns"]
