@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The two closed, ordered calendar domains the reports zero-fill over.
 WEEKDAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -80,9 +79,11 @@ def month_name(d: Column | str) -> Column:
 
 def _dimension(spark: SparkSession, names: Sequence[str], name_col: str, ordinal_col: str,
                first: int) -> DataFrame:
-    schema = T.StructType([T.StructField(name_col, T.StringType(), False),
-                           T.StructField(ordinal_col, T.IntegerType(), False)])
-    return spark.createDataFrame([(n, i + first) for i, n in enumerate(names)], schema)
+    # Generated in the JVM from a range (a local relation, no Python rows to ship).
+    labels = F.array(*[F.lit(n) for n in names])
+    return spark.range(len(names)).select(
+        F.element_at(labels, (F.col("id") + 1).cast("int")).alias(name_col),
+        (F.col("id") + first).cast("int").alias(ordinal_col))
 
 
 def weekday_dim(spark: SparkSession, name_col: str = "weekday",

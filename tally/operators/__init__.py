@@ -4,7 +4,7 @@ from tally.operators.aggregate import (
     count_by, count_distinct_by, drop_null_keys, kpis, over_domain, sum_by,
 )
 from tally.operators.pivot import pivot_sum
-from tally.operators.profile import (
+from tally.operators.profiling import (
     approx_quantiles, describe_numeric, exact_quantiles, profile, shape,
 )
 from tally.operators.ranking import bottom_k, first_rows, last_rows, top_k

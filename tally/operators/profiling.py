@@ -8,9 +8,9 @@ Exact percentiles are found by a distributed selection instead of Spark's
 ``percentile`` aggregate, whose final merge holds every distinct value of a
 column in one task:
 
-1. count rows per (column, distinct value) - partial aggregation folds a hot
-   value into one row per task, so one value holding a third of the table is
-   one row afterwards;
+1. count rows per (column, distinct value), one narrow branch per column -
+   partial aggregation folds a hot value into one row per task, so one value
+   holding a third of the table is one row afterwards;
 2. range-partition those (column, value, count) rows and checkpoint them, which
    fixes each row's partition id;
 3. per (column, partition) total -> running offsets over the few
@@ -23,6 +23,7 @@ column in one task:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,12 +55,19 @@ def profile(df: DataFrame) -> DataFrame:
         "r.*", F.col("_rows").alias("n_rows"), F.lit(len(fields)).cast("bigint").alias("n_columns"))
 
 
-def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, value) for every non-null, non-NaN numeric cell."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                               F.col(f"`{c}`").cast("double").alias("value")) for c in cols])
-    long = df.select(F.explode(cells).alias("cell")).select("cell.*")
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value, c): rows per distinct non-null, non-NaN value of each column.
+
+    One narrow branch per column, unioned: each branch reads a single column and
+    folds repeats map-side, and the branches run as parallel tasks.
+    """
+    branches = []
+    for c in cols:
+        v = F.col(f"`{c}`").cast("double")
+        branch = (df.select(v.alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+                  .groupBy("value").agg(F.count(F.lit(1)).alias("c")))
+        branches.append(branch.select(F.lit(c).alias("column_name"), "value", "c"))
+    return reduce(DataFrame.unionByName, branches)
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str],
@@ -73,7 +81,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str],
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = _long_values(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+    counts = _value_counts(df, cols)
     ranged = (counts.repartitionByRange(parts, "column_name", "value")
               .withColumn("pid", F.spark_partition_id())
               .checkpoint(eager=True))
@@ -120,10 +128,13 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str],
                      probs: Sequence[tuple[str, float]] = DESCRIBE_PROBS,
                      accuracy: int = 10000) -> DataFrame:
     """Single-pass approximate quantiles (rank error at most n / accuracy)."""
-    long = _long_values(df, cols)
-    qs = F.percentile_approx("value", [q for _, q in probs], accuracy)
-    out = long.groupBy("column_name").agg(qs.alias("qs"))
-    return out.select("column_name", *[F.col("qs")[i].alias(name) for i, (name, _) in enumerate(probs)])
+    qs = [q for _, q in probs]
+    row = df.agg(*[F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")),
+                                       qs, accuracy).alias(f"_q{i}") for i, c in enumerate(cols)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"),
+                               *[F.col(f"_q{i}")[j].alias(name) for j, (name, _) in enumerate(probs)])
+                      for i, c in enumerate(cols)])
+    return row.select(F.explode(cells).alias("r")).select("r.*")
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,

@@ -25,7 +25,7 @@ from tally.functions.calendar import (
 from tally.functions.measures import format_fixed, money
 from tally.operators.aggregate import count_distinct_by, kpis, over_domain, sum_by
 from tally.operators.pivot import pivot_sum
-from tally.operators.profile import describe_numeric, profile
+from tally.operators.profiling import describe_numeric, profile
 from tally.operators import ranking
 from tally.operators.ranking import top_k
 from tally.operators.shares import cells_share_of_total, ratio_column, share_of_total

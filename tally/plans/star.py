@@ -42,12 +42,23 @@ def broadcast_limit(df: DataFrame) -> int:
         return int(float(s[:-1]) * units[s[-1]]) if s[-1] in units else int(float(s))
 
 
+_ROWS: dict[int, int] = {}
+
+
+def dimension_rows(dim: DataFrame) -> int:
+    """Row count of a dimension, counted once per distinct plan in this process."""
+    key = dim.semanticHash()
+    if key not in _ROWS:
+        _ROWS[key] = dim.count()
+    return _ROWS[key]
+
+
 def fits_broadcast(dim: DataFrame) -> bool:
     """Row count x estimated width <= limit.  ``dim`` should be the projected scan."""
     limit = broadcast_limit(dim)
     if limit <= 0:
         return False
-    return dim.count() * _row_bytes(dim) <= limit
+    return dimension_rows(dim) * _row_bytes(dim) <= limit
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,

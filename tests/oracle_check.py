@@ -1,6 +1,6 @@
 """Run every registered query in Spark and its oracle SQL in DuckDB; compare results.
 
-Usage: python tests/oracle_check.py [data_dir] [name ...]
+Usage: python tests/oracle_check.py [--no-broadcast] [data_dir] [name ...]
 """
 
 from __future__ import annotations
@@ -69,11 +69,16 @@ def compare(spark, con, name, build, sql, data_dir):
 
 
 def main(argv):
+    shuffle_only = "--no-broadcast" in argv
+    argv = [a for a in argv if a != "--no-broadcast"]
     data_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     wanted = argv[2:]
     import __spark_entry__ as entry
     from tally.session import build_session
     spark = build_session("local[8]", shuffle_partitions=8)
+    if shuffle_only:  # the plan shapes a cluster gets when no dimension fits a broadcast
+        spark.conf.set("tally.broadcast.maxBytes", "0")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = duck(data_dir)
     q, o = entry.queries(), entry.oracle_sql()
     bad = 0
