@@ -68,14 +68,16 @@ def read_csv_typed(spark: SparkSession, path: str | Sequence[str],
     return raw.select(*out)
 
 
-# The columns each notebook's cells use, with their target types.
+# The columns each notebook's cells use, with their target types.  Money is
+# fixed-point with six decimals (retail amounts carry up to four) so sums are exact.
+MONEY = "decimal(22,6)"
 STORE_COLUMNS = {
     "Order Date": None, "Ship Date": None, "Category": None, "Sub-Category": None,
-    "Segment": None, "Sales": "decimal(18,2)", "Profit": "decimal(18,4)",
+    "Segment": None, "Sales": MONEY, "Profit": MONEY,
 }
 RESTAURANT_COLUMNS = {
     "order_id": "bigint", "quantity": "bigint", "order_date": None, "order_time": None,
-    "total_price": "decimal(18,2)", "pizza_category": None, "pizza_size": None,
+    "total_price": MONEY, "pizza_category": None, "pizza_size": None,
     "pizza_name": None, "pizza_ingredients": None,
 }
 
