@@ -74,9 +74,10 @@ def over_domain(agg: DataFrame, domain: DataFrame, key: str, fill: Mapping[str,
     Every member of ``domain`` appears once, in domain order, with the measures in
     ``fill`` replaced by their fill value where the member had no rows; keys of
     ``agg`` outside the domain are dropped (an ordered categorical's behaviour).
-    The domain is a handful of fixed rows, so it is broadcast.
+    Both sides are small (a fixed domain, a result with one row per key); Spark
+    broadcasts the aggregated side from its runtime size.
     """
-    joined = F.broadcast(domain).join(agg, on=key, how="left")
+    joined = domain.join(agg, on=key, how="left")
     cols = [F.col(c) for c in domain.columns]
     for m, value in fill.items():
         cols.append(F.coalesce(F.col(m), F.lit(value).cast(agg.schema[m].dataType)).alias(m))
