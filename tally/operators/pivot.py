@@ -22,7 +22,10 @@ def pivot_sum(df: DataFrame, index: str, columns: str, values: str,
     """
     kept = drop_null_keys(df, [index, columns])
     if column_values is None:
-        column_values = [r[0] for r in kept.select(columns).distinct().orderBy(columns).collect()]
+        limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+        column_values = [r[0] for r in kept.select(columns).distinct().limit(limit + 1).collect()]
+        if len(column_values) > limit:
+            raise ValueError(f"pivot column {columns!r} has more than {limit} values")
     column_values = sorted(column_values)
     floating = is_floating(kept, values)
     agg = F.sum(F.nanvl(F.col(values), F.lit(None).cast("double"))) if floating else F.sum(values)

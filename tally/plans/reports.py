@@ -231,7 +231,7 @@ def ingredient_counts(spark: SparkSession, d: str) -> DataFrame:
     ingredients = F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")).alias("ingredients")
     j = rollup_join(_lines(spark, d), "l_partkey",
                     read_table(spark, d, "part").select("p_partkey", ingredients), "p_partkey",
-                    count_as="lines")
+                    count_as="lines", pre_aggregate=True)
     counts = token_counts(j, "ingredients", ",", weight="lines", token="ingredient", out="n")
     return counts.orderBy(F.desc("n"), "ingredient")
 

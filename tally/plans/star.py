@@ -70,7 +70,8 @@ def join_dim(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
 
 def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
                 sums: Mapping[str, Column | str] | None = None,
-                fact_keys: Sequence[str] = (), count_as: str | None = None) -> DataFrame:
+                fact_keys: Sequence[str] = (), count_as: str | None = None,
+                pre_aggregate: bool | None = None) -> DataFrame:
     """Join ``dim`` to the fact at the grain (``fact_key``, ``fact_keys``).
 
     Output: ``fact_key``, ``fact_keys``, every ``sums`` column (summed exactly per
@@ -80,10 +81,14 @@ def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
 
     A small dimension is broadcast to the raw lines (no fact shuffle at all);
     a large one meets the fact after the fact is aggregated to the key.
+    ``pre_aggregate=True`` aggregates first in every case: worth it when heavy
+    per-row work follows the join (the aggregate shuffle is then much smaller
+    than the work it saves), and the small dimension is still broadcast.
     """
     sums = dict(sums or {})
     grain = [fact_key, *fact_keys]
-    if fits_broadcast(dim):
+    small = fits_broadcast(dim)
+    if small and not pre_aggregate:
         cols = [F.col(c) for c in grain] + [(F.col(e) if isinstance(e, str) else e).alias(n)
                                            for n, e in sums.items()]
         if count_as:
@@ -94,4 +99,5 @@ def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
     if count_as:
         aggs.append(F.count(F.lit(1)).alias(count_as))
     per_key = fact.groupBy(*grain).agg(*aggs) if aggs else fact.select(*grain).distinct()
-    return per_key.join(dim, per_key[fact_key] == dim[dim_key])
+    side = F.broadcast(dim) if small else dim
+    return per_key.join(side, per_key[fact_key] == side[dim_key])
