@@ -22,7 +22,11 @@ from tally.sources.parquet import TABLES  # noqa: E402
 def duck(data_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from read_parquet('{data_dir}/{t}.parquet')")
+        path = f"{data_dir}/{t}.parquet"
+        if os.path.isdir(path):  # written by Spark: a folder of part files
+            path = f"{path}/*.parquet"
+        if os.path.exists(path.replace("/*.parquet", "")):
+            con.execute(f"create view {t} as select * from read_parquet('{path}')")
     return con
 
 
