@@ -14,10 +14,13 @@ column in one task:
 2. range-partition those (column, value, count) rows and checkpoint them, which
    fixes each row's partition id;
 3. per (column, partition) total -> running offsets over the few
-   (column, partition) rows -> per-row cumulative ranks by a window inside each
-   partition;
-4. join the wanted ranks (two per percentile per column, a bounded table) and
-   interpolate.
+   (column, partition) rows -> the partitions that hold a wanted rank (two per
+   percentile per column, a bounded table);
+4. cumulative ranks by a window inside those partitions only, join the wanted
+   ranks and interpolate.
+
+Mean, standard deviation, min and max come from the same counts, so the table
+is scanned once.
 """
 
 from __future__ import annotations
@@ -70,33 +73,55 @@ def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
+def ranked_value_counts(df: DataFrame, cols: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """(column_name, value, c, pid): value counts range-partitioned and checkpointed.
+
+    The checkpoint (in ``spark.checkpoint.dir``) fixes every row's partition id
+    and cuts the lineage, so the several passes over it read the same layout.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (_value_counts(df, cols).repartitionByRange(parts, "column_name", "value")
+            .withColumn("pid", F.spark_partition_id())
+            .checkpoint(eager=True))
+
+
+def moments_from_counts(ranged: DataFrame) -> DataFrame:
+    """(column_name, n, mean, std, min, max) from (column_name, value, c) rows.
+
+    std is the sample standard deviation from the centred second moment, summed
+    in a second pass over the counts after the means are known.
+    """
+    first = ranged.groupBy("column_name").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("value")).alias("s1"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    first = first.withColumn("mean", F.col("s1") / F.col("n"))
+    # one row per column: a bounded broadcast
+    centred = ranged.join(F.broadcast(first.select("column_name", "mean")), "column_name").groupBy(
+        "column_name").agg(F.sum(F.col("c") * F.pow(F.col("value") - F.col("mean"), 2)).alias("m2"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return first.join(centred, "column_name").select(
+        "column_name", F.col("n").cast("bigint").alias("n"), "mean", std.alias("std"), "min", "max")
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str],
                     probs: Sequence[tuple[str, float]] = DESCRIBE_PROBS,
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, ranged: DataFrame | None = None) -> DataFrame:
     """Linearly interpolated quantiles per column: (column_name, <name> for each prob).
 
     For n values sorted v[0..n-1], quantile q is v[lo] + (v[hi] - v[lo]) * f with
-    h = (n-1) q, lo = floor(h), hi = ceil(h), f = h - lo.
+    h = (n-1) q, lo = floor(h), hi = ceil(h), f = h - lo.  ``ranged`` reuses the
+    output of ``ranked_value_counts``.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = _value_counts(df, cols)
-    ranged = (counts.repartitionByRange(parts, "column_name", "value")
-              .withColumn("pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    if ranged is None:
+        ranged = ranked_value_counts(df, cols, partitions)
 
     per_part = ranged.groupBy("column_name", "pid").agg(F.sum("c").alias("pc"))
     before = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("column_name", "pid",
+    # (column, partition) pairs: at most len(cols) x partitions rows.
+    offsets = per_part.select("column_name", "pid", "pc",
                               F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"))
-    # (column, partition) pairs: at most len(cols) x parts rows.
-    upto = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    spans = (ranged.join(F.broadcast(offsets), ["column_name", "pid"])
-             .select("column_name", "value",
-                     (F.col("off") + F.sum("c").over(upto)).alias("end_rank"), "c")
-             .withColumn("start_rank", F.col("end_rank") - F.col("c")))
 
     n_by_col = per_part.groupBy("column_name").agg(F.sum("pc").alias("n"))
     pos = [F.struct(F.lit(name).alias("q_name"), F.lit(float(q)).alias("q")) for name, q in probs]
@@ -110,6 +135,17 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str],
                             F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("lo").alias("rank")),
                                               F.struct(F.lit("hi").alias("side"), F.col("hi").alias("rank"))))
                             .alias("w")).select("column_name", "q_name", "frac", "w.side", "w.rank")
+    # Only the partitions that hold a wanted rank are sorted: at most two per
+    # quantile per column, however many partitions the counts span.
+    holding = (offsets.join(F.broadcast(wanted), (offsets.column_name == wanted.column_name)
+                            & (wanted.rank >= offsets.off) & (wanted.rank < offsets.off + offsets.pc))
+               .select(offsets.column_name, "pid", "off").distinct())
+    upto = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    spans = (ranged.join(F.broadcast(holding), ["column_name", "pid"])
+             .select("column_name", "value",
+                     (F.col("off") + F.sum("c").over(upto)).alias("end_rank"), "c")
+             .withColumn("start_rank", F.col("end_rank") - F.col("c")))
     hits = spans.join(F.broadcast(wanted),
                       (spans.column_name == wanted.column_name)
                       & (wanted.rank >= spans.start_rank) & (wanted.rank < spans.end_rank)) \
@@ -141,24 +177,33 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
                      digits: int | None = None) -> DataFrame:
     """pandas ``describe()`` in long form: (column_name, n, mean, std, min, p25, p50, p75, max).
 
-    ``digits`` rounds mean and std (floating sums depend on summation order in
-    their last bits); percentiles, min and max are exact values.
+    Exact: every statistic comes from the checkpointed distinct-value counts, so
+    the table is scanned once.  Approximate: one aggregate pass over the table
+    with ``percentile_approx``.  ``digits`` rounds mean and std (floating sums
+    depend on summation order in their last bits); percentiles, min and max are
+    exact values.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    moments = F.array(*[F.struct(
-        F.lit(c).alias("column_name"),
-        F.count(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("n"),
-        F.avg(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("mean"),
-        F.stddev_samp(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("std"),
-        F.min(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("min"),
-        F.max(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias("max"),
-    ) for c in cols])
-    m = df.agg(moments.alias("m")).select(F.explode("m").alias("r")).select("r.*")
+    if exact:
+        ranged = ranked_value_counts(df, cols)
+        m = moments_from_counts(ranged)
+        q = exact_quantiles(df, cols, ranged=ranged)
+    else:
+        clean = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols}
+        moments = F.array(*[F.struct(
+            F.lit(c).alias("column_name"), F.count(v).alias("n"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        ) for c, v in clean.items()])
+        m = df.agg(moments.alias("m")).select(F.explode("m").alias("r")).select("r.*")
+        q = approx_quantiles(df, cols)
     if digits is not None:
         m = m.withColumn("mean", F.round("mean", digits)).withColumn("std", F.round("std", digits))
-    q = exact_quantiles(df, cols) if exact else approx_quantiles(df, cols)
-    return (m.join(q, "column_name", "left")
-            .select("column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max"))
+    # every column has a row even when it holds no values (n = 0)
+    names = df.sparkSession.range(len(cols)).select(
+        F.element_at(F.array(*[F.lit(c) for c in cols]), (F.col("id") + 1).cast("int")).alias("column_name"))
+    out = names.join(m, "column_name", "left").join(q, "column_name", "left")
+    return out.select("column_name", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+                      "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -168,4 +213,4 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 __all__ = ["profile", "describe_numeric", "exact_quantiles", "approx_quantiles", "shape",
-           "numeric_columns"]
+           "numeric_columns", "ranked_value_counts", "moments_from_counts"]
