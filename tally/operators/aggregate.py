@@ -79,8 +79,9 @@ def over_domain(agg: DataFrame, domain: DataFrame, key: str, fill: Mapping[str,
     """
     joined = domain.join(agg, on=key, how="left")
     cols = [F.col(c) for c in domain.columns]
+    types = {f.name: f.dataType for f in agg.schema.fields}
     for m, value in fill.items():
-        cols.append(F.coalesce(F.col(m), F.lit(value).cast(agg.schema[m].dataType)).alias(m))
+        cols.append(F.coalesce(F.col(m), F.lit(value).cast(types[m])).alias(m))
     out = joined.select(*cols)
     return out.orderBy(order_by) if order_by else out
 

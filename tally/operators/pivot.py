@@ -11,14 +11,16 @@ from tally.operators.aggregate import drop_null_keys, is_floating
 
 
 def pivot_sum(df: DataFrame, index: str, columns: str, values: str,
-              column_values: Sequence[object] | None = None, fill: object = 0) -> DataFrame:
+              column_values: Sequence[object] | None = None, fill: object = 0,
+              cast_to: str | None = None) -> DataFrame:
     """Sum of ``values`` by ``index`` x ``columns``; empty cells get ``fill``.
 
     Rows with a null index or column key are dropped first (no phantom ``null``
     column).  Pass ``column_values`` when the domain is known: it fixes the output
     schema and saves the extra distinct job Spark would otherwise run; it is sorted
     either way.  Spark aggregates per (index, column) first, so the pivot only
-    reshapes already-combined rows.
+    reshapes already-combined rows.  ``cast_to`` converts the cells (e.g. exact
+    decimal sums to ``'double'``) in the same projection.
     """
     kept = drop_null_keys(df, [index, columns])
     if column_values is None:
@@ -30,7 +32,7 @@ def pivot_sum(df: DataFrame, index: str, columns: str, values: str,
     floating = is_floating(kept, values)
     agg = F.sum(F.nanvl(F.col(values), F.lit(None).cast("double"))) if floating else F.sum(values)
     wide = kept.groupBy(index).pivot(columns, list(column_values)).agg(agg)
-    names = [c for c in wide.columns if c != index]
-    return wide.select(index, *[F.coalesce(F.col(f"`{c}`"), F.lit(fill).cast(wide.schema[c].dataType)).alias(c)
-                                for c in names])
+    types = {f.name: f.dataType for f in wide.schema.fields}
+    cells = {c: F.coalesce(F.col(f"`{c}`"), F.lit(fill).cast(t)) for c, t in types.items() if c != index}
+    return wide.select(index, *[(e.cast(cast_to) if cast_to else e).alias(c) for c, e in cells.items()])
 

@@ -210,7 +210,8 @@ def _category_size_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_size_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return _double(_category_size_cells(spark, d), *SIZES).orderBy("category")
+    cells = pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue", SIZES, cast_to="double")
+    return cells.orderBy("category")
 
 
 def category_size_share(spark: SparkSession, d: str) -> DataFrame:
@@ -222,8 +223,7 @@ def brand_size_pivot_filled(spark: SparkSession, d: str) -> DataFrame:
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, "p_brand", "p_size"), "p_partkey",
                     {"revenue": money("l_extendedprice")})
     j = j.select(F.col("p_brand").alias("sub_category"), "p_size", "revenue")
-    p = pivot_sum(j, "sub_category", "p_size", "revenue", PART_SIZES)
-    return _double(p, *[str(s) for s in PART_SIZES]).orderBy("sub_category")
+    return pivot_sum(j, "sub_category", "p_size", "revenue", PART_SIZES, cast_to="double").orderBy("sub_category")
 
 
 def ingredient_counts(spark: SparkSession, d: str) -> DataFrame:
