@@ -177,6 +177,10 @@ def oracle_sql() -> dict[str, str]:
         "parse_day_first": ("select o_orderkey as order_id, strftime(o_orderdate, '%d-%m-%Y') as order_date_text, "
                             "cast(strptime(strftime(o_orderdate, '%d-%m-%Y'), '%d-%m-%Y') as date) as order_date "
                             "from orders"),
+        "parse_month_first": ("select o_orderkey as order_id, strftime(o_orderdate, '%-m/%-d/%Y') as order_date_text, "
+                              "cast(strptime(strftime(o_orderdate, '%-m/%-d/%Y'), '%-m/%-d/%Y') as date) as order_date "
+                              "from orders"),
+        "dataset_shape": f"select count(*) as n_rows, cast({len(LINEITEM_TYPES)} as bigint) as n_columns from lineitem",
         "orders_by_month_sparse": _zero_filled(
             MONTHS, "month_name", "month_ordinal", "orders",
             "select monthname(ts) as month_name, count(distinct user_id) as orders from events group by 1", "0"),

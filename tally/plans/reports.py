@@ -25,7 +25,7 @@ from tally.functions.calendar import (
 from tally.functions.measures import format_fixed, money
 from tally.operators.aggregate import count_distinct_by, kpis, over_domain, sum_by
 from tally.operators.pivot import pivot_sum
-from tally.operators.profiling import describe_numeric, profile
+from tally.operators.profiling import describe_numeric, profile, shape
 from tally.operators import ranking
 from tally.operators.ranking import top_k
 from tally.operators.shares import cells_share_of_total, ratio_column, share_of_total
@@ -135,6 +135,14 @@ def parse_day_first(spark: SparkSession, d: str) -> DataFrame:
     return o.withColumn("order_date", parse_date("order_date_text", ("d-M-yyyy", "d/M/yyyy")))
 
 
+def parse_month_first(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates written month-first without padding ('M/d/yyyy') and parsed back."""
+    o = read_table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.date_format("o_orderdate", "M/d/yyyy").alias("order_date_text"))
+    return o.withColumn("order_date", parse_date("order_date_text", "M/d/yyyy"))
+
+
 # ---------------------------------------------------------------- part attributes
 def _part(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return read_table(spark, d, "part").select("p_partkey", *cols)
@@ -317,6 +325,10 @@ def dataset_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile(_lines(spark, d))
 
 
+def dataset_shape(spark: SparkSession, d: str) -> DataFrame:
+    return shape(_lines(spark, d))
+
+
 def numeric_describe(spark: SparkSession, d: str) -> DataFrame:
     return describe_numeric(_lines(spark, d), digits=6)
 
@@ -367,6 +379,8 @@ REPORTS: dict[str, Report] = {
     "numeric_describe": numeric_describe,
     "calendar_parts": calendar_parts,
     "parse_day_first": parse_day_first,
+    "parse_month_first": parse_month_first,
+    "dataset_shape": dataset_shape,
     "orders_by_month_sparse": orders_by_month_sparse,
     "brand_size_pivot_filled": brand_size_pivot_filled,
     "first_rows": first_rows,
