@@ -43,15 +43,19 @@ def build_session(master: str | None = None, app: str = "tally",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Make sure ``DataFrame.checkpoint()`` has a folder and return it.
 
     On a cluster the folder must be shared storage named by
     ``spark.checkpoint.dir``; it is read from the session and never invented.
     Only a local-mode session without the setting (tests, the bench) gets a
-    fresh scratch folder.
+    fresh scratch folder.  A Spark Connect session checkpoints with the
+    server's own setting (None is returned).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context
+        return None
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -19,7 +19,7 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     ``forget_tables()`` after the files change.
     """
     path = f"{data_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
+    key = (id(getattr(spark, "_jsparkSession", spark)), path)
     if key not in _RELATIONS:
         _RELATIONS[key] = spark.read.parquet(path)
     return _RELATIONS[key]

@@ -44,6 +44,11 @@ def norm(v):
     return v
 
 
+# Spark type name -> the DuckDB type it corresponds to.
+TYPE_PAIRS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 def rows_of(records, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
     out = [tuple(norm(r[i]) for i in order) for r in records]
@@ -58,10 +63,17 @@ def compare(spark, con, name, build, sql, data_dir):
     t_spark = time.time() - t0
     res = con.execute(sql)
     d_names = [d[0] for d in res.description]
+    d_types = {d[0]: str(d[1]) for d in res.description}
+    s_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     d_rows = res.fetchall()
     problems = []
     if sorted(s_names) != sorted(d_names):
         problems.append(f"columns spark={s_names} duck={d_names}")
+    else:
+        bad_types = {c: (s_types[c], d_types[c]) for c in s_names
+                     if TYPE_PAIRS.get(s_types[c], s_types[c].upper()) != d_types[c]}
+        if bad_types:
+            problems.append(f"types spark/duck {bad_types}")
     if len(s_rows) != len(d_rows):
         problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
     if not problems:
