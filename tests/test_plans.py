@@ -67,3 +67,10 @@ def test_distinct_after_join_reuses_join_partitioning(no_broadcast):
 def test_describe_uses_no_single_task_percentile(spark):
     text = plan(entry.queries()["numeric_describe"](spark, D))
     assert "percentile(" not in text.lower().replace("percentile_approx", "")
+
+
+def test_share_total_reuses_the_aggregate(spark):
+    df = entry.queries()["sales_share_by_category"](spark, D)
+    df.collect()
+    text = plan(df)  # final adaptive plan after execution
+    assert "ReusedExchange" in text
