@@ -33,7 +33,11 @@ def _col(c: Column | str) -> Column:
 
 def is_floating(df: DataFrame, c: Column | str) -> bool:
     """True when ``c`` evaluates to float/double on ``df`` (analysis only, no job)."""
-    return isinstance(df.select(_col(c)).schema.fields[0].dataType, (T.FloatType, T.DoubleType))
+    if isinstance(c, str) and c in df.columns:  # the frame's schema is cached
+        dtype = df.schema[c].dataType
+    else:
+        dtype = df.select(_col(c)).schema.fields[0].dataType
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
 
 
 def drop_null_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
