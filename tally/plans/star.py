@@ -1,8 +1,9 @@
 """Joining the fact table to its dimensions at any size.
 
-A dimension is broadcast only after its row count (a Parquet footer read, no
-data scan) times an estimated row width is shown to fit under the broadcast
-limit.  Beyond it the fact is first aggregated to the join key (``rollup_join``),
+A dimension is broadcast only after its size is shown to fit under the
+broadcast limit: its row count (a Parquet footer read, no data scan) times the
+fixed slot width first, and, only when that passes (so the table is small), the
+exact bytes of its variable-length values.  Beyond it the fact is first aggregated to the join key (``rollup_join``),
 so the sort-merge join sees one row per key instead of one per line: the
 aggregate and the join hash-partition on the same key, so the pre-aggregation
 adds no shuffle, and a hot key is folded map-side before it is shuffled.
@@ -21,11 +22,16 @@ from pyspark.sql import types as T
 
 _FIXED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
           T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.DecimalType)
+_ROW_OVERHEAD = 16  # row header and hash-table entry, per row
 
 
-def _row_bytes(df: DataFrame) -> int:
-    # 8 bytes per fixed-width value, 32 per string and per row of overhead.
-    return 32 + sum(8 if isinstance(f.dataType, _FIXED) else 32 for f in df.schema.fields)
+def _fixed_bytes(df: DataFrame) -> int:
+    # 8 bytes per field slot (a variable-length field's slot holds offset and length)
+    return _ROW_OVERHEAD + 8 * len(df.schema.fields)
+
+
+def _variable_fields(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, _FIXED)]
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -43,6 +49,7 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 _ROWS: dict[int, int] = {}
+_BYTES: dict[int, int] = {}
 
 
 def dimension_rows(dim: DataFrame) -> int:
@@ -53,12 +60,35 @@ def dimension_rows(dim: DataFrame) -> int:
     return _ROWS[key]
 
 
+def dimension_bytes(dim: DataFrame, limit: int) -> int:
+    """Size of the dimension as broadcast rows, exact where it matters.
+
+    Rows (a Parquet footer read) x fixed slot bytes is a lower bound; if that
+    already exceeds ``limit`` the dimension is large and nothing is scanned.
+    Otherwise the table is small, and the bytes of its variable-length values
+    are added exactly by one pass over it.
+    """
+    rows = dimension_rows(dim)
+    fixed = rows * _fixed_bytes(dim)
+    var = _variable_fields(dim)
+    if fixed > limit or not var:
+        return fixed
+    key = dim.semanticHash()
+    if key not in _BYTES:
+        width = sum(F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in var)
+        _BYTES[key] = int(dim.agg(F.sum(width)).first()[0] or 0)
+    return fixed + _BYTES[key]
+
+
 def fits_broadcast(dim: DataFrame) -> bool:
-    """Row count x estimated width <= limit.  ``dim`` should be the projected scan."""
+    """True when the dimension's rows are shown to fit under the broadcast limit.
+
+    ``dim`` should be the projected scan, so only the columns the join carries count.
+    """
     limit = broadcast_limit(dim)
     if limit <= 0:
         return False
-    return dimension_rows(dim) * _row_bytes(dim) <= limit
+    return dimension_bytes(dim, limit) <= limit
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
