@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,22 @@ def money(c: Column | str, scale: int = 2, precision: int = 18) -> Column:
     return _col(c).cast(T.DecimalType(precision, scale))
 
 
+def cents(c: Column | str, scale: int = 2) -> Column:
+    """A money value as a whole number of 1/10^scale units (bigint), rounded half-up.
+
+    Summing these is exact long arithmetic, far cheaper than a wide decimal sum;
+    ``from_cents`` turns a total back into an exact decimal.  A bigint total holds
+    9.2e18 units (9.2e16 at two decimals); ANSI mode fails rather than wrap.
+    """
+    return F.round(_col(c).cast("double") * (10 ** scale)).cast("bigint")
+
+
+def from_cents(c: Column | str, scale: int = 2) -> Column:
+    """Exact decimal(38, scale) value of a whole number of 1/10^scale units."""
+    unit = F.lit(Decimal(1).scaleb(-scale))
+    return (_col(c).cast("decimal(38,0)") * unit).cast(T.DecimalType(38, scale))
+
+
 def nan_safe_sum(c: Column | str, floating: bool = True) -> Column:
     """Sum that skips NaN and nulls and gives 0 for a group with no values."""
     c = _col(c)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tally.functions.measures import nan_safe_sum, safe_ratio
+from tally.functions.measures import from_cents, nan_safe_sum, safe_ratio
 
 Measures = Mapping[str, "Column | str"]
 
@@ -90,17 +90,21 @@ def over_domain(agg: DataFrame, domain: DataFrame, key: str, fill: Mapping[str,
     return out.orderBy(order_by) if order_by else out
 
 
-def kpis(df: DataFrame, revenue: str, quantity: str, order_id: str) -> DataFrame:
+def kpis(df: DataFrame, revenue: str, quantity: str, order_id: str,
+         revenue_cents_scale: int | None = None) -> DataFrame:
     """One-row frame: total revenue, total units, distinct orders and two per-order ratios.
 
     All three totals come from one aggregate (one scan).  Ratios divide doubles
-    with IEEE rules (x/0 = inf, 0/0 = NaN).
+    with IEEE rules (x/0 = inf, 0/0 = NaN).  With ``revenue_cents_scale`` the
+    revenue column holds whole 1/10^scale units (``functions.measures.cents``).
     """
     totals = df.agg(
         nan_safe_sum(revenue, is_floating(df, revenue)).alias("total_revenue"),
         nan_safe_sum(quantity, is_floating(df, quantity)).alias("total_quantity"),
         F.count_distinct(order_id).alias("total_orders"),
     )
+    if revenue_cents_scale is not None:
+        totals = totals.withColumn("total_revenue", from_cents("total_revenue", revenue_cents_scale))
     return totals.select(
         F.col("total_revenue").cast("double").alias("total_revenue"),
         F.col("total_quantity").cast("bigint").alias("total_quantity"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.operators.aggregate import drop_null_keys, is_floating
@@ -12,15 +12,16 @@ from tally.operators.aggregate import drop_null_keys, is_floating
 
 def pivot_sum(df: DataFrame, index: str, columns: str, values: str,
               column_values: Sequence[object] | None = None, fill: object = 0,
-              cast_to: str | None = None) -> DataFrame:
+              cast_to: str | None = None,
+              finish: Callable[[Column], Column] | None = None) -> DataFrame:
     """Sum of ``values`` by ``index`` x ``columns``; empty cells get ``fill``.
 
     Rows with a null index or column key are dropped first (no phantom ``null``
     column).  Pass ``column_values`` when the domain is known: it fixes the output
     schema and saves the extra distinct job Spark would otherwise run; it is sorted
     either way.  Spark aggregates per (index, column) first, so the pivot only
-    reshapes already-combined rows.  ``cast_to`` converts the cells (e.g. exact
-    decimal sums to ``'double'``) in the same projection.
+    reshapes already-combined rows.  ``finish`` (e.g. cents to an exact decimal)
+    and then ``cast_to`` (e.g. ``'double'``) convert the cells in the same projection.
     """
     kept = drop_null_keys(df, [index, columns])
     if column_values is None:
@@ -34,5 +35,7 @@ def pivot_sum(df: DataFrame, index: str, columns: str, values: str,
     wide = kept.groupBy(index).pivot(columns, list(column_values)).agg(agg)
     types = {f.name: f.dataType for f in wide.schema.fields}
     cells = {c: F.coalesce(F.col(f"`{c}`"), F.lit(fill).cast(t)) for c, t in types.items() if c != index}
+    if finish:
+        cells = {c: finish(e) for c, e in cells.items()}
     return wide.select(index, *[(e.cast(cast_to) if cast_to else e).alias(c) for c, e in cells.items()])
 

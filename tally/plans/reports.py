@@ -22,7 +22,7 @@ from tally.functions.calendar import (
     hour_of_time, month_dim, month_name, month_number, parse_date, weekday_dim, weekday_name,
     weekday_number, year_number,
 )
-from tally.functions.measures import format_fixed, money
+from tally.functions.measures import cents, format_fixed, from_cents, money
 from tally.operators.aggregate import count_distinct_by, kpis, over_domain, sum_by
 from tally.operators.pivot import pivot_sum
 from tally.operators.profiling import describe_numeric, profile, shape
@@ -43,6 +43,12 @@ def _double(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
+def _dollars(df: DataFrame, *cols: str, as_double: bool = True) -> DataFrame:
+    """Whole-cent totals to exact decimals (and to double for output)."""
+    out = {c: from_cents(c) for c in cols}
+    return df.withColumns({c: e.cast("double") for c, e in out.items()} if as_double else out)
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "lineitem")
 
@@ -70,9 +76,9 @@ def _line_profit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sales_by_month(spark: SparkSession, d: str) -> DataFrame:
-    j = _order_rollup(spark, d, _lines(spark, d), {"sales": money("l_extendedprice")},
+    j = _order_rollup(spark, d, _lines(spark, d), {"sales": cents("l_extendedprice")},
                       order_month=month_number("o_orderdate"))
-    return _double(sum_by(j, "order_month", {"sales": "sales"}), "sales").orderBy("order_month")
+    return _dollars(sum_by(j, "order_month", {"sales": "sales"}), "sales").orderBy("order_month")
 
 
 def profit_by_month(spark: SparkSession, d: str) -> DataFrame:
@@ -93,9 +99,9 @@ def orders_by_weekday(spark: SparkSession, d: str) -> DataFrame:
 
 
 def revenue_by_weekday(spark: SparkSession, d: str) -> DataFrame:
-    j = _order_rollup(spark, d, _lines(spark, d), {"revenue": money("l_extendedprice")},
+    j = _order_rollup(spark, d, _lines(spark, d), {"revenue": cents("l_extendedprice")},
                       weekday=weekday_name("o_orderdate"))
-    agg = _double(sum_by(j, "weekday", {"revenue": "revenue"}), "revenue")
+    agg = _dollars(sum_by(j, "weekday", {"revenue": "revenue"}), "revenue")
     return over_domain(agg, weekday_dim(spark), "weekday", {"revenue": 0.0}, order_by="weekday_ordinal")
 
 
@@ -150,11 +156,13 @@ def _part(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 def _by_part_attr(spark: SparkSession, d: str, attr: str, out: str, measure: str,
                   as_double: bool = True) -> DataFrame:
-    sums = {"sales": {"sales": money("l_extendedprice")},
+    sums = {"sales": {"sales": cents("l_extendedprice")},
             "quantity": {"quantity": F.col("l_quantity").cast("bigint")}}[measure]
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, attr), "p_partkey", sums)
     agg = sum_by(j.withColumnRenamed(attr, out), out, {measure: measure})
-    return (_double(agg, measure) if measure == "sales" and as_double else agg).orderBy(out)
+    if measure == "sales":
+        agg = _dollars(agg, measure, as_double=as_double)
+    return agg.orderBy(out)
 
 
 def _profit_by_part_attr(spark: SparkSession, d: str, attr: str, out: str,
@@ -209,16 +217,17 @@ def category_share(spark: SparkSession, d: str) -> DataFrame:
 
 def _category_size_lines(spark: SparkSession, d: str) -> DataFrame:
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, "p_type"), "p_partkey",
-                    {"revenue": money("l_extendedprice")}, fact_keys=["l_returnflag"])
+                    {"revenue": cents("l_extendedprice")}, fact_keys=["l_returnflag"])
     return j.select(F.col("p_type").alias("category"), F.col("l_returnflag").alias("size"), "revenue")
 
 
 def _category_size_cells(spark: SparkSession, d: str) -> DataFrame:
-    return pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue", SIZES)
+    return pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue", SIZES, finish=from_cents)
 
 
 def category_size_pivot(spark: SparkSession, d: str) -> DataFrame:
-    cells = pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue", SIZES, cast_to="double")
+    cells = pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue", SIZES,
+                      finish=from_cents, cast_to="double")
     return cells.orderBy("category")
 
 
@@ -229,9 +238,10 @@ def category_size_share(spark: SparkSession, d: str) -> DataFrame:
 def brand_size_pivot_filled(spark: SparkSession, d: str) -> DataFrame:
     """Revenue by brand x part size (1-50); cells without lines are 0."""
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, "p_brand", "p_size"), "p_partkey",
-                    {"revenue": money("l_extendedprice")})
+                    {"revenue": cents("l_extendedprice")})
     j = j.select(F.col("p_brand").alias("sub_category"), "p_size", "revenue")
-    return pivot_sum(j, "sub_category", "p_size", "revenue", PART_SIZES, cast_to="double").orderBy("sub_category")
+    return pivot_sum(j, "sub_category", "p_size", "revenue", PART_SIZES, finish=from_cents,
+                     cast_to="double").orderBy("sub_category")
 
 
 def ingredient_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -251,10 +261,10 @@ def ingredient_top10(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- products
 def product_stats(spark: SparkSession, d: str) -> DataFrame:
     """Units, revenue and distinct orders per product, from one join and one aggregate."""
-    j = sales_lines(spark, d, ["product", "quantity", "sales", "order_id"])
+    j = sales_lines(spark, d, ["product", "quantity", "sales_cents", "order_id"])
     agg = j.where(F.col("product").isNotNull()).groupBy("product").agg(
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity"),
-        F.coalesce(F.sum("sales"), F.lit(0)).cast("double").alias("revenue"),
+        from_cents(F.coalesce(F.sum("sales_cents"), F.lit(0))).cast("double").alias("revenue"),
         F.count_distinct("order_id").alias("orders"))
     return agg
 
@@ -281,7 +291,7 @@ def _segment_sums(spark: SparkSession, d: str) -> DataFrame:
     part = read_table(spark, d, "part").select("p_partkey", "p_retailprice")
     priced = join_dim(_lines(spark, d), part, "l_partkey", "p_partkey")
     per_line = priced.select(
-        "l_orderkey", money("l_extendedprice").alias("sales"),
+        "l_orderkey", cents("l_extendedprice").alias("sales"),
         (_net() - money("l_quantity") * money("p_retailprice")).cast("decimal(18,4)").alias("profit"))
     orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
     per_order = rollup_join(per_line, "l_orderkey", orders, "o_orderkey",
@@ -289,7 +299,8 @@ def _segment_sums(spark: SparkSession, d: str) -> DataFrame:
     customers = read_table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
     per_cust = rollup_join(per_order, "o_custkey", customers, "c_custkey",
                            {"sales": "sales", "profit": "profit"})
-    return sum_by(per_cust, "segment", {"sales": "sales", "profit": "profit"})
+    totals = sum_by(per_cust, "segment", {"sales": "sales", "profit": "profit"})
+    return _dollars(totals, "sales", as_double=False)
 
 
 def sales_profit_by_segment(spark: SparkSession, d: str) -> DataFrame:
@@ -303,10 +314,10 @@ def sales_to_profit_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kpi_summary(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d).select(money("l_extendedprice").alias("revenue"),
+    lines = _lines(spark, d).select(cents("l_extendedprice").alias("revenue"),
                                     F.col("l_quantity").cast("bigint").alias("quantity"),
                                     F.col("l_orderkey").alias("order_id"))
-    return kpis(lines, "revenue", "quantity", "order_id")
+    return kpis(lines, "revenue", "quantity", "order_id", revenue_cents_scale=2)
 
 
 def kpi_labels(spark: SparkSession, d: str) -> DataFrame:

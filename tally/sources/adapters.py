@@ -12,6 +12,7 @@ order_id         l_orderkey                                  lineitem
 line_number      l_linenumber                                lineitem
 quantity         bigint(l_quantity)                          lineitem
 sales            decimal(18,2)(l_extendedprice)              lineitem
+sales_cents      the same in whole cents (bigint)            lineitem
 profit           sales * (1 - discount) - quantity * retail  + part
 size             l_returnflag                                lineitem
 ship_date        date(l_shipdate)                            lineitem
@@ -24,7 +25,8 @@ ingredients      p_name words joined by ', '                 + part
 segment          c_mktsegment                                + orders, customer
 ===============  ==========================================  ============
 
-Money is fixed-point decimal so that sums are exact in any order.
+Money is fixed-point (decimal, or whole cents for fast exact sums) so that
+sums are exact in any order.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.functions.measures import money
+from tally.functions.measures import cents, money
 from tally.plans.star import join_dim
 from tally.sources.parquet import read_table
 
@@ -51,6 +53,7 @@ FACT_COLUMNS: dict[str, tuple[frozenset, object]] = {
     "line_number": (frozenset(), lambda: F.col("l_linenumber")),
     "quantity": (frozenset(), lambda: F.col("l_quantity").cast("bigint")),
     "sales": (frozenset(), lambda: money("l_extendedprice")),
+    "sales_cents": (frozenset(), lambda: cents("l_extendedprice")),
     "size": (frozenset(), lambda: F.col("l_returnflag")),
     "ship_date": (frozenset(), lambda: F.to_date("l_shipdate")),
     "profit": (frozenset({"part"}), profit_expr),
