@@ -36,6 +36,29 @@ def from_cents(c: Column | str, scale: int = 2) -> Column:
     return (_col(c).cast("decimal(38,0)") * unit).cast(T.DecimalType(38, scale))
 
 
+def split_units(units: Column | str, scale: int = 4) -> tuple[Column, Column]:
+    """Split a whole number of 1/10^scale units into (whole, remainder) longs.
+
+    whole = floor(units / 10^scale) and remainder in [0, 10^scale).  Summed
+    separately, neither overflows a long even over 10^11 rows of per-row values
+    up to 10^9 units (e.g. a line's profit at four decimals), where a single
+    long sum could; ``join_units`` recombines the two totals exactly.  Per-row
+    values must stay below 2^53 units.
+    """
+    base = 10 ** scale
+    u = _col(units)
+    rem = F.pmod(u, F.lit(base))
+    whole = ((u - rem) / F.lit(base)).cast("bigint")
+    return whole, rem
+
+
+def join_units(whole: Column | str, rem: Column | str, scale: int = 4) -> Column:
+    """Exact decimal(38, scale) of whole + rem / 10^scale."""
+    unit = F.lit(Decimal(1).scaleb(-scale))
+    return (_col(whole).cast("decimal(38,0)") + _col(rem).cast("decimal(38,0)") * unit).cast(
+        T.DecimalType(38, scale))
+
+
 def nan_safe_sum(c: Column | str, floating: bool = True) -> Column:
     """Sum that skips NaN and nulls and gives 0 for a group with no values."""
     c = _col(c)

@@ -14,6 +14,7 @@ ingredients = the words of p_name joined by ', ', order time = events.ts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from tally.functions.calendar import (
     hour_of_time, month_dim, month_name, month_number, parse_date, weekday_dim, weekday_name,
     weekday_number, year_number,
 )
-from tally.functions.measures import cents, format_fixed, from_cents, money
+from tally.functions.measures import cents, format_fixed, from_cents, join_units, split_units
 from tally.operators.aggregate import count_distinct_by, kpis, over_domain, sum_by
 from tally.operators.pivot import pivot_sum
 from tally.operators.profiling import describe_numeric, profile, shape
@@ -53,8 +54,26 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "lineitem")
 
 
-def _net(c_price: str = "l_extendedprice", c_disc: str = "l_discount"):
-    return money(c_price) * (F.lit(1) - F.col(c_disc).cast("decimal(4,2)"))
+def _net_units():
+    """A line's net price, price x (1 - discount), in whole 1/10,000 units (bigint)."""
+    return cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
+
+
+def _profit_units():
+    """A line's profit, net price minus units at list price, in 1/10,000 units."""
+    return _net_units() - cents("l_quantity") * cents("p_retailprice")
+
+
+def _profit_parts(units) -> dict:
+    whole, rem = split_units(units, 4)
+    return {"profit_whole": whole, "profit_rem": rem}
+
+
+def _profit_total(df: DataFrame, as_double: bool = True) -> DataFrame:
+    """Recombine summed profit parts into an exact decimal (double for output)."""
+    total = join_units("profit_whole", "profit_rem", 4)
+    df = df.withColumn("profit", total.cast("double") if as_double else total)
+    return df.drop("profit_whole", "profit_rem")
 
 
 # ---------------------------------------------------------------- order attributes
@@ -68,11 +87,11 @@ def _order_rollup(spark: SparkSession, d: str, lines: DataFrame, sums, **attrs)
 
 
 def _line_profit(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with exact profit (needs the part's list price)."""
-    part = read_table(spark, d, "part").select("p_partkey", "p_retailprice", "p_type", "p_brand")
+    """Lines with exact profit parts (needs the part's list price)."""
+    part = read_table(spark, d, "part").select("p_partkey", "p_retailprice")
     lines = join_dim(_lines(spark, d), part, "l_partkey", "p_partkey")
-    profit = (_net() - money("l_quantity") * money("p_retailprice")).cast("decimal(18,4)")
-    return lines.select("l_orderkey", "p_type", "p_brand", profit.alias("profit"))
+    parts = _profit_parts(_profit_units())
+    return lines.select("l_orderkey", *[e.alias(n) for n, e in parts.items()])
 
 
 def sales_by_month(spark: SparkSession, d: str) -> DataFrame:
@@ -81,11 +100,14 @@ def sales_by_month(spark: SparkSession, d: str) -> DataFrame:
     return _dollars(sum_by(j, "order_month", {"sales": "sales"}), "sales").orderBy("order_month")
 
 
+PROFIT_PARTS = {"profit_whole": "profit_whole", "profit_rem": "profit_rem"}
+
+
 def profit_by_month(spark: SparkSession, d: str) -> DataFrame:
     j = rollup_join(_line_profit(spark, d), "l_orderkey",
                     _orders_with(spark, d, order_month=month_number("o_orderdate")), "o_orderkey",
-                    {"profit": "profit"})
-    return _double(sum_by(j, "order_month", {"profit": "profit"}), "profit").orderBy("order_month")
+                    PROFIT_PARTS)
+    return _profit_total(sum_by(j, "order_month", PROFIT_PARTS)).orderBy("order_month")
 
 
 def _weekday_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -167,12 +189,15 @@ def _by_part_attr(spark: SparkSession, d: str, attr: str, out: str, measure: str
 
 def _profit_by_part_attr(spark: SparkSession, d: str, attr: str, out: str,
                          as_double: bool = True) -> DataFrame:
-    # profit of a part's lines = sum(net) - sum(units) * list price: exact and decomposable.
-    lines = _lines(spark, d)
-    j = rollup_join(lines, "l_partkey", _part(spark, d, attr, "p_retailprice"), "p_partkey",
-                    {"net": _net(), "units": money("l_quantity")})
+    # profit of a part's lines = sum(net) - sum(units) * list price: exact and decomposable,
+    # so the lines are summed per part before meeting a large part table.
+    whole, rem = split_units(_net_units(), 4)
+    j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, attr, "p_retailprice"), "p_partkey",
+                    {"net_whole": whole, "net_rem": rem, "qty": cents("l_quantity")})
+    cost = (F.col("qty").cast("decimal(38,0)") * cents("p_retailprice").cast("decimal(38,0)")
+            * F.lit(Decimal("0.0001")))
     j = j.select(F.col(attr).alias(out),
-                 (F.col("net") - F.col("units") * money("p_retailprice")).alias("profit"))
+                 (join_units("net_whole", "net_rem", 4) - cost).cast("decimal(38,4)").alias("profit"))
     agg = sum_by(j, out, {"profit": "profit"})
     return (_double(agg, "profit") if as_double else agg).orderBy(out)
 
@@ -290,17 +315,16 @@ def _segment_sums(spark: SparkSession, d: str) -> DataFrame:
     """Sales and profit per segment: lines -> orders -> customers, summed at each grain."""
     part = read_table(spark, d, "part").select("p_partkey", "p_retailprice")
     priced = join_dim(_lines(spark, d), part, "l_partkey", "p_partkey")
-    per_line = priced.select(
-        "l_orderkey", cents("l_extendedprice").alias("sales"),
-        (_net() - money("l_quantity") * money("p_retailprice")).cast("decimal(18,4)").alias("profit"))
+    parts = _profit_parts(_profit_units())
+    per_line = priced.select("l_orderkey", cents("l_extendedprice").alias("sales"),
+                             *[e.alias(n) for n, e in parts.items()])
+    measures = {"sales": "sales", **PROFIT_PARTS}
     orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    per_order = rollup_join(per_line, "l_orderkey", orders, "o_orderkey",
-                            {"sales": "sales", "profit": "profit"})
+    per_order = rollup_join(per_line, "l_orderkey", orders, "o_orderkey", measures)
     customers = read_table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    per_cust = rollup_join(per_order, "o_custkey", customers, "c_custkey",
-                           {"sales": "sales", "profit": "profit"})
-    totals = sum_by(per_cust, "segment", {"sales": "sales", "profit": "profit"})
-    return _dollars(totals, "sales", as_double=False)
+    per_cust = rollup_join(per_order, "o_custkey", customers, "c_custkey", measures)
+    totals = sum_by(per_cust, "segment", measures)
+    return _profit_total(_dollars(totals, "sales", as_double=False), as_double=False)
 
 
 def sales_profit_by_segment(spark: SparkSession, d: str) -> DataFrame:
