@@ -157,3 +157,19 @@ def test_f1_f2_labels(spark):
     pct = df.select(format_fixed("x", 1, thousands=False, suffix="%").alias("s")).collect()[2].s
     assert pct == "12.2%"
     assert df.select(format_fixed(F.lit(-5.0), 2, prefix="$").alias("s")).first().s == "$-5.00"
+
+
+def test_whole_cents_and_split_units_are_exact(spark):
+    from decimal import Decimal
+
+    from tally.functions.measures import cents, from_cents, join_units, split_units
+    df = spark.createDataFrame([(104949.50,), (-12.34,), (0.07,), (None,)], "x double")
+    got = [r.d for r in df.select(from_cents(cents("x")).alias("d")).collect()]
+    assert got == [Decimal("104949.50"), Decimal("-12.34"), Decimal("0.07"), None]
+    units = spark.createDataFrame([(-123456789,), (987654321,), (5,)], "u bigint")
+    whole, rem = split_units("u", 4)
+    rows = units.select(whole.alias("w"), rem.alias("r"), join_units(whole, rem, 4).alias("v")).collect()
+    assert [(r.w, r.r) for r in rows] == [(-12346, 3211), (98765, 4321), (0, 5)]
+    assert [r.v for r in rows] == [Decimal("-12345.6789"), Decimal("98765.4321"), Decimal("0.0005")]
+    sums = units.agg(F.sum(whole).alias("w"), F.sum(rem).alias("r")).select(join_units("w", "r", 4).alias("v"))
+    assert sums.first().v == Decimal(-123456789 + 987654321 + 5) / 10000
