@@ -114,8 +114,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str],
     h = (n-1) q, lo = floor(h), hi = ceil(h), f = h - lo.  ``ranged`` reuses the
     output of ``ranked_value_counts``.
     """
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if ranged is None:
-        ranged = ranked_value_counts(df, cols, partitions)
+        ranged = ranked_value_counts(df, cols, parts)
 
     per_part = ranged.groupBy("column_name", "pid").agg(F.sum("c").alias("pc"))
     before = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -142,7 +143,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str],
                .select(offsets.column_name, "pid", "off").distinct())
     upto = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
+    # The window needs rows clustered by (column, partition) anyway; naming the
+    # partition count keeps adaptive execution from merging the sorts into few tasks.
     spans = (ranged.join(F.broadcast(holding), ["column_name", "pid"])
+             .repartition(parts, "column_name", "pid")
              .select("column_name", "value",
                      (F.col("off") + F.sum("c").over(upto)).alias("end_rank"), "c")
              .withColumn("start_rank", F.col("end_rank") - F.col("c")))
