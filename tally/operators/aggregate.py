@@ -58,11 +58,20 @@ def sum_by(df: DataFrame, keys: str | Sequence[str], measures: Measures) -> Data
     return kept.groupBy(*keys).agg(*sum_aggs(kept, measures))
 
 
+def _distinct(id_col: str, rsd: float | None) -> Column:
+    return F.approx_count_distinct(id_col, rsd) if rsd else F.count_distinct(id_col)
+
+
 def count_distinct_by(df: DataFrame, keys: str | Sequence[str], id_col: str,
-                      out: str = "n_distinct") -> DataFrame:
-    """``groupby(keys)[id_col].nunique()``."""
+                      out: str = "n_distinct", rsd: float | None = None) -> DataFrame:
+    """``groupby(keys)[id_col].nunique()``.
+
+    Exact by default (a dedupe on (keys, id), then a count).  ``rsd`` opts into
+    HyperLogLog++ with that relative standard deviation: one pass, fixed-size
+    state per group, no dedupe shuffle.
+    """
     keys = _keys(keys)
-    return drop_null_keys(df, keys).groupBy(*keys).agg(F.count_distinct(id_col).alias(out))
+    return drop_null_keys(df, keys).groupBy(*keys).agg(_distinct(id_col, rsd).alias(out))
 
 
 def count_by(df: DataFrame, keys: str | Sequence[str], out: str = "n") -> DataFrame:
@@ -91,17 +100,18 @@ def over_domain(agg: DataFrame, domain: DataFrame, key: str, fill: Mapping[str,
 
 
 def kpis(df: DataFrame, revenue: str, quantity: str, order_id: str,
-         revenue_cents_scale: int | None = None) -> DataFrame:
+         revenue_cents_scale: int | None = None, rsd: float | None = None) -> DataFrame:
     """One-row frame: total revenue, total units, distinct orders and two per-order ratios.
 
     All three totals come from one aggregate (one scan).  Ratios divide doubles
     with IEEE rules (x/0 = inf, 0/0 = NaN).  With ``revenue_cents_scale`` the
     revenue column holds whole 1/10^scale units (``functions.measures.cents``).
+    ``rsd`` makes the order count approximate (see ``count_distinct_by``).
     """
     totals = df.agg(
         nan_safe_sum(revenue, is_floating(df, revenue)).alias("total_revenue"),
         nan_safe_sum(quantity, is_floating(df, quantity)).alias("total_quantity"),
-        F.count_distinct(order_id).alias("total_orders"),
+        _distinct(order_id, rsd).alias("total_orders"),
     )
     if revenue_cents_scale is not None:
         totals = totals.withColumn("total_revenue", from_cents("total_revenue", revenue_cents_scale))

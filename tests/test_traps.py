@@ -173,3 +173,14 @@ def test_whole_cents_and_split_units_are_exact(spark):
     assert [r.v for r in rows] == [Decimal("-12345.6789"), Decimal("98765.4321"), Decimal("0.0005")]
     sums = units.agg(F.sum(whole).alias("w"), F.sum(rem).alias("r")).select(join_units("w", "r", 4).alias("v"))
     assert sums.first().v == Decimal(-123456789 + 987654321 + 5) / 10000
+
+
+def test_a2_approximate_distinct_is_opt_in(spark):
+    from tally.operators import kpis
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    exact = count_distinct_by(lines, "l_returnflag", "l_orderkey", "n").collect()
+    approx = count_distinct_by(lines, "l_returnflag", "l_orderkey", "n", rsd=0.02).collect()
+    e, a = {r[0]: r.n for r in exact}, {r[0]: r.n for r in approx}
+    assert e.keys() == a.keys() and all(abs(a[k] - e[k]) <= 0.1 * e[k] for k in e)
+    k = kpis(lines, "l_extendedprice", "l_quantity", "l_orderkey", rsd=0.02).first()
+    assert abs(k.total_orders - lines.select("l_orderkey").distinct().count()) <= 0.1 * k.total_orders
