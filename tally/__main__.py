@@ -2,7 +2,9 @@
 
     python -m tally --data /path/to/tables --out /path/to/results [--format csv] [name ...]
 
-With no names every registered report runs.  ``--list`` prints the names.
+With no names every registered report runs.  ``--list`` prints the names;
+``--explain`` prints each report's physical plan instead of running it
+(``--no-broadcast`` plans as if no dimension fit a broadcast, as at scale).
 """
 
 from __future__ import annotations
@@ -25,17 +27,29 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
     ap.add_argument("--master", default=None, help="Spark master (default: from the environment)")
     ap.add_argument("--list", action="store_true", help="print the report names and exit")
+    ap.add_argument("--explain", action="store_true", help="print physical plans instead of running")
+    ap.add_argument("--no-broadcast", action="store_true",
+                    help="with --explain: plan as if no dimension fit a broadcast")
     args = ap.parse_args(argv)
     if args.list:
         print("\n".join(REPORTS))
         return 0
-    if not args.data or not args.out:
-        ap.error("--data and --out are required")
+    if not args.data or not (args.out or args.explain):
+        ap.error("--data and --out (or --explain) are required")
     unknown = [n for n in args.names if n not in REPORTS]
     if unknown:
         ap.error(f"unknown reports: {unknown}")
     existing = SparkSession.getActiveSession()
     spark = build_session(args.master)
+    if args.explain:
+        if args.no_broadcast:
+            spark.conf.set("tally.broadcast.maxBytes", "0")
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name in args.names or list(REPORTS):
+            print(f"### {name}\n\n```")
+            REPORTS[name](spark, args.data).explain()
+            print("```\n", flush=True)
+        return 0
     for name in args.names or list(REPORTS):
         write_result(REPORTS[name](spark, args.data), f"{args.out.rstrip('/')}/{name}", fmt=args.format)
         print(f"wrote {name}", flush=True)
