@@ -46,3 +46,18 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
     assert df.columns == ["order_month", "sales"] and len(rows) == 12
+
+
+@pytest.mark.parametrize("name", ["calendar_parts", "parse_day_first", "parse_month_first", "orders_by_weekday",
+                                  "orders_by_hour", "orders_by_month_sparse", "first_rows", "kpi_labels"])
+def test_session_zone_and_ansi_do_not_matter(spark, duck01, name):
+    old_tz, old_ansi = spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        problems, _ = compare(spark, duck01, name, entry.queries()[name], entry.oracle_sql()[name],
+                              "/root/testdata/sf0.01")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
+        spark.conf.set("spark.sql.ansi.enabled", old_ansi)
+    assert not problems, problems
