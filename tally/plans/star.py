@@ -52,6 +52,11 @@ _ROWS: dict[int, int] = {}
 _BYTES: dict[int, int] = {}
 
 
+def forget_sizes() -> None:
+    _ROWS.clear()
+    _BYTES.clear()
+
+
 def dimension_rows(dim: DataFrame) -> int:
     """Row count of a dimension, counted once per distinct plan in this process."""
     key = dim.semanticHash()

@@ -26,7 +26,10 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 
 def forget_tables() -> None:
+    """Drop the cached relations and dimension sizes (after the files changed)."""
+    from tally.plans import star
     _RELATIONS.clear()
+    star.forget_sizes()
 
 
 def register_tables(spark: SparkSession, data_dir: str, names=TABLES) -> None:

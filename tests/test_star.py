@@ -36,3 +36,14 @@ def test_rollup_join_equals_line_join(spark, no_broadcast):
     raw = lines.join(part, lines.l_partkey == part.p_partkey).groupBy("p_type").agg(
         F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
     assert got == {r.p_type: (r.q, r.n) for r in raw.collect()}
+
+
+def test_forget_tables_clears_cached_relations_and_sizes(spark):
+    from tally.sources import parquet
+    first = parquet.read_table(spark, D, "part")
+    assert parquet.read_table(spark, D, "part") is first
+    star.fits_broadcast(first.select("p_partkey", "p_type"))
+    assert star._ROWS and star._BYTES
+    parquet.forget_tables()
+    assert not star._ROWS and not star._BYTES
+    assert parquet.read_table(spark, D, "part") is not first
