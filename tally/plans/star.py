@@ -3,10 +3,11 @@
 A dimension is broadcast only after its size is shown to fit under the
 broadcast limit: its row count (a Parquet footer read, no data scan) times the
 fixed slot width first, and, only when that passes (so the table is small), the
-exact bytes of its variable-length values.  Beyond it the fact is first aggregated to the join key (``rollup_join``),
-so the sort-merge join sees one row per key instead of one per line: the
-aggregate and the join hash-partition on the same key, so the pre-aggregation
-adds no shuffle, and a hot key is folded map-side before it is shuffled.
+exact bytes of its variable-length values.  Beyond the limit the fact is first
+aggregated to the join key (``rollup_join``), so the sort-merge join sees one
+row per key instead of one per line: the aggregate and the join hash-partition
+on the same key, so the pre-aggregation adds no shuffle, and a hot key is
+folded map-side before it is shuffled.
 
 The limit is ``spark.sql.autoBroadcastJoinThreshold`` unless the session sets
 ``tally.broadcast.maxBytes`` (0 forces the shuffle path, as the tests do).
@@ -109,10 +110,11 @@ def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
                 pre_aggregate: bool | None = None) -> DataFrame:
     """Join ``dim`` to the fact at the grain (``fact_key``, ``fact_keys``).
 
-    Output: ``fact_key``, ``fact_keys``, every ``sums`` column (summed exactly per
-    grain), optionally ``count_as`` (lines per grain), plus the dimension columns.
-    Summing again over any dimension column gives the same answer as summing
-    the raw lines, because sums and counts are decomposable.
+    Output: ``fact_key``, ``fact_keys``, every ``sums`` column (summed per grain;
+    exact for integer and decimal measures), optionally ``count_as`` (lines per
+    grain), plus the dimension columns.  Summing again over any dimension column
+    gives the same answer as summing the raw lines, because sums and counts are
+    decomposable.
 
     A small dimension is broadcast to the raw lines (no fact shuffle at all);
     a large one meets the fact after the fact is aggregated to the key.
