@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import license_scan, url_filter
+from tally.llm import license_scan, secret_scan, url_filter
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -23,11 +23,17 @@ def op10_url_filter(spark: SparkSession, data_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, data_dir, "pages"), URL_RULES, keep=["page_id"])
 
 
+def op4_secret_scan(spark: SparkSession, data_dir: str) -> DataFrame:
+    """A document is its own repository; its source owns it."""
+    return secret_scan.scan_secrets(_table(spark, data_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, data_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, data_dir, "documents")).drop("detections")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op8_license_scan": op8_license_scan,
     "op10_url_filter": op10_url_filter,
 }
