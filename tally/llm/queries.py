@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import license_scan, secret_scan, url_filter
+from tally.llm import fingerprints, license_scan, packing, secret_scan, url_filter
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -28,12 +28,28 @@ def op4_secret_scan(spark: SparkSession, data_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, data_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, data_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, data_dir, "documents"), tokenizer_path())
+
+
+def op9_fingerprints(spark: SparkSession, data_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, data_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, data_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, data_dir, "documents")).drop("detections")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
+    "op7_packing": op7_packing,
+    "op9_fingerprints": op9_fingerprints,
     "op8_license_scan": op8_license_scan,
     "op10_url_filter": op10_url_filter,
 }
