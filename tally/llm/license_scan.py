@@ -185,6 +185,14 @@ def _starts(words: Column, pattern: Column) -> Column:
         lambda acc: acc["spans"])
 
 
+def _any_word(words: set[str]) -> str:
+    """A pattern of any of the words, grouped by first letter so that most places fail soon."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        first.setdefault(w[0], []).append(w[1:])
+    return " (" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items()) + ")(?= )"
+
+
 def detections(words: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     """(key, kept array<struct<priority, label, confidence, start, end>>) of the rows with detections.
 
@@ -194,12 +202,9 @@ def detections(words: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     spark = words.sparkSession
     table = spark.createDataFrame([(r.label, r.keyword, f"{r.pattern}(?= )", r.priority, r.confidence) for r in rules],
                                   "label string, keyword string, pattern string, priority int, confidence double")
-    gates = sorted({r.keyword for r in rules})
-    # a phrase's keyword is one of its words: cheap containment before any regular expression
-    hits = F.filter(F.array(*[F.when(F.contains("words", F.lit(f" {g} ")), F.lit(g)) for g in gates]),
-                    lambda g: g.isNotNull())
-    gated = words.where(F.col("words").rlike(f" (?:{'|'.join(gates)})(?= )"))  # one pass for most documents
-    found = (gated.select(key, "words", F.explode(hits).alias("keyword"))
+    # one pass finds the keywords that a document holds; most hold none
+    hits = F.array_distinct(F.regexp_extract_all("words", F.lit(_any_word({r.keyword for r in rules})), F.lit(1)))
+    found = (words.select(key, "words", F.explode(hits).alias("keyword"))
              .join(F.broadcast(table), "keyword")
              .where(F.expr("regexp_like(words, pattern)"))
              .select(key, "label", "priority", "confidence",
