@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import fingerprints, license_scan, packing, quality_pu, secret_scan, url_filter
+from tally.llm import fingerprints, html_extract, license_scan, packing, quality_pu, secret_scan, url_filter
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -32,6 +32,10 @@ def op5_quality(spark: SparkSession, data_dir: str) -> DataFrame:
     return quality_pu.score_documents(_table(spark, data_dir, "documents"), _table(spark, data_dir, "labels"))
 
 
+def op6_html_extract(spark: SparkSession, data_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, data_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ def op8_license_scan(spark: SparkSession, data_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
+    "op6_html_extract": op6_html_extract,
     "op7_packing": op7_packing,
     "op9_fingerprints": op9_fingerprints,
     "op8_license_scan": op8_license_scan,
