@@ -127,10 +127,10 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
         if b - a >= size:
             s = np.unique(grams[a:b - size + 1])
         elif b > a:
-            h = np.uint64(b - a)
-            for w in words[a:b]:
-                h = mix64(np.array([h * mult[0] + w], dtype=np.uint64))[0]
-            s = np.array([h], dtype=np.uint64)
+            h = np.array([b - a], dtype=np.uint64)
+            for k in range(a, b):
+                h = mix64(h * mult[0] + words[k:k + 1])
+            s = h
         else:
             s = np.zeros(0, dtype=np.uint64)
         out.append(s)
