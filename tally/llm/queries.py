@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import fingerprints, html_extract, license_scan, minhash_dedup, packing, quality_pu, secret_scan, url_filter
+from tally.llm import fingerprints, html_extract, license_scan, minhash_dedup, packing, quality_pu, secret_scan, url_filter, vafile_topk
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -27,6 +27,10 @@ def op1_near_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, data_dir, "documents"), size=2)
 
 
+def op2_vafile_topk(spark: SparkSession, data_dir: str) -> DataFrame:
+    return vafile_topk.topk(_table(spark, data_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, data_dir: str) -> DataFrame:
     """A document is its own repository; its source owns it."""
     return secret_scan.scan_secrets(_table(spark, data_dir, "documents"))
@@ -60,6 +64,7 @@ def op8_license_scan(spark: SparkSession, data_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_vafile_topk": op2_vafile_topk,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
     "op6_html_extract": op6_html_extract,
