@@ -8,10 +8,49 @@ returns a DataFrame, which is written as Parquet and read again as the next one'
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tally.llm import minhash_dedup, packing, quality_pu, secret_scan
 from tally.llm.common import written
+from tally.llm.queries import tokenizer_path
 
-STAGES: list = []
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality_pu.score_documents(docs, labels, keep=["text", "lang", "source", "n_chars"])
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group: five-word shingles, similarity 0.8 or more.
+
+    The document of a group's least id stays, one row of it; documents without an id stay.
+    """
+    judged = minhash_dedup.near_duplicates(docs, size=5)
+    stay = judged.where("doc_id is not null and kept").select("doc_id").distinct()
+    # one partitioning by id serves the join and the dropping of repeated rows
+    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask live-looking credentials; copied examples and all documents stay."""
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens, in document order."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 
 #: SQL can express neither the classifier nor the tokenizer; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
