@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import fingerprints, html_extract, license_scan, minhash_dedup, packing, quality_pu, secret_scan, url_filter, vafile_topk
+from tally.llm import fingerprints, html_extract, lattice_sampling, license_scan, minhash_dedup, packing, quality_pu, secret_scan, url_filter, vafile_topk
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -31,6 +31,17 @@ def op2_vafile_topk(spark: SparkSession, data_dir: str) -> DataFrame:
     return vafile_topk.topk(_table(spark, data_dir, "embeddings"))
 
 
+def op3_lattice_sampling(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Two distinct segmentations of every document, decoded again."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    drawn = lattice_sampling.sample_segmentations(_table(spark, data_dir, "documents"), model, k=2)
+    drawn = drawn.withColumns({"n_pieces": F.size("ids").cast("long"), "ids_hash": F.xxhash64("ids")})
+    return (lattice_sampling.decode(drawn, model)
+            .select("doc_id", "sample", "n_pieces", "ids_hash", "log_prob", "inclusion",
+                    F.length("text").cast("long").alias("decoded_chars"),
+                    F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32")))
+
+
 def op4_secret_scan(spark: SparkSession, data_dir: str) -> DataFrame:
     """A document is its own repository; its source owns it."""
     return secret_scan.scan_secrets(_table(spark, data_dir, "documents"))
@@ -44,10 +55,10 @@ def op6_html_extract(spark: SparkSession, data_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, data_dir, "pages"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op7_packing(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -65,6 +76,7 @@ def op8_license_scan(spark: SparkSession, data_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_vafile_topk": op2_vafile_topk,
+    "op3_lattice_sampling": op3_lattice_sampling,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
     "op6_html_extract": op6_html_extract,
