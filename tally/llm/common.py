@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,40 @@ def only(df: DataFrame, required: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in required.items()])
 
 
+#: Bits of an id filter, whatever the number of ids: 4 MB.
+FILTER_BITS = 1 << 25
+_FILTER_HASHES = 4
+
+
+def id_filter(ids: DataFrame):
+    """A test ``f(id column) -> boolean column`` that holds for every id of the one-column frame.
+
+    A Bloom filter of fixed size: of other ids it lets few pass while the ids number some
+    millions, and more beyond.  It only saves shuffling rows that a join would drop;
+    an exact join must follow.
+    """
+    places = [F.pmod(F.xxhash64(F.col(ids.columns[0]), F.lit(j)), F.lit(FILTER_BITS)) + 1 for j in range(_FILTER_HASHES)]
+    maps = (ids.select(F.explode(F.array(*places)).alias("p"))
+            .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect())
+    size = 4096  # bytes of Spark's bitmaps
+    data = bytearray(FILTER_BITS // 8)
+    for bucket, bits in maps:  # at most FILTER_BITS / 8 bytes
+        data[(bucket - 1) * size:bucket * size] = bits
+    held = bytes(data)
+
+    @F.pandas_udf("boolean")
+    def holds(p: pd.Series, q: pd.Series, r: pd.Series, s: pd.Series) -> pd.Series:
+        table = np.frombuffer(held, dtype=np.uint8)
+        out = np.ones(len(p), dtype=bool)
+        for c in (p, q, r, s):
+            at = c.to_numpy()
+            out &= (table[at >> 3] >> (at & 7)) & 1 == 1
+        return pd.Series(out)
+
+    return lambda col: holds(*[F.pmod(F.xxhash64(col, F.lit(j)), F.lit(FILTER_BITS)) for j in range(_FILTER_HASHES)])
+
+
 # --- words and hashes of many texts at once --------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 * 8 + 5 & 0xFFFFFFFFFFFFFFFF)

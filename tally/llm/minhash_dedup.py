@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import blocks, mix64, session_partitions, shingle_sets, written
+from tally.llm.common import blocks, id_filter, mix64, session_partitions, shingle_sets, written
 from tally.llm.components import components
 
 
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _candidate_texts(frame: DataFrame, pairs: DataFrame, size: int, banding: Banding) -> DataFrame:
     """(rep, n, sig, text) of the documents in any candidate pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,5 +355,6 @@ def _candidate_texts(frame: DataFrame, pairs: DataFrame, size: int, banding: Ban
                     pa.array([s.tobytes() for s in signatures(sets, banding.hashes)], pa.binary()),
                     b.column(1).take(at)], schema=schema)
 
-    return (frame.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    likely = frame.where(id_filter(ids)(F.col("doc_id")))  # the other texts are not shuffled
+    return (likely.join(ids, "doc_id", "left_semi").select("doc_id", "text")
             .mapInArrow(run, "rep long, n long, sig binary, text string"))
