@@ -2,7 +2,9 @@
 
     python -m tally --data /path/to/tables --out /path/to/results [--format csv] [name ...]
     python -m tally --store-csv orders.csv --out /path/to/results
-    python -m tally --restaurant-csv orders.csv --sizes S,M,L --out /path/to/results
+    python -m tally --restaurant-csv orders.csv [--sizes S,M,L] [--multiline] --out /path/to/results
+
+A CSV is converted once to Parquet (``<out>/order_lines``), which the reports then read.
 
 With no names every registered report runs.  ``--list`` prints the names;
 ``--explain`` prints each report's physical plan instead of running it
@@ -27,7 +29,9 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--data", help="folder holding <table>.parquet")
     ap.add_argument("--store-csv", help="retail order-line CSV (Latin-1, month-first dates)")
     ap.add_argument("--restaurant-csv", help="restaurant order-line CSV (day-first dates)")
-    ap.add_argument("--sizes", help="restaurant: comma-separated size values for the pivot columns")
+    ap.add_argument("--sizes", help="restaurant: the pivot's columns, comma-separated; a line of another size fails")
+    ap.add_argument("--multiline", action="store_true",
+                    help="the CSV has newlines inside quotes (each file is then one task)")
     ap.add_argument("--out", help="folder to write one result per report into")
     ap.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
     ap.add_argument("--master", default=None, help="Spark master (default: from the environment)")
@@ -69,14 +73,19 @@ def main(argv: list[str] | None = None) -> int:
 
 def _run_csv(args) -> int:
     from tally.plans.notebook import restaurant_reports, store_reports
-    from tally.sources.csv import read_restaurant_sales, read_store_sales
+    from tally.sources.csv import (
+        read_restaurant_raw, read_store_raw, restaurant_lines, store_lines, to_parquet,
+    )
     existing = SparkSession.getActiveSession()
     spark = build_session(args.master)
+    parsed = f"{args.out.rstrip('/')}/order_lines"
     if args.store_csv:
-        frames = store_reports(read_store_sales(spark, args.store_csv))
+        raw = to_parquet(read_store_raw(spark, args.store_csv, args.multiline), parsed)
+        frames = store_reports(store_lines(raw), raw=raw)
     else:
+        raw = to_parquet(read_restaurant_raw(spark, args.restaurant_csv, args.multiline), parsed)
         sizes = args.sizes.split(",") if args.sizes else None
-        frames = restaurant_reports(read_restaurant_sales(spark, args.restaurant_csv), sizes=sizes)
+        frames = restaurant_reports(restaurant_lines(raw), sizes=sizes, raw=raw)
     unknown = [n for n in args.names if n not in frames]
     if unknown:
         raise SystemExit(f"unknown reports for this input: {unknown}; known: {sorted(frames)}")

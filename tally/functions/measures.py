@@ -24,10 +24,13 @@ def cents(c: Column | str, scale: int = 2) -> Column:
     """A money value as a whole number of 1/10^scale units (bigint), rounded half-up.
 
     Summing these is exact long arithmetic, far cheaper than a wide decimal sum;
-    ``from_cents`` turns a total back into an exact decimal.  A bigint total holds
-    9.2e18 units (9.2e16 at two decimals); ANSI mode fails rather than wrap.
+    ``from_cents`` turns a total back into an exact decimal.  NaN is null, as in every
+    sum here.  A value of 2^53 units or more, which a double can't hold exactly, fails
+    the query; a bigint total holds 9.2e18 units and fails in ANSI mode rather than wrap.
     """
-    return F.round(_col(c).cast("double") * (10 ** scale)).cast("bigint")
+    units = F.nanvl(_col(c).cast("double"), F.lit(None).cast("double")) * (10 ** scale)
+    return F.when(F.abs(units) >= float(1 << 53), F.raise_error(F.lit("money value beyond 2^53 units")).cast("bigint")) \
+        .otherwise(F.round(units).cast("bigint"))
 
 
 def from_cents(c: Column | str, scale: int = 2) -> Column:
@@ -42,8 +45,7 @@ def split_units(units: Column | str, scale: int = 4) -> tuple[Column, Column]:
     whole = floor(units / 10^scale) and remainder in [0, 10^scale).  Summed
     separately, neither overflows a long even over 10^11 rows of per-row values
     up to 10^9 units (e.g. a line's profit at four decimals), where a single
-    long sum could; ``join_units`` recombines the two totals exactly.  Per-row
-    values must stay below 2^53 units.
+    long sum could; ``join_units`` recombines the two totals exactly.
     """
     base = 10 ** scale
     u = _col(units)
@@ -106,4 +108,16 @@ def format_fixed(c: Column | str, digits: int = 2, thousands: bool = True,
 
 
 def to_text(c: Column | str) -> Column:
-    return _col(c).cast("string")
+    """A number as plain decimal text: ``12345678.9``, not ``1.23456789E7``.
+
+    Floats show at least one decimal (``100.0``), ``nan``, ``inf`` and ``-inf``; magnitudes of
+    1e16 or more, or below 1e-4, keep the exponent.  Other types print as Spark casts them.
+    """
+    c = _col(c)
+    x = c.try_cast("double")
+    plain = F.regexp_replace(x.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    size = F.abs(x)
+    floating = F.typeof(c).isin("double", "float")
+    return (F.when(~floating, c.cast("string"))
+            .when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+            .when(((size < 1e16) & (size >= 1e-4)) | (size == 0), plain).otherwise(c.cast("string")))

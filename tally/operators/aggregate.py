@@ -100,12 +100,15 @@ def over_domain(agg: DataFrame, domain: DataFrame, key: str, fill: Mapping[str,
 
 
 def kpis(df: DataFrame, revenue: str, quantity: str, order_id: str,
-         revenue_cents_scale: int | None = None, rsd: float | None = None) -> DataFrame:
+         revenue_cents_scale: int | None = None, quantity_scale: int | None = None,
+         rsd: float | None = None) -> DataFrame:
     """One-row frame: total revenue, total units, distinct orders and two per-order ratios.
 
     All three totals come from one aggregate (one scan).  Ratios divide doubles
     with IEEE rules (x/0 = inf, 0/0 = NaN).  With ``revenue_cents_scale`` the
-    revenue column holds whole 1/10^scale units (``functions.measures.cents``).
+    revenue column holds whole 1/10^scale units (``functions.measures.cents``), with
+    ``quantity_scale`` likewise the units; a total of units is a bigint only if the
+    column is integral.
     ``rsd`` makes the order count approximate (see ``count_distinct_by``).
     """
     totals = df.agg(
@@ -113,11 +116,14 @@ def kpis(df: DataFrame, revenue: str, quantity: str, order_id: str,
         nan_safe_sum(quantity, is_floating(df, quantity)).alias("total_quantity"),
         _distinct(order_id, rsd).alias("total_orders"),
     )
+    if quantity_scale is not None:
+        totals = totals.withColumn("total_quantity", from_cents("total_quantity", quantity_scale))
+    whole = isinstance(totals.schema["total_quantity"].dataType, T.IntegralType)
     if revenue_cents_scale is not None:
         totals = totals.withColumn("total_revenue", from_cents("total_revenue", revenue_cents_scale))
     return totals.select(
         F.col("total_revenue").cast("double").alias("total_revenue"),
-        F.col("total_quantity").cast("bigint").alias("total_quantity"),
+        F.col("total_quantity").cast("bigint" if whole else "double").alias("total_quantity"),
         F.col("total_orders").cast("bigint").alias("total_orders"),
         safe_ratio("total_revenue", "total_orders").alias("avg_order_value"),
         safe_ratio("total_quantity", "total_orders").alias("avg_quantity_per_order"),

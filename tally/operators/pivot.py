@@ -17,9 +17,11 @@ def pivot_sum(df: DataFrame, index: str, columns: str, values: str,
     """Sum of ``values`` by ``index`` x ``columns``; empty cells get ``fill``.
 
     Rows with a null index or column key are dropped first (no phantom ``null``
-    column).  Pass ``column_values`` when the domain is known: it fixes the output
-    schema and saves the extra distinct job Spark would otherwise run; it is sorted
-    either way.  Spark aggregates per (index, column) first, so the pivot only
+    column).  The columns are the values that occur, found by a distinct job when the
+    plan is built; more than ``spark.sql.pivotMaxValues`` of them (10,000 unless set) is
+    an error, the pivot's limit.  Passing ``column_values`` fixes the output schema and
+    saves that job; a row with a value outside the list then fails the query.  Columns
+    are sorted either way.  Spark aggregates per (index, column) first, so the pivot only
     reshapes already-combined rows.  ``finish`` (e.g. cents to an exact decimal)
     and then ``cast_to`` (e.g. ``'double'``) convert the cells in the same projection.
     """
@@ -29,6 +31,12 @@ def pivot_sum(df: DataFrame, index: str, columns: str, values: str,
         column_values = [r[0] for r in kept.select(columns).distinct().limit(limit + 1).collect()]
         if len(column_values) > limit:
             raise ValueError(f"pivot column {columns!r} has more than {limit} values")
+    else:
+        listed = F.col(columns).isin(list(column_values))
+        unlisted = F.raise_error(F.concat(F.lit(f"pivot column {columns}: value not listed: "),
+                                          F.col(columns).cast("string")))
+        kept = kept.withColumn(columns, F.when(listed, F.col(columns)).otherwise(
+            unlisted.cast(kept.schema[columns].dataType)))
     column_values = sorted(column_values)
     floating = is_floating(kept, values)
     agg = F.sum(F.nanvl(F.col(values), F.lit(None).cast("double"))) if floating else F.sum(values)

@@ -8,7 +8,7 @@ Exact percentiles are found by a distributed selection instead of Spark's
 ``percentile`` aggregate, whose final merge holds every distinct value of a
 column in one task:
 
-1. count rows per (column, distinct value), one narrow branch per column -
+1. count rows per (column, distinct value) in one scan (the columns unpivot) -
    partial aggregation folds a hot value into one row per task, so one value
    holding a third of the table is one row afterwards;
 2. range-partition those (column, value, count) rows and checkpoint them, which
@@ -26,7 +26,6 @@ is scanned once.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,16 +60,16 @@ def profile(df: DataFrame) -> DataFrame:
 def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column_name, value, c): rows per distinct non-null, non-NaN value of each column.
 
-    One narrow branch per column, unioned: each branch reads a single column and
-    folds repeats map-side, and the branches run as parallel tasks.
+    One scan: the columns unpivot to (column, value) pairs, and repeats fold map-side
+    before the shuffle.
     """
-    branches = []
-    for c in cols:
-        v = F.col(f"`{c}`").cast("double")
-        branch = (df.select(v.alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
-                  .groupBy("value").agg(F.count(F.lit(1)).alias("c")))
-        branches.append(branch.select(F.lit(c).alias("column_name"), "value", "c"))
-    return reduce(DataFrame.unionByName, branches)
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("double").alias("value"))
+                      for i, c in enumerate(cols)])
+    long = df.select(F.explode(pairs).alias("p")).select("p.k", "p.value")
+    counts = (long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+              .groupBy("k", "value").agg(F.count(F.lit(1)).alias("c")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return counts.select(F.element_at(names, F.col("k") + 1).alias("column_name"), "value", "c")
 
 
 def ranked_value_counts(df: DataFrame, cols: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -87,20 +86,40 @@ def ranked_value_counts(df: DataFrame, cols: Sequence[str], partitions: int | No
             .checkpoint(eager=True))
 
 
+#: Decimals that the exact sums carry.
+EXACT_SCALE = 6
+
+
 def moments_from_counts(ranged: DataFrame) -> DataFrame:
     """(column_name, n, mean, std, min, max) from (column_name, value, c) rows.
 
-    std is the sample standard deviation from the centred second moment, summed
-    in a second pass over the counts after the means are known.
+    A column whose values all have at most EXACT_SCALE decimals (integers, money, rates) is
+    summed exactly, as whole 1/10^EXACT_SCALE units and their squares: the result does not
+    depend on the order or number of partitions.  Other columns, and sums beyond 38
+    digits, are summed as floats, which depends on the order in the last bits; their std
+    comes from the centred second moment.
     """
-    first = ranged.groupBy("column_name").agg(
+    unit = float(10 ** EXACT_SCALE)
+    units = F.round(F.col("value") * unit)
+    fits = (F.abs(units) < float(1 << 53)) & (units / unit == F.col("value"))
+    whole = F.when(fits, units.cast("bigint")).cast("decimal(19,0)")
+    square = F.try_multiply(whole * whole, F.col("c").cast("decimal(19,0)"))
+    rows = ranged.withColumns({"w": whole * F.col("c").cast("decimal(19,0)"), "w2": square})
+    first = rows.groupBy("column_name").agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.col("value")).alias("s1"),
+        F.bool_and(F.col("w2").isNotNull()).alias("exact"), F.try_sum("w").alias("s"), F.try_sum("w2").alias("q"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    first = first.withColumn("mean", F.col("s1") / F.col("n"))
+    n = F.col("n").cast("double")
+    wide = {c: F.col(c).cast("decimal(38,0)") for c in ("n", "s", "q")}
+    spread = F.try_subtract(F.try_multiply(wide["n"], wide["q"]), F.try_multiply(wide["s"], wide["s"]))
+    first = first.withColumns({
+        "mean": F.when(F.col("exact") & F.col("s").isNotNull(), F.col("s").cast("double") / unit / n)
+        .otherwise(F.col("s1") / n),
+        "spread": F.when(F.col("exact"), spread).cast("double")})
     # one row per column: a bounded broadcast
     centred = ranged.join(F.broadcast(first.select("column_name", "mean")), "column_name").groupBy(
         "column_name").agg(F.sum(F.col("c") * F.pow(F.col("value") - F.col("mean"), 2)).alias("m2"))
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    std = F.when(F.col("n") > 1, F.sqrt(F.coalesce(F.col("spread") / (unit * unit) / (n * (n - 1)), F.col("m2") / (n - 1))))
     return first.join(centred, "column_name").select(
         "column_name", F.col("n").cast("bigint").alias("n"), "mean", std.alias("std"), "min", "max")
 
@@ -177,15 +196,14 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str],
     return row.select(F.explode(cells).alias("r")).select("r.*")
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
-                     digits: int | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """pandas ``describe()`` in long form: (column_name, n, mean, std, min, p25, p50, p75, max).
 
     Exact: every statistic comes from the checkpointed distinct-value counts, so
     the table is scanned once.  Approximate: one aggregate pass over the table
-    with ``percentile_approx``.  ``digits`` rounds mean and std (floating sums
-    depend on summation order in their last bits); percentiles, min and max are
-    exact values.
+    with ``percentile_approx``.  See ``moments_from_counts`` for when mean and std are
+    exact; percentiles, min and max are exact values.  The exact form checkpoints the
+    counts when it is called.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if exact:
@@ -200,8 +218,6 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
         ) for c, v in clean.items()])
         m = df.agg(moments.alias("m")).select(F.explode("m").alias("r")).select("r.*")
         q = approx_quantiles(df, cols)
-    if digits is not None:
-        m = m.withColumn("mean", F.round("mean", digits)).withColumn("std", F.round("std", digits))
     # every column has a row even when it holds no values (n = 0)
     names = df.sparkSession.range(len(cols)).select(
         F.element_at(F.array(*[F.lit(c) for c in cols]), (F.col("id") + 1).cast("int")).alias("column_name"))

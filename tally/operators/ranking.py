@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.operators.aggregate import is_floating
+
 
 def _list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
@@ -23,7 +25,8 @@ def top_k(df: DataFrame, by: str, k: int = 5, tie: str | Sequence[str] = (),
 
     NaN/null measures sort last in both directions; ties go to the smallest ``tie`` value.
     """
-    first = F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by)
+    measure = F.nanvl(F.col(by), F.lit(None).cast("double")) if is_floating(df, by) else F.col(by)
+    first = measure.asc_nulls_last() if ascending else measure.desc_nulls_last()
     return df.orderBy(first, *[F.asc_nulls_last(t) for t in _list(tie)]).limit(k)
 
 

@@ -10,7 +10,7 @@ from tally.functions.text import split_literal, strip_whitespace
 
 def token_counts(df: DataFrame, text_col: str, delimiter: str = ",", drop_empty: bool = False,
                  weight: str | None = None, token: str = "token", out: str = "n") -> DataFrame:
-    """Occurrences of each stripped token, most frequent first (ties by token).
+    """Occurrences of each stripped token, in no order (``ranked_tokens`` sorts them).
 
     The delimiter is literal; leading and trailing Unicode whitespace is stripped.
     Empty pieces (``'a,,b'``, a trailing comma, an empty string) count as the

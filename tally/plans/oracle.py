@@ -16,14 +16,11 @@ PROFIT = ("cast(cast(l.l_extendedprice as decimal(18,2)) * (1 - cast(l.l_discoun
 L_O = "lineitem l join orders o on l.l_orderkey = o.o_orderkey"
 L_P = "lineitem l join part p on l.l_partkey = p.p_partkey"
 L_O_P = f"{L_O} join part p on l.l_partkey = p.p_partkey"
-LINE_COLS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-             "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
 # lineitem's columns and their Spark type names, in table order.
 LINEITEM_TYPES = (("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
                   ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
                   ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
                   ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz"))
-SIZES = ("A", "N", "R")
 
 
 def _domain(names, first):
@@ -51,9 +48,11 @@ def _share(inner_dec: str, key: str, measure: str) -> str:
             f" as share_pct from a order by 1")
 
 
-def _pivot_cells(col: str, values, expr: str) -> str:
-    return ", ".join(f"cast(coalesce(sum(case when {col} = {v!r} then {expr} end), 0) as double) as \"{v}\""
-                     for v in values)
+def _pivot(index: str, out: str, col: str, cell: str) -> str:
+    """A pivot whose columns are the values in the data; ``cell`` is an expression of v."""
+    inner = f"select {index} as {out}, {col} as c, sum({SALES}) as v from {L_P} group by 1, 2"
+    return (f"select {out}, {cell} from (pivot (from ({inner}) where c is not null and {out} is not null) "
+            f"on c using sum(v) group by {out}) order by 1")
 
 
 def _ranked(measure_sql: str, measure: str, desc: bool) -> str:
@@ -73,10 +72,10 @@ def _segment(with_ratio: bool) -> str:
 
 def _kpis() -> str:
     return (f"select cast(sum({SALES}) as double) as total_revenue, "
-            "cast(sum(cast(l.l_quantity as bigint)) as bigint) as total_quantity, "
+            "cast(sum(l.l_quantity) as double) as total_quantity, "
             "count(distinct l.l_orderkey) as total_orders, "
             f"cast(sum({SALES}) as double) / cast(count(distinct l.l_orderkey) as double) as avg_order_value, "
-            "cast(sum(cast(l.l_quantity as bigint)) as double) / cast(count(distinct l.l_orderkey) as double)"
+            "cast(sum(l.l_quantity) as double) / cast(count(distinct l.l_orderkey) as double)"
             " as avg_quantity_per_order from lineitem l")
 
 
@@ -93,30 +92,33 @@ def _profile() -> str:
 
 
 def _describe() -> str:
+    """Moments from exact sums of whole millionths; each exact integer becomes a double through its digits."""
     numeric = [c for c, t in LINEITEM_TYPES if t in ("bigint", "int", "double")]
+    unit = "cast(round({} * 1000000) as hugeint)"
+    dbl = "cast(cast({} as varchar) as double)"
     return " union all ".join(
-        f"select '{c}' as column_name, count({c}) as n, round(avg({c}), 6) as mean, "
-        f"round(stddev_samp({c}), 6) as std, cast(min({c}) as double) as min, "
-        f"cast(quantile_cont({c}, 0.25) as double) as p25, cast(quantile_cont({c}, 0.5) as double) as p50, "
-        f"cast(quantile_cont({c}, 0.75) as double) as p75, cast(max({c}) as double) as max from lineitem"
+        f"select '{c}' as column_name, n, {dbl.format('s')} / 1e6 / n as mean, "
+        f"sqrt({dbl.format('n * q - s * s')} / 1e12 / (cast(n as double) * (n - 1))) as std, min, p25, p50, p75, max "
+        f"from (select count({c}) as n, sum({unit.format(c)}) as s, sum({unit.format(c)} * {unit.format(c)}) as q, "
+        f"cast(min({c}) as double) as min, cast(quantile_cont({c}, 0.25) as double) as p25, "
+        f"cast(quantile_cont({c}, 0.5) as double) as p50, cast(quantile_cont({c}, 0.75) as double) as p75, "
+        f"cast(max({c}) as double) as max from lineitem)"
         for c in numeric)
 
 
 def _rows(desc: bool) -> str:
-    cols = ", ".join(LINE_COLS)
-    order = ", ".join(f"{c} desc" if desc else c for c in LINE_COLS)
-    return f"select {cols} from lineitem order by {order} limit 5"
+    way = "desc" if desc else "asc"
+    key = ["l_orderkey", "l_linenumber"]
+    order = ", ".join(f"{c} {way}" for c in [*key, *[c for c, _ in LINEITEM_TYPES if c not in key]])
+    return f"select * from lineitem order by {order} limit 5"
 
 
 def oracle_sql() -> dict[str, str]:
     cat_sales = (f"select p.p_type as category, sum({SALES}) as sales from {L_P} group by 1")
     cat_profit = (f"select p.p_type as category, sum({PROFIT}) as profit from {L_P} group by 1")
     cat_rev = (f"select p.p_type as category, sum({SALES}) as revenue from {L_P} group by 1")
-    pivot = f"select p.p_type as category, {_pivot_cells('l.l_returnflag', SIZES, SALES)} from {L_P} group by 1"
-    grand = f"(select cast(sum({SALES}) as double) from {L_P})"
-    sizes = [str(s) for s in range(1, 51)]
-    brand_cells = ", ".join(
-        f"cast(coalesce(sum(case when p.p_size = {s} then {SALES} end), 0) as double) as \"{s}\"" for s in sizes)
+    grand = f"(select cast(sum({SALES}) as double) from {L_P} where l.l_returnflag is not null and p.p_type is not null)"
+    cells = "cast(coalesce(columns(* exclude ({})), 0) as double)"
     return {
         "sales_by_month": (f"select cast(month(o.o_orderdate) as integer) as order_month, "
                            f"cast(sum({SALES}) as double) as sales from {L_O} group by 1 order by 1"),
@@ -156,16 +158,15 @@ def oracle_sql() -> dict[str, str]:
             f"select monthname(o.o_orderdate) as month_name, count(distinct l.l_orderkey) as orders "
             f"from {L_O} group by 1", "0"),
         "category_share": _share(cat_rev, "category", "revenue"),
-        "category_size_pivot": pivot + " order by 1",
-        "category_size_share": (f"select category, " + ", ".join(
-            f"100.0::double * \"{s}\" / {grand} as \"{s}\"" for s in SIZES) + f" from ({pivot}) order by 1"),
-        "quantity_by_category": _part_sum("p_type", "category", "cast(l.l_quantity as bigint)", "quantity",
-                                          "bigint"),
-        "top5_by_quantity": _ranked("cast(sum(cast(l.l_quantity as bigint)) as bigint)", "quantity", True),
+        "category_size_pivot": _pivot("p.p_type", "category", "l.l_returnflag", cells.format("category")),
+        "category_size_share": _pivot("p.p_type", "category", "l.l_returnflag",
+                                      f"100.0::double * {cells.format('category')} / {grand}"),
+        "quantity_by_category": _part_sum("p_type", "category", "l.l_quantity", "quantity"),
+        "top5_by_quantity": _ranked("cast(sum(l.l_quantity) as double)", "quantity", True),
         "top5_by_orders": _ranked("count(distinct l.l_orderkey)", "orders", True),
         "top5_by_revenue": _ranked(f"cast(sum({SALES}) as double)", "revenue", True),
         "bottom5_by_revenue": _ranked(f"cast(sum({SALES}) as double)", "revenue", False),
-        "bottom5_by_quantity": _ranked("cast(sum(cast(l.l_quantity as bigint)) as bigint)", "quantity", False),
+        "bottom5_by_quantity": _ranked("cast(sum(l.l_quantity) as double)", "quantity", False),
         "bottom5_by_orders": _ranked("count(distinct l.l_orderkey)", "orders", False),
         "dataset_profile": _profile(),
         "numeric_describe": _describe(),
@@ -184,8 +185,15 @@ def oracle_sql() -> dict[str, str]:
         "orders_by_month_sparse": _zero_filled(
             MONTHS, "month_name", "month_ordinal", "orders",
             "select monthname(ts) as month_name, count(distinct user_id) as orders from events group by 1", "0"),
-        "brand_size_pivot_filled": (f"select p.p_brand as sub_category, {brand_cells} from {L_P} "
-                                    "group by 1 order by 1"),
+        "brand_size_pivot_filled": _pivot("p.p_brand", "sub_category", "p.p_size", cells.format("sub_category")),
+        "weekday_revenue_labels": (
+            f"select weekday, weekday_ordinal, concat('$', {_fmt('revenue')}) as revenue_label from ("
+            + _zero_filled(WEEKDAYS, "weekday", "weekday_ordinal", "revenue",
+                           f"select dayname(o.o_orderdate) as weekday, cast(sum({SALES}) as double) as revenue "
+                           f"from {L_O} group by 1", "0::double") + ")"),
+        "share_labels": (
+            f"select category, regexp_replace(cast(cast(revenue as decimal(38,2)) as varchar), '0$', '') as revenue_text, "
+            f"concat(format('{{:.1f}}', share_pct), '%') as share_label from ({_share(cat_rev, 'category', 'revenue')})"),
         "first_rows": _rows(False),
         "last_rows": _rows(True),
     }

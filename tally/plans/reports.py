@@ -1,7 +1,8 @@
 """The named reports, composed from the operators over the star-schema tables.
 
-Each report is ``f(spark, data_dir) -> DataFrame``; nothing is collected.
-Reports that group line measures by an order, part or customer attribute use
+Each report is ``f(spark, data_dir) -> DataFrame``.  Building one runs no job over the
+lines, but for the pivots' column values and the describe's checkpoint; dimensions are
+counted for the broadcast check.  Reports that group line measures by an order, part or customer attribute use
 ``rollup_join``: the dimension is broadcast when its size is checked small,
 otherwise the lines are summed to the join key before the sort-merge join.
 
@@ -23,21 +24,22 @@ from tally.functions.calendar import (
     hour_of_time, month_dim, month_name, month_number, parse_date, weekday_dim, weekday_name,
     weekday_number, year_number,
 )
-from tally.functions.measures import cents, format_fixed, from_cents, join_units, split_units
+from tally.functions.measures import (
+    cents, format_fixed, from_cents, join_units, split_units, to_text,
+)
 from tally.operators.aggregate import count_distinct_by, kpis, over_domain, sum_by
 from tally.operators.pivot import pivot_sum
 from tally.operators.profiling import describe_numeric, profile, shape
 from tally.operators import ranking
 from tally.operators.ranking import top_k
-from tally.operators.shares import cells_share_of_total, ratio_column, share_of_total
+from tally.operators.shares import cells_share_of_total, grand_total, ratio_column, share_of_total
 from tally.operators.tokens import token_counts
-from tally.plans.star import join_dim, rollup_join
+from tally.plans.star import fits_broadcast, join_dim, rollup_join, salted_join
 from tally.sources.adapters import event_lines, sales_lines
 from tally.sources.parquet import read_table
 
 Report = Callable[[SparkSession, str], DataFrame]
-SIZES = ("A", "N", "R")          # l_returnflag domain, the pivot's size columns
-PART_SIZES = tuple(range(1, 51))  # p_size domain
+QUANTITY_SCALE = 4  # decimals of units that sums carry exactly
 
 
 def _double(df: DataFrame, *cols: str) -> DataFrame:
@@ -50,6 +52,11 @@ def _dollars(df: DataFrame, *cols: str, as_double: bool = True) -> DataFrame:
     return df.withColumns({c: e.cast("double") for c, e in out.items()} if as_double else out)
 
 
+def _units(df: DataFrame) -> DataFrame:
+    """Unit totals, summed exactly in whole 1/10^QUANTITY_SCALE units, as doubles."""
+    return df.withColumn("quantity", from_cents("quantity", QUANTITY_SCALE).cast("double"))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "lineitem")
 
@@ -86,12 +93,28 @@ def _order_rollup(spark: SparkSession, d: str, lines: DataFrame, sums, **attrs)
     return rollup_join(lines, "l_orderkey", _orders_with(spark, d, **attrs), "o_orderkey", sums)
 
 
-def _line_profit(spark: SparkSession, d: str) -> DataFrame:
+def _line_profit(lines: DataFrame, part: DataFrame) -> DataFrame:
     """Lines with exact profit parts (needs the part's list price)."""
-    part = read_table(spark, d, "part").select("p_partkey", "p_retailprice")
-    lines = join_dim(_lines(spark, d), part, "l_partkey", "p_partkey")
+    lines = join_dim(lines, part, "l_partkey", "p_partkey")
     parts = _profit_parts(_profit_units())
-    return lines.select("l_orderkey", *[e.alias(n) for n, e in parts.items()])
+    return lines.select("l_orderkey", cents("l_extendedprice").alias("sales"), *[e.alias(n) for n, e in parts.items()])
+
+
+# Profit of the lines of one part = sum(net) - sum(units) * list price: exact, and decomposable
+# over any set of lines, so lines fold to (group, part) before they meet a large part table.
+NET_PARTS = {"net_whole": "net_whole", "net_rem": "net_rem", "qty": "qty"}
+
+
+def _net_parts() -> dict:
+    whole, rem = split_units(_net_units(), 4)
+    return {"net_whole": whole, "net_rem": rem, "qty": cents("l_quantity")}
+
+
+def _priced_profit():
+    """Exact profit of folded lines: their net total less their units at the part's list price."""
+    cost = (F.col("qty").cast("decimal(38,0)") * cents("p_retailprice").cast("decimal(38,0)")
+            * F.lit(Decimal("0.0001")))
+    return (join_units("net_whole", "net_rem", 4) - cost).cast("decimal(38,4)")
 
 
 def sales_by_month(spark: SparkSession, d: str) -> DataFrame:
@@ -104,10 +127,19 @@ PROFIT_PARTS = {"profit_whole": "profit_whole", "profit_rem": "profit_rem"}
 
 
 def profit_by_month(spark: SparkSession, d: str) -> DataFrame:
-    j = rollup_join(_line_profit(spark, d), "l_orderkey",
-                    _orders_with(spark, d, order_month=month_number("o_orderdate")), "o_orderkey",
-                    PROFIT_PARTS)
-    return _profit_total(sum_by(j, "order_month", PROFIT_PARTS)).orderBy("order_month")
+    """A small part table prices the lines at once.  A large one is met only after the lines
+    are folded to (month, part): orders cost the one line-grain shuffle."""
+    part = _part(spark, d, "p_retailprice")
+    orders = _orders_with(spark, d, order_month=month_number("o_orderdate"))
+    if fits_broadcast(part):
+        j = rollup_join(_line_profit(_lines(spark, d), part), "l_orderkey", orders, "o_orderkey", PROFIT_PARTS)
+        return _profit_total(sum_by(j, "order_month", PROFIT_PARTS)).orderBy("order_month")
+    lines = _lines(spark, d).select("l_orderkey", "l_partkey", *[e.alias(n) for n, e in _net_parts().items()])
+    dated = join_dim(lines, orders, "l_orderkey", "o_orderkey")
+    folded = sum_by(dated, ["order_month", "l_partkey"], NET_PARTS)
+    priced = folded.join(part, folded["l_partkey"] == part["p_partkey"])
+    profit = priced.select("order_month", _priced_profit().alias("profit"))
+    return _double(sum_by(profit, "order_month", {"profit": "profit"}), "profit").orderBy("order_month")
 
 
 def _weekday_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -179,25 +211,21 @@ def _part(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 def _by_part_attr(spark: SparkSession, d: str, attr: str, out: str, measure: str,
                   as_double: bool = True) -> DataFrame:
     sums = {"sales": {"sales": cents("l_extendedprice")},
-            "quantity": {"quantity": F.col("l_quantity").cast("bigint")}}[measure]
+            "quantity": {"quantity": cents("l_quantity", QUANTITY_SCALE)}}[measure]
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, attr), "p_partkey", sums)
     agg = sum_by(j.withColumnRenamed(attr, out), out, {measure: measure})
     if measure == "sales":
         agg = _dollars(agg, measure, as_double=as_double)
+    else:
+        agg = _units(agg)
     return agg.orderBy(out)
 
 
 def _profit_by_part_attr(spark: SparkSession, d: str, attr: str, out: str,
                          as_double: bool = True) -> DataFrame:
-    # profit of a part's lines = sum(net) - sum(units) * list price: exact and decomposable,
-    # so the lines are summed per part before meeting a large part table.
-    whole, rem = split_units(_net_units(), 4)
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, attr, "p_retailprice"), "p_partkey",
-                    {"net_whole": whole, "net_rem": rem, "qty": cents("l_quantity")})
-    cost = (F.col("qty").cast("decimal(38,0)") * cents("p_retailprice").cast("decimal(38,0)")
-            * F.lit(Decimal("0.0001")))
-    j = j.select(F.col(attr).alias(out),
-                 (join_units("net_whole", "net_rem", 4) - cost).cast("decimal(38,4)").alias("profit"))
+                    _net_parts())
+    j = j.select(F.col(attr).alias(out), _priced_profit().alias("profit"))
     agg = sum_by(j, out, {"profit": "profit"})
     return (_double(agg, "profit") if as_double else agg).orderBy(out)
 
@@ -246,26 +274,28 @@ def _category_size_lines(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.col("p_type").alias("category"), F.col("l_returnflag").alias("size"), "revenue")
 
 
-def _category_size_cells(spark: SparkSession, d: str) -> DataFrame:
-    return pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue", SIZES, finish=from_cents)
-
-
 def category_size_pivot(spark: SparkSession, d: str) -> DataFrame:
-    cells = pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue", SIZES,
+    """Revenue by category x size; the columns are the sizes that occur."""
+    cells = pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue",
                       finish=from_cents, cast_to="double")
     return cells.orderBy("category")
 
 
 def category_size_share(spark: SparkSession, d: str) -> DataFrame:
-    return cells_share_of_total(_category_size_cells(spark, d), SIZES).orderBy("category")
+    lines = _category_size_lines(spark, d)
+    cells = pivot_sum(lines, "category", "size", "revenue", finish=from_cents)
+    sizes = [c for c in cells.columns if c != "category"]
+    total = lines.withColumn("revenue", from_cents("revenue"))
+    grand = grand_total(total, ["category", "size"], "revenue")
+    return cells_share_of_total(cells, sizes, grand).orderBy("category")
 
 
 def brand_size_pivot_filled(spark: SparkSession, d: str) -> DataFrame:
-    """Revenue by brand x part size (1-50); cells without lines are 0."""
+    """Revenue by brand x the part sizes that occur; cells without lines are 0."""
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, "p_brand", "p_size"), "p_partkey",
                     {"revenue": cents("l_extendedprice")})
     j = j.select(F.col("p_brand").alias("sub_category"), "p_size", "revenue")
-    return pivot_sum(j, "sub_category", "p_size", "revenue", PART_SIZES, finish=from_cents,
+    return pivot_sum(j, "sub_category", "p_size", "revenue", finish=from_cents,
                      cast_to="double").orderBy("sub_category")
 
 
@@ -286,23 +316,32 @@ def ingredient_top10(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- products
 def product_stats(spark: SparkSession, d: str) -> DataFrame:
     """Units, revenue and distinct orders per product, from one join and one aggregate."""
-    j = sales_lines(spark, d, ["product", "quantity", "sales_cents", "order_id"])
+    j = _product_lines(spark, d, quantity=cents("l_quantity", QUANTITY_SCALE), revenue=cents("l_extendedprice"))
     agg = j.where(F.col("product").isNotNull()).groupBy("product").agg(
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity"),
-        from_cents(F.coalesce(F.sum("sales_cents"), F.lit(0))).cast("double").alias("revenue"),
+        from_cents(F.coalesce(F.sum("revenue"), F.lit(0))).cast("double").alias("revenue"),
         F.count_distinct("order_id").alias("orders"))
-    return agg
+    return _units(agg)
+
+
+def _product_lines(spark: SparkSession, d: str, **measures) -> DataFrame:
+    """Lines with their product name.  A large part table is met salted by the order, so that the
+    lines of a hot part spread; the (product, order) dedupe that follows regroups them anyway."""
+    lines = _lines(spark, d).select("l_partkey", F.col("l_orderkey").alias("order_id"),
+                                    *[e.alias(n) for n, e in measures.items()])
+    j = salted_join(lines, _part(spark, d, "p_name"), "l_partkey", "p_partkey", salt_by="order_id")
+    return j.select(F.col("p_name").alias("product"), "order_id", *measures)
 
 
 def _product_measure(spark: SparkSession, d: str, measure: str) -> DataFrame:
     """(product, measure).  Sums fold the lines per part before the part join;
     distinct orders need the line-grain join."""
     if measure == "orders":
-        return product_stats(spark, d).select("product", "orders")
-    line = {"quantity": F.col("l_quantity").cast("bigint"), "revenue": cents("l_extendedprice")}[measure]
+        return count_distinct_by(_product_lines(spark, d), "product", "order_id", "orders")
+    line = {"quantity": cents("l_quantity", QUANTITY_SCALE), "revenue": cents("l_extendedprice")}[measure]
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, "p_name"), "p_partkey", {measure: line})
     agg = sum_by(j.withColumnRenamed("p_name", "product"), "product", {measure: measure})
-    return _dollars(agg, measure) if measure == "revenue" else agg
+    return _dollars(agg, measure) if measure == "revenue" else _units(agg)
 
 
 def _ranked(measure: str, ascending: bool) -> Report:
@@ -322,19 +361,30 @@ bottom5_by_orders = _ranked("orders", True)
 
 # ---------------------------------------------------------------- segments and KPIs
 def _segment_sums(spark: SparkSession, d: str) -> DataFrame:
-    """Sales and profit per segment: lines -> orders -> customers, summed at each grain."""
-    part = read_table(spark, d, "part").select("p_partkey", "p_retailprice")
-    priced = join_dim(_lines(spark, d), part, "l_partkey", "p_partkey")
-    parts = _profit_parts(_profit_units())
-    per_line = priced.select("l_orderkey", cents("l_extendedprice").alias("sales"),
-                             *[e.alias(n) for n, e in parts.items()])
-    measures = {"sales": "sales", **PROFIT_PARTS}
+    """Sales and profit per segment.
+
+    With a small part table: priced lines -> orders -> customers, summed at each grain.
+    With a large one: lines -> orders (the one line-grain shuffle) folded to (customer,
+    part), -> customers folded to (segment, part), -> part.
+    """
+    part = _part(spark, d, "p_retailprice")
     orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    per_order = rollup_join(per_line, "l_orderkey", orders, "o_orderkey", measures)
     customers = read_table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    per_cust = rollup_join(per_order, "o_custkey", customers, "c_custkey", measures)
-    totals = sum_by(per_cust, "segment", measures)
-    return _profit_total(_dollars(totals, "sales", as_double=False), as_double=False)
+    if fits_broadcast(part):
+        measures = {"sales": "sales", **PROFIT_PARTS}
+        per_order = rollup_join(_line_profit(_lines(spark, d), part), "l_orderkey", orders, "o_orderkey", measures)
+        per_cust = rollup_join(per_order, "o_custkey", customers, "c_custkey", measures)
+        totals = sum_by(per_cust, "segment", measures)
+        return _profit_total(_dollars(totals, "sales", as_double=False), as_double=False)
+    lines = _lines(spark, d).select("l_orderkey", "l_partkey", cents("l_extendedprice").alias("sales"),
+                                    *[e.alias(n) for n, e in _net_parts().items()])
+    measures = {"sales": "sales", **NET_PARTS}
+    ordered = join_dim(lines, orders, "l_orderkey", "o_orderkey")
+    per_cust = rollup_join(ordered, "o_custkey", customers, "c_custkey", measures, fact_keys=["l_partkey"])
+    folded = sum_by(per_cust, ["segment", "l_partkey"], measures)
+    priced = folded.join(part, folded["l_partkey"] == part["p_partkey"])
+    rows = priced.select("segment", from_cents("sales").alias("sales"), _priced_profit().alias("profit"))
+    return sum_by(rows, "segment", {"sales": "sales", "profit": "profit"})
 
 
 def sales_profit_by_segment(spark: SparkSession, d: str) -> DataFrame:
@@ -349,9 +399,9 @@ def sales_to_profit_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 def kpi_summary(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d).select(cents("l_extendedprice").alias("revenue"),
-                                    F.col("l_quantity").cast("bigint").alias("quantity"),
+                                    cents("l_quantity", QUANTITY_SCALE).alias("quantity"),
                                     F.col("l_orderkey").alias("order_id"))
-    return kpis(lines, "revenue", "quantity", "order_id", revenue_cents_scale=2)
+    return kpis(lines, "revenue", "quantity", "order_id", revenue_cents_scale=2, quantity_scale=QUANTITY_SCALE)
 
 
 def kpi_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -361,9 +411,23 @@ def kpi_labels(spark: SparkSession, d: str) -> DataFrame:
                       ("total_quantity", "total_orders", "avg_order_value", "avg_quantity_per_order")])
 
 
+# ---------------------------------------------------------------- labels of the figures
+def weekday_revenue_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Revenue by weekday with its bar label (``$1,234.50``)."""
+    r = revenue_by_weekday(spark, d)
+    return r.select("weekday", "weekday_ordinal", format_fixed("revenue", 2, prefix="$").alias("revenue_label")) \
+        .orderBy("weekday_ordinal")
+
+
+def share_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Category revenue as plain text and its share as a percent label (``12.2%``)."""
+    s = category_share(spark, d)
+    return s.select("category", to_text("revenue").alias("revenue_text"),
+                    format_fixed("share_pct", 1, thousands=False, suffix="%").alias("share_label")).orderBy("category")
+
+
 # ---------------------------------------------------------------- inspection
-LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-              "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
+LINE_KEY = ("l_orderkey", "l_linenumber")  # leads the order of rows; all other columns follow
 
 
 def dataset_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +439,7 @@ def dataset_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def numeric_describe(spark: SparkSession, d: str) -> DataFrame:
-    return describe_numeric(_lines(spark, d), digits=6)
+    return describe_numeric(_lines(spark, d))
 
 
 def first_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -387,8 +451,9 @@ def last_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _head(spark: SparkSession, d: str, last: bool) -> DataFrame:
-    lines = _lines(spark, d).select(*LINE_ORDER)
-    return (ranking.last_rows if last else ranking.first_rows)(lines, list(LINE_ORDER), 5)
+    lines = _lines(spark, d)
+    order = [*LINE_KEY, *[c for c in lines.columns if c not in LINE_KEY]]
+    return (ranking.last_rows if last else ranking.first_rows)(lines, order, 5)
 
 
 REPORTS: dict[str, Report] = {
@@ -428,6 +493,8 @@ REPORTS: dict[str, Report] = {
     "dataset_shape": dataset_shape,
     "orders_by_month_sparse": orders_by_month_sparse,
     "brand_size_pivot_filled": brand_size_pivot_filled,
+    "weekday_revenue_labels": weekday_revenue_labels,
+    "share_labels": share_labels,
     "first_rows": first_rows,
     "last_rows": last_rows,
 }

@@ -49,21 +49,14 @@ def broadcast_limit(df: DataFrame) -> int:
         return int(float(s[:-1]) * units[s[-1]]) if s[-1] in units else int(float(s))
 
 
-_ROWS: dict[int, int] = {}
-_BYTES: dict[int, int] = {}
+#: (rows, exact bytes or None) of dimensions measured so far, by plan and files.
+_SIZES: dict[tuple, tuple[int, int | None]] = {}
 
 
-def forget_sizes() -> None:
-    _ROWS.clear()
-    _BYTES.clear()
-
-
-def dimension_rows(dim: DataFrame) -> int:
-    """Row count of a dimension, counted once per distinct plan in this process."""
-    key = dim.semanticHash()
-    if key not in _ROWS:
-        _ROWS[key] = dim.count()
-    return _ROWS[key]
+def _identity(dim: DataFrame) -> tuple:
+    """The plan, its input files and their total size: changes when the files do."""
+    size = dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return dim.semanticHash(), int(str(size)), hash(tuple(sorted(dim.inputFiles())))
 
 
 def dimension_bytes(dim: DataFrame, limit: int) -> int:
@@ -72,18 +65,19 @@ def dimension_bytes(dim: DataFrame, limit: int) -> int:
     Rows (a Parquet footer read) x fixed slot bytes is a lower bound; if that
     already exceeds ``limit`` the dimension is large and nothing is scanned.
     Otherwise the table is small, and the bytes of its variable-length values
-    are added exactly by one pass over it.
+    are added exactly by one pass over it.  Both are measured again once the files differ.
     """
-    rows = dimension_rows(dim)
+    key = _identity(dim)
+    rows, wide = _SIZES.get(key, (None, None))
+    if rows is None:
+        rows = dim.count()
     fixed = rows * _fixed_bytes(dim)
     var = _variable_fields(dim)
-    if fixed > limit or not var:
-        return fixed
-    key = dim.semanticHash()
-    if key not in _BYTES:
+    if fixed <= limit and var and wide is None:
         width = sum(F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in var)
-        _BYTES[key] = int(dim.agg(F.sum(width)).first()[0] or 0)
-    return fixed + _BYTES[key]
+        wide = int(dim.agg(F.sum(width)).first()[0] or 0)
+    _SIZES[key] = rows, wide
+    return fixed if fixed > limit else fixed + (wide or 0)
 
 
 def fits_broadcast(dim: DataFrame) -> bool:
@@ -104,13 +98,33 @@ def join_dim(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     return fact.join(side, fact[fact_key] == side[dim_key], how)
 
 
+#: Copies of a large dimension in a salted join: a hot key's lines spread over as many tasks.
+SALTS = 16
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, salt_by: str,
+                salts: int = SALTS) -> DataFrame:
+    """Line-grain equi-join whose hot keys spread over ``salts`` tasks.
+
+    A small dimension is broadcast.  A large one is repeated per salt, and a line's salt
+    is a hash of ``salt_by``.
+    """
+    if fits_broadcast(dim):
+        return join_dim(fact, dim, fact_key, dim_key)
+    side = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    lines = fact.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    return lines.join(side, (lines[fact_key] == side[dim_key]) & (lines["_salt"] == side["_dim_salt"])) \
+        .drop("_salt", "_dim_salt")
+
+
 def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
                 sums: Mapping[str, Column | str] | None = None,
                 fact_keys: Sequence[str] = (), count_as: str | None = None,
                 pre_aggregate: bool | None = None) -> DataFrame:
-    """Join ``dim`` to the fact at the grain (``fact_key``, ``fact_keys``).
+    """Join ``dim`` to the fact, folded to the grain (``fact_key``, ``fact_keys``) where that pays.
 
-    Output: ``fact_key``, ``fact_keys``, every ``sums`` column (summed per grain;
+    The number of rows is not fixed: lines where the dimension is small, one row a grain
+    where it is large.  Callers aggregate again.  Output: ``fact_key``, ``fact_keys``, every ``sums`` column (summed per grain;
     exact for integer and decimal measures), optionally ``count_as`` (lines per
     grain), plus the dimension columns.  Summing again over any dimension column
     gives the same answer as summing the raw lines, because sums and counts are

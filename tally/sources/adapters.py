@@ -10,7 +10,7 @@ column           expression                                  tables
 ===============  ==========================================  ============
 order_id         l_orderkey                                  lineitem
 line_number      l_linenumber                                lineitem
-quantity         bigint(l_quantity)                          lineitem
+quantity         l_quantity                                  lineitem
 sales            decimal(18,2)(l_extendedprice)              lineitem
 sales_cents      the same in whole cents (bigint)            lineitem
 profit           sales * (1 - discount) - quantity * retail  + part
@@ -51,7 +51,7 @@ def profit_expr() -> Column:
 FACT_COLUMNS: dict[str, tuple[frozenset, object]] = {
     "order_id": (frozenset(), lambda: F.col("l_orderkey")),
     "line_number": (frozenset(), lambda: F.col("l_linenumber")),
-    "quantity": (frozenset(), lambda: F.col("l_quantity").cast("bigint")),
+    "quantity": (frozenset(), lambda: F.col("l_quantity")),
     "sales": (frozenset(), lambda: money("l_extendedprice")),
     "sales_cents": (frozenset(), lambda: cents("l_extendedprice")),
     "size": (frozenset(), lambda: F.col("l_returnflag")),

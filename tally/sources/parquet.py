@@ -8,28 +8,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_RELATIONS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """Lazy scan; Catalyst prunes columns and pushes filters into it.
 
-    The relation (file listing and footer schema) is resolved once per session
-    and path; DataFrames are immutable, so every report reuses it.  Call
-    ``forget_tables()`` after the files change.
+    The files are listed at each call: files that land later are in the next one.
     """
-    path = f"{data_dir.rstrip('/')}/{name}.parquet"
-    key = (id(getattr(spark, "_jsparkSession", spark)), path)
-    if key not in _RELATIONS:
-        _RELATIONS[key] = spark.read.parquet(path)
-    return _RELATIONS[key]
-
-
-def forget_tables() -> None:
-    """Drop the cached relations and dimension sizes (after the files changed)."""
-    from tally.plans import star
-    _RELATIONS.clear()
-    star.forget_sizes()
+    return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, data_dir: str, names=TABLES) -> None:

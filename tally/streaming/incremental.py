@@ -5,8 +5,9 @@ a sum or a line count per key (monthly sales and profit, sales by category,
 units by category, the size pivot's cells) is maintained by Spark's stateful
 streaming aggregation.  State and progress live under ``checkpoint`` (shared
 storage on a cluster), so a restarted or partly lost query resumes where it
-stopped.  Results go to a ``foreachBatch`` writer that overwrites the current
-answer as one Parquet table per report, or to a memory table in tests.
+stopped.  Results go to a ``foreachBatch`` writer, one Parquet folder per epoch and
+report; ``latest`` reads the last complete one, so that there always is an answer.
+In tests they may go to a memory table.
 
 Distinct-order counts are not additive across files and stay batch reports.
 """
@@ -46,10 +47,40 @@ def read_line_stream(spark: SparkSession, folder: str, schema: T.StructType,
     return reader.parquet(folder)
 
 
-def _overwrite(path: str) -> Callable[[DataFrame, int], None]:
+KEPT_EPOCHS = 2
+
+
+def _folders(spark: SparkSession, path: str) -> dict[int, object]:
+    """Complete epoch folders (those with a success marker) under a report's folder."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return {}
+    found = {}
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("epoch-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            found[int(name[6:])] = f.getPath()
+    return found
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete answer of a report."""
+    folders = _folders(spark, path)
+    if not folders:
+        raise FileNotFoundError(f"no complete epoch under {path}")
+    return spark.read.parquet(folders[max(folders)].toString())
+
+
+def _write_epochs(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, epoch_id: int) -> None:
-        # Complete mode hands over the whole current answer: replacing it is idempotent.
-        batch.write.mode("overwrite").parquet(path)
+        # Complete mode hands over the whole current answer; a repeated epoch replaces its own folder.
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/epoch-{epoch_id}")
+        folders = _folders(spark, path)
+        for old in sorted(folders)[:-KEPT_EPOCHS]:
+            folders[old].getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folders[old], True)
     return write
 
 
@@ -73,7 +104,7 @@ def start_reports(lines: DataFrame, out_dir: str | None, checkpoint: str,
         if memory:
             w = w.format("memory")
         else:
-            w = w.foreachBatch(_overwrite(f"{out_dir.rstrip('/')}/{name}"))
+            w = w.foreachBatch(_write_epochs(f"{out_dir.rstrip('/')}/{name}"))
         queries[name] = w.start()
     return queries
 
@@ -85,4 +116,4 @@ def finish(queries: Mapping[str, StreamingQuery]) -> None:
         q.stop()
 
 
-__all__ = ["additive_reports", "read_line_stream", "start_reports", "finish"]
+__all__ = ["additive_reports", "read_line_stream", "start_reports", "finish", "latest"]

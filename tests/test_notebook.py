@@ -6,11 +6,17 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tally.functions.calendar import WEEKDAY_NAMES
+from tally.operators.pivot import pivot_sum
 from tally.plans import reports
 from tally.plans.notebook import RestaurantColumns, StoreColumns, restaurant_reports, store_reports
 from tally.sources.adapters import sales_lines
-from tally.sources.csv import read_restaurant_sales, read_store_sales
+from tally.sources.csv import (
+    read_csv_text, read_restaurant_raw, read_restaurant_sales, read_store_raw, read_store_sales, restaurant_lines, store_lines,
+    to_parquet,
+)
 
 STORE_CSV = """Row ID,Order Date,Ship Date,Segment,Category,Sub-Category,Sales,Profit
 1,11/8/2016,11/11/2016,Consumer,Furniture,Bookcases,261.96,41.9136
@@ -72,11 +78,12 @@ def test_restaurant_against_pandas(pizza):
     k = out["kpi_summary"].first()
     assert math.isclose(k.total_revenue, pdf["total_price"].sum())
     assert k.total_quantity == pdf["quantity"].sum() and k.total_orders == pdf["order_id"].nunique()
-    ing = pdf["pizza_ingredients"].str.split(",").explode().str.strip().value_counts()
     got = {r.ingredient: r.n for r in out["ingredient_counts"].collect()}
-    assert got == ing.to_dict()
+    assert got == {"Sliced Ham": 2, "Pineapple": 3, "Mozzarella Cheese": 3, "Pepperoni": 1, "Mushrooms": 1,
+                   "Red Onions": 1, "Red Peppers": 1, "Bacon": 1, "Provolone Cheese": 1, "Calabrese Salami": 1,
+                   "Capocollo": 1, "Tomatoes": 2, "Chicken": 1}
     wd = [(r.weekday, r.orders) for r in out["orders_by_weekday"].collect()]
-    assert [w for w, _ in wd] == ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+    assert [w for w, _ in wd] == list(WEEKDAY_NAMES)
     # day-first dates: 1 Jan, 13 Jan, 2 Feb, 7 Mar 2015 (Thu, Tue, Mon, Sat)
     assert dict(wd) == {"Monday": 1, "Tuesday": 1, "Wednesday": 0, "Thursday": 2, "Friday": 0,
                         "Saturday": 1, "Sunday": 0}
@@ -84,9 +91,12 @@ def test_restaurant_against_pandas(pizza):
     assert months["January"] == 3 and months["February"] == 1 and months["March"] == 1 and months["May"] == 0
     assert [(r.order_hour, r.orders) for r in out["orders_by_hour"].collect()] == [(9, 1), (11, 2), (17, 1), (23, 1)]
     piv = {r.category: (r.L, r.M, r.S) for r in out["category_size_pivot"].collect()}
-    expect = pdf.pivot_table(index="pizza_category", columns="pizza_size", values="total_price",
-                             aggfunc="sum", fill_value=0)
-    assert piv == {i: tuple(float(v) for v in row) for i, row in zip(expect.index, expect.values)}
+    assert piv == {"Classic": (0.0, 29.25, 10.5), "Veggie": (37.0, 0.0, 0.0), "Supreme": (20.75, 0.0, 0.0),
+                   "Chicken": (62.25, 0.0, 0.0)}
+    labels = {r.weekday: r.revenue_label for r in out["weekday_revenue_labels"].collect()}
+    assert labels["Thursday"] == "$66.25" and labels["Wednesday"] == "$0.00"
+    text = {r.category: (r.revenue_text, r.share_label) for r in out["share_labels"].collect()}
+    assert text["Veggie"] == ("37.0", "23.2%") and text["Classic"] == ("39.75", "24.9%")
     top = [r.product for r in out["top5_by_revenue"].collect()]
     assert top == list(pdf.groupby("pizza_name")["total_price"].sum().sort_values(ascending=False).head(5).index)
     d = {r.column_name: r for r in out["numeric_describe"].collect()}
@@ -111,3 +121,83 @@ def test_flat_reports_equal_star_reports(spark):
         a = sorted(tuple(r) for r in frames[name].collect())
         b = sorted(tuple(r) for r in reports.REPORTS[name](spark, d).collect())
         assert a == b, name
+
+
+def _jobs(spark) -> int:
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy"))
+
+
+def test_reports_run_no_job_before_they_are_asked_for(spark, pizza):
+    df, _ = pizza
+    spark.sparkContext.setJobGroup("lazy", "reports")
+    try:
+        out = restaurant_reports(df)
+        assert len(out) > 20 and "numeric_describe" in out
+        assert _jobs(spark) == 0
+        out["kpi_summary"].collect()
+        assert _jobs(spark) > 0
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_raw_inspection_of_a_csv(spark, tmp_path):
+    src = tmp_path / "pizza.csv"
+    src.write_text(PIZZA_CSV)
+    pdf = pd.read_csv(src)
+    raw = to_parquet(read_restaurant_raw(spark, str(src)), str(tmp_path / "lines"))
+    out = restaurant_reports(restaurant_lines(raw), raw=raw)
+    assert [r.column_name for r in out["dataset_profile"].orderBy("ordinal").collect()] == list(pdf.columns)
+    assert tuple(out["dataset_shape"].first()) == pdf.shape
+    d = {r.column_name: r for r in out["numeric_describe"].collect()}
+    want = pdf.describe()
+    assert set(d) == set(want.columns)
+    for c in want.columns:
+        assert math.isclose(d[c]["mean"], want[c]["mean"]) and math.isclose(d[c]["std"], want[c]["std"])
+    assert [r.pizza_id for r in out["first_rows"].collect()] == list(pdf.head(5).pizza_id)
+    assert [r.pizza_id for r in out["last_rows"].collect()] == list(pdf.tail(5).pizza_id)
+    store = tmp_path / "store.csv"
+    store.write_bytes(STORE_CSV.encode("latin-1"))
+    raw = read_store_raw(spark, str(store))
+    assert [r.row_id for r in store_reports(store_lines(raw), raw=raw)["first_rows"].collect()] == [1, 2, 3, 4, 5]
+
+
+def test_large_csv_is_split(spark, tmp_path):
+    src = tmp_path / "big.csv"
+    header, *rows = PIZZA_CSV.strip().split("\n")
+    src.write_text("\n".join([header, *(rows * 2000)]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        assert read_restaurant_sales(spark, str(src)).rdd.getNumPartitions() > 4
+        assert read_restaurant_sales(spark, str(src), multiline=True).rdd.getNumPartitions() == 1
+        tail = store_reports(read_restaurant_raw(spark, str(src)).withColumnsRenamed(
+            {"total_price": "sales", "unit_price": "profit", "pizza_category": "category", "pizza_size": "sub_category",
+             "pizza_name": "segment"}).withColumn("order_date", F.to_date(F.lit("2015-01-01"))))["last_rows"]
+        assert [r.pizza_id for r in tail.collect()] == [2, 3, 4, 5, 6]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_quoted_newline_fails_without_multiline(spark, tmp_path):
+    src = tmp_path / "broken.csv"
+    src.write_text('a,b,c\n1,"x\ny",2\n3,z,4\n')
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        read_csv_text(spark, str(src)).select("a").collect()
+    assert read_csv_text(spark, str(src), multiline=True).count() == 2
+
+
+def test_pivot_shows_every_size(spark, pizza):
+    """An unlisted size fails; without a list the matrix holds all revenue, and shares divide by it."""
+    df, pdf = pizza
+    out = restaurant_reports(df)
+    cells = out["category_size_pivot"]
+    total = sum(sum(r[c] for c in cells.columns if c != "category") for r in cells.collect())
+    assert math.isclose(total, out["kpi_summary"].first().total_revenue)
+    shares = out["category_size_share"].collect()
+    assert math.isclose(sum(r.L + r.M + r.S for r in shares), 100.0)
+    with pytest.raises(Exception, match="not listed"):
+        restaurant_reports(df, sizes=["L", "M"])["category_size_pivot"].collect()
+    toy = spark.createDataFrame([("x", "A", 10), ("x", "B", 30)], "i string, c string, v int")
+    with pytest.raises(Exception, match="not listed"):
+        pivot_sum(toy, "i", "c", "v", ["A"]).collect()
+    assert pivot_sum(toy, "i", "c", "v", ["A", "B", "C"]).collect()[0] == ("x", 10, 30, 0)

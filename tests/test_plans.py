@@ -10,9 +10,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from tally.plans import reports
 
 D = "/root/testdata/sf0.01"
-NAMES = sorted(entry.queries())
+NAMES = sorted(reports.REPORTS)
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
              "CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -69,6 +70,42 @@ def test_describe_uses_no_single_task_percentile(spark):
     assert "percentile(" not in text.lower().replace("percentile_approx", "")
 
 
+@pytest.mark.parametrize("name", ["profit_by_month", "sales_profit_by_segment", "sales_to_profit_ratio"])
+def test_profit_shuffles_lines_once(no_broadcast, name):
+    """Orders cost the one line-grain shuffle: lines meet part only folded to (group, part)."""
+    text = plan(entry.queries()[name](no_broadcast, D))
+    assert len(re.findall(r"hashpartitioning\(l_orderkey#\d+L?, \d+\)", text)) == 1
+    # the shuffle by part comes after a partial aggregate that holds the group
+    assert re.search(r"Keys \[2\]: \[(order_month|segment)#\d+, l_partkey#\d+L?\]", text)
+
+
+@pytest.mark.parametrize("name", ["top5_by_orders", "bottom5_by_orders"])
+def test_order_rankings_meet_parts_salted(no_broadcast, name):
+    text = plan(entry.queries()[name](no_broadcast, D))
+    assert re.search(r"hashpartitioning\(l_partkey#\d+L?, _salt#\d+", text)
+
+
+def test_hot_part_is_spread_by_the_salt(spark, no_broadcast):
+    """Of lines that all hold one part, no task of the salted join gets more than its salt's share."""
+    from pyspark.sql import functions as F
+    from tally.plans import star
+    lines = spark.range(16000).select(F.lit(7).cast("long").alias("l_partkey"), F.col("id").alias("order_id"))
+    part = spark.range(100).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name"))
+    joined = star.salted_join(lines, part, "l_partkey", "p_partkey", "order_id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 16000 and len(sizes) >= 4 and max(sizes) < 8000
+
+
+def test_describe_scans_once(spark):
+    from tally.operators.profiling import _value_counts, numeric_columns
+    lines = spark.read.parquet(f"{D}/lineitem.parquet")
+    assert plan(_value_counts(lines, numeric_columns(lines))).count("Scan parquet") <= 2  # tree and details
+
+
 def test_share_total_reuses_the_aggregate(spark):
     df = entry.queries()["sales_share_by_category"](spark, D)
     df.collect()

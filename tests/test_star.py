@@ -38,12 +38,19 @@ def test_rollup_join_equals_line_join(spark, no_broadcast):
     assert got == {r.p_type: (r.q, r.n) for r in raw.collect()}
 
 
-def test_forget_tables_clears_cached_relations_and_sizes(spark):
+def test_grown_tables_are_seen(spark, tmp_path):
+    """Files that land later are read, and a dimension's size is measured again."""
     from tally.sources import parquet
-    first = parquet.read_table(spark, D, "part")
-    assert parquet.read_table(spark, D, "part") is first
-    star.fits_broadcast(first.select("p_partkey", "p_type"))
-    assert star._ROWS and star._BYTES
-    parquet.forget_tables()
-    assert not star._ROWS and not star._BYTES
-    assert parquet.read_table(spark, D, "part") is not first
+    path = f"{tmp_path}/dim.parquet"
+    spark.range(10).write.parquet(path)
+    small = parquet.read_table(spark, str(tmp_path), "dim")
+    spark.conf.set("tally.broadcast.maxBytes", "10000")
+    try:
+        assert star.fits_broadcast(small) and small.count() == 10
+        spark.range(10, 5000).write.mode("append").parquet(path)
+        grown = parquet.read_table(spark, str(tmp_path), "dim")
+        assert grown.count() == 5000
+        assert star.dimension_bytes(grown, 1 << 30) == 5000 * 24
+        assert not star.fits_broadcast(grown)
+    finally:
+        spark.conf.unset("tally.broadcast.maxBytes")

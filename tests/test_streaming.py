@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tally.plans import reports
 from tally.sources.adapters import sales_lines
-from tally.streaming import additive_reports, finish, read_line_stream, start_reports
+from tally.streaming import additive_reports, finish, latest, read_line_stream, start_reports
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,7 +38,7 @@ def test_stream_to_parquet_sink(spark, tmp_path):
     stream = read_line_stream(spark, src, lines.schema)
     finish(start_reports(stream, out, str(tmp_path / "ckpt"), names=["category_size_cells"],
                          trigger_once=True))
-    cells = spark.read.parquet(f"{out}/category_size_cells")
+    cells = latest(spark, f"{out}/category_size_cells")
     total = cells.agg(F.sum("revenue")).first()[0]
     assert total == lines.agg(F.sum("sales")).first()[0]
     assert set(additive_reports()) >= {"sales_by_month", "category_size_cells"}
@@ -57,7 +57,7 @@ def test_stream_resumes_from_checkpoint(spark, tmp_path):
     def run():
         stream = read_line_stream(spark, str(src / "*"), schema)
         finish(start_reports(stream, out, ckpt, names=["sales_by_category"], trigger_once=True))
-        return {r.category: r.sales for r in spark.read.parquet(f"{out}/sales_by_category").collect()}
+        return {r.category: r.sales for r in latest(spark, f"{out}/sales_by_category").collect()}
 
     first = run()
     parts[1].write.parquet(str(src / "b"))

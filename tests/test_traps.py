@@ -30,7 +30,7 @@ def _csv(tmp_path, text, name="in.csv", encoding="utf-8"):
 
 def test_t1_quotes_and_newlines(spark, tmp_path):
     path = _csv(tmp_path, 'id,txt\n1,"x ""q"" y"\n2,"line one\nline two"\n')
-    rows = read_csv_text(spark, path).orderBy("id").collect()
+    rows = read_csv_text(spark, path, multiline=True).orderBy("id").collect()
     assert [r.txt for r in rows] == ['x "q" y', "line one\nline two"]
 
 
@@ -184,3 +184,51 @@ def test_a2_approximate_distinct_is_opt_in(spark):
     assert e.keys() == a.keys() and all(abs(a[k] - e[k]) <= 0.1 * e[k] for k in e)
     k = kpis(lines, "l_extendedprice", "l_quantity", "l_orderkey", rsd=0.02).first()
     assert abs(k.total_orders - lines.select("l_orderkey").distinct().count()) <= 0.1 * k.total_orders
+
+
+def test_fractional_units_and_nan_price_at_report_level(spark, tmp_path):
+    """Units are not cut to whole numbers, and a NaN price is skipped, in the registered reports."""
+    from tally.plans import reports
+    src = "/root/testdata/sf0.001"
+    for t in ("orders", "part", "customer"):
+        spark.read.parquet(f"{src}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    li = spark.read.parquet(f"{src}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(4)
+    rows = [r.asDict() for r in li.collect()]
+    for r, q, p in zip(rows, (1.5, 1.0, 2.7, 0.125), (10.0, float("nan"), 20.25, 1.0)):
+        r["l_quantity"], r["l_extendedprice"] = q, p
+    spark.createDataFrame(rows, li.schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = str(tmp_path)
+    k = reports.kpi_summary(spark, d).first()
+    assert k.total_quantity == 5.325 and k.total_revenue == 31.25
+    assert k.avg_quantity_per_order == 5.325 / k.total_orders
+    assert sum(r.quantity for r in reports.quantity_by_category(spark, d).collect()) == pytest.approx(5.325)
+    assert sum(r.sales for r in reports.sales_by_month(spark, d).collect()) == 31.25
+    assert sum(r.quantity for r in reports.top5_by_quantity(spark, d).collect()) == pytest.approx(5.325)
+
+
+def test_cents_fails_beyond_its_range(spark):
+    from tally.functions.measures import cents
+    df = spark.createDataFrame([(1e15,)], "x double")
+    with pytest.raises(ERRORS):
+        df.select(cents("x")).collect()
+
+
+def test_f3_plain_text(spark):
+    from tally.functions.measures import to_text
+    df = spark.createDataFrame([(12345678.9,), (100.0,), (-0.25,), (0.0,), (float("nan"),), (None,), (1e20,)], "x double")
+    got = [r.s for r in df.select(to_text("x").alias("s")).collect()]
+    assert got == ["12345678.9", "100.0", "-0.25", "0.0", "nan", None, "1.0E20"]
+    assert spark.range(1).select(to_text("id").alias("s")).first().s == "0"
+
+
+def test_describe_does_not_depend_on_partitions(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = set()
+    try:
+        for n in ("2", "4", "8", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.add(tuple(sorted(tuple(r) for r in describe_numeric(lines).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(seen) == 1
