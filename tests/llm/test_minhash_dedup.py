@@ -1,0 +1,112 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tally.llm import minhash_dedup
+from tally.llm.common import shingle_sets
+from tally.llm.components import components
+from tally.llm.minhash_dedup import Banding, band_keys, near_duplicates, signatures, table_keys
+from tests.llm.common import DATA, LOWER, ODD_TEXTS, WORD, by_id, empty_like, odd_documents
+
+
+def brute(rows, size):
+    """component and set size per id, by comparing all pairs of distinct sets."""
+    sets = {}
+    for r in rows:
+        if r.doc_id is not None:
+            w = WORD.findall((r.text or "").translate(LOWER))
+            s = frozenset(zip(*(w[i:] for i in range(size)))) if len(w) >= size else frozenset([tuple(w)] if w else [])
+            sets[r.doc_id] = s
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    distinct = {}
+    for k in sorted(sets):
+        if sets[k]:
+            if sets[k] in distinct:
+                parent[max(root(k), root(distinct[sets[k]]))] = min(root(k), root(distinct[sets[k]]))
+            else:
+                distinct[sets[k]] = k
+    for (a, i), (b, j) in itertools.combinations(distinct.items(), 2):
+        if 100 * min(len(a), len(b)) >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), root(k), root(k) == k) for k in sets}
+
+
+def check(df, size, **kw):
+    want = brute(df.select("doc_id", "text").collect(), size)
+    for r in near_duplicates(df, size=size, **kw).collect():
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == want[r.doc_id], r
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_against_all_pairs(spark, size):
+    check(spark.read.parquet(f"{DATA}/documents.parquet").limit(400), size)
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_odd_documents(spark, size):
+    df = odd_documents(spark)
+    check(df, size)
+    assert near_duplicates(df, size=size).count() == len(ODD_TEXTS) + 4
+    assert near_duplicates(empty_like(df), size=size).count() == 0
+
+
+def varied(spark, n, seed=3):
+    """One large group of near copies, whose pairs lie on both sides of the threshold."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in rnd.sample(range(60), rnd.randint(0, 7)):
+            words[k] = f"e{i}_{k}" if rnd.random() < 0.7 else f"s{k}"
+        rows.append((i, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_hot_group_of_near_copies(spark):
+    check(varied(spark, 260), 2)
+
+
+def test_hot_group_in_blocks(spark, monkeypatch):
+    """Large buckets cut into chunks lose no link."""
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 16)
+    check(varied(spark, 200, seed=8), 2, partitions=5)
+
+
+def test_tensored_keys_need_few_minhashes():
+    b = Banding(side=12, width=3)
+    sig = signatures(shingle_sets([b"a b c d e f", b"a b c d e f g"], 2), b.hashes)
+    assert sig.shape == (2, 72) and table_keys(sig, b).shape == (2, 144)
+    keys = band_keys(sig, b)
+    same = keys[0] == keys[1]
+    tables = table_keys(sig, b).reshape(2, 12, 12)
+    assert ((tables[0] == tables[1]) == np.outer(same[:12], same[12:])).all()
+
+
+def test_shingles_of_words():
+    a, b, c, d, e = shingle_sets([b"The cat  sat", b"the CAT\tsat ", "thé cat".encode(), b"", b"sat the cat"], 2)
+    assert (a == b).all() and len(a) == 2 and len(c) == 1 and len(d) == 0 and not set(c) & set(a)
+    assert len(set(a) & set(e)) == 1
+    one, two = shingle_sets([b"cat", b"cat cat"], 5)
+    assert len(one) == len(two) == 1 and one[0] != two[0]
+
+
+def test_components_of_a_chain(spark):
+    links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    links = links.unionByName(spark.createDataFrame([(500, 501), (501, 500), (7, 7)], "a long, b long"))
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {**{i: 0 for i in range(1, 200)}, 501: 500}
+    assert components(links.where("1 = 0")).count() == 0

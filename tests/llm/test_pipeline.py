@@ -1,0 +1,62 @@
+import collections
+import re
+
+import corpus_pipeline
+from tally.llm import quality_pu
+from tally.llm.queries import QUERIES, tokenizer_path
+from tests.llm.common import DATA, empty_like, odd_documents
+from tests.llm.test_minhash_dedup import brute
+from tests.llm.test_packing import check
+from tests.llm.test_secret_scan import spans
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 500")
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    good = stages["quality"](spark, docs, DATA)
+    predicted = {r.doc_id: r.predicted for r in quality_pu.score_documents(docs, labels).collect()}
+    assert good.columns == docs.columns
+    assert {r.doc_id for r in good.collect()} == {k for k, v in predicted.items() if v}
+    known = {r.doc_id: r.quality for r in labels.where("doc_id < 500").collect()}
+    kept = {r.doc_id for r in good.collect()}
+    assert sum(k in kept for k, q in known.items() if q) >= 0.99 * sum(known.values())
+
+    single = stages["near_dedup"](spark, good, DATA)
+    groups = brute(good.collect(), 5)
+    assert single.columns == docs.columns
+    assert sorted(r.doc_id for r in single.collect()) == sorted(k for k, (_, _, own) in groups.items() if own)
+
+    clean = stages["secrets"](spark, single, DATA)
+    assert clean.columns == docs.columns and clean.count() == single.count()
+    before = {r.doc_id: r.text for r in single.collect()}
+    owners = collections.defaultdict(set)
+    for r in single.collect():
+        for s in spans(r.text):
+            owners[s[3]].add(r.source)
+    for r in clean.collect():
+        left = {s[3] for s in spans(re.sub(r"\[SECRET\]", " ", r.text))}
+        assert all(len(owners[v]) > 2 for v in left) and r.n_chars == len(r.text)
+        if not spans(before[r.doc_id]):
+            assert r.text == before[r.doc_id]
+
+    packed = stages["packing"](spark, clean, DATA)
+    check(packed.collect(), clean.collect())
+
+
+def test_run_on_odd_documents(spark, tmp_path):
+    df = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    # repeated rows: one stays; documents without an id all stay
+    single = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, str(tmp_path))
+    ids = collections.Counter(r.doc_id for r in single.collect())
+    assert ids[None] == 2 and all(n == 1 for k, n in ids.items() if k is not None) and 7 not in ids and 6 not in ids
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty_like(df), str(tmp_path)).count() == 0
+
+
+def test_every_operator_is_registered():
+    assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES} == {str(n) for n in range(1, 11)}
+    assert tokenizer_path().endswith(".json")

@@ -1,0 +1,81 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from tally.llm import quality_pu
+from tally.llm.quality_pu import NAMES, estimate_prior, features, fit, score_documents
+from tests.llm.common import DATA, empty_like, odd_documents
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+
+
+def test_held_out_accuracy(spark, tables):
+    docs, labels = tables
+    got = score_documents(docs, labels).join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    held = [r for r in got if r.held_out]
+    assert len(held) > 50 and sum(r.predicted == r.quality for r in held) / len(held) >= 0.97
+
+
+def test_held_out_and_negative_labels_do_not_matter(spark, tables):
+    """Neither labels of the held-out fold nor labels 0 enter the fit."""
+    from pyspark.sql import functions as F
+    docs, labels = tables
+    few = docs.where("doc_id < 300")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = labels.withColumn("quality", F.when(fold, 1 - F.col("quality")).otherwise(F.col("quality")))
+    changed = changed.where(fold | (F.col("quality") == 1))
+    a = {r.doc_id: r.score for r in score_documents(few, labels).collect()}
+    b = {r.doc_id: r.score for r in score_documents(few, changed).collect()}
+    assert a == b
+
+
+def test_scores_depend_on_the_text_alone(spark, tables):
+    from pyspark.sql import functions as F
+    docs, labels = tables
+    model = quality_pu.train(docs, labels)
+    x = np.array([features("a b"), features("a b"), features(None), features("")])
+    s = model.score(x)
+    assert s[0] == s[1] and s[2] == s[3]
+
+
+def test_odd_documents(spark, tables):
+    _, labels = tables
+    df = odd_documents(spark)
+    out = score_documents(df, labels, keep=["text"])
+    rows = out.collect()
+    assert len(rows) == df.count() and out.columns == ["doc_id", "held_out", "score", "predicted", "text"]
+    assert all(r.held_out for r in rows if r.doc_id is None)
+    by_text = {}
+    for r in rows:
+        assert by_text.setdefault(r.text or "", r.score) == r.score
+    assert score_documents(empty_like(df), labels).count() == 0
+    none = score_documents(df, empty_like(labels)).collect()
+    assert {r.score for r in none} == {0.5}
+    odd_labels = spark.createDataFrame([(None, 1, 0), (3, None, 0), (1, 1, 0), (1, 1, 1)], "doc_id long, quality int, text int")
+    assert score_documents(df, odd_labels).count() == df.count()
+
+
+def test_features_are_bounded():
+    for t in ("", " ", "\n\n", "a", "A B!! C!!", "x" * 100000, "the " * 5000, "é🙂 "):
+        f = features(t)
+        assert len(f) == len(NAMES) and all(0 <= v <= 1 for v in f)
+
+
+def test_prior_and_risk_on_a_mixture():
+    """The estimated prior is near the mixture's share, and the fit separates the classes."""
+    rng = np.random.default_rng(0)
+    d = len(NAMES)
+    make = lambda n, m: np.abs(rng.normal(m, 0.03, (n, d)))
+    positive = make(3000, 0.2)
+    unlabelled = np.vstack((make(2100, 0.2), make(900, 0.4)))
+    model = fit(positive, unlabelled)
+    assert 0.55 < model.prior < 0.75  # in small samples of many features the estimate stays below
+    assert (model.score(make(500, 0.2)) > 0.3).mean() > 0.9 and (model.score(make(500, 0.4)) < 0.3).mean() > 0.97
+    scores = rng.normal(0, 1, 5000)
+    assert estimate_prior(scores, scores) > 0.9
