@@ -83,7 +83,7 @@ def shard_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
                 got = (exact[new] @ part[j].astype(np.float64)).astype(np.int64) if safe else _exact_scores(
                     vectors[new], part[j], False)
                 best, scores = np.concatenate((best, new)), np.concatenate((scores, got))
-                top = np.lexsort((best, -scores.astype(np.float64) if safe else [-int(s) for s in scores]))[:want]
+                top = np.lexsort((best, ~scores))[:want]  # ~ reverses the order of longs without overflow
                 best, scores = best[top], scores[top]
                 done += step
                 step *= 2
