@@ -49,16 +49,17 @@ def shard_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
     ids, vectors = ids[order], vectors[order]
     spread = (1 << cell_bits) - 1
     corner = (vectors >> cell_bits) << cell_bits
-    largest = max(int(np.abs(vectors).max(initial=0)), int(np.abs(queries).max(initial=0))) + spread + 1
+    largest = max(float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (vectors, queries)) + spread + 1
     safe = 2 * largest * largest * max(1, vectors.shape[1]) < _EXACT
-    centre = (2 * corner + spread).astype(np.float64)
+    centre = 2 * corner.astype(np.float64) + spread
     exact = vectors.astype(np.float64) if safe else vectors
     for at in range(0, len(queries), 256):
         part = queries[at:at + 256]
         middle = part.astype(np.float64) @ centre.T
-        slack = np.abs(part).sum(1, dtype=np.float64) * spread
+        reach = np.abs(part.astype(np.float64)).sum(1)
+        slack = reach * spread
         if not safe:  # rounding widens the bounds
-            slack = slack + np.abs(part).astype(np.float64).sum(1) * float(largest) * 1e-9 + 1.0
+            slack = slack + reach * largest * 1e-9 + 1.0
         for j in range(len(part)):
             upper = np.clip(middle[j] + slack[j], -_ENDS, _ENDS)
             own = np.searchsorted(ids, query_ids[at + j]), np.searchsorted(ids, query_ids[at + j], "right")
