@@ -34,9 +34,9 @@ SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, inclusion do
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model as a trie over character classes."""
+    """Pieces of a SentencePiece model; for encoding, as a trie over character classes."""
 
-    def __init__(self, path: str, theta: float = 1.0):
+    def __init__(self, path: str, theta: float = 1.0, encodes: bool = True):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,8 +50,13 @@ class Vocabulary:
                 b = int(self.pieces[i][3:5], 16)
                 self.byte_ids[b] = i
                 self.bytes_of[i] = b
+        self._spelled = None
         self.silent = {i for i in range(size) if sp.is_control(i)}
         self.unknown = sp.unk_id()
+        if encodes:
+            self._grow(sp, plain, theta)
+
+    def _grow(self, sp, plain: list[int], theta: float) -> None:
         counts: dict[str, int] = {}
         for i in plain:
             for c in self.pieces[i]:
@@ -77,7 +82,7 @@ class Vocabulary:
             piece_at[s], weight_at[s] = i, -theta * float(np.log(max(rank, 0.0) + 3.0))
         self.piece_at, self.weight_at = np.array(piece_at, dtype=np.int32), np.array(weight_at)
         self.wide = wide
-        self.near = np.zeros((len(piece_at), wide), dtype=np.int32)
+        self.near = np.zeros((len(piece_at), wide), dtype=np.uint16 if len(piece_at) < 1 << 16 else np.int32)
         self.root = np.zeros(len(chars) + 1, dtype=np.int32)
         far = []
         for (s, c), to in states.items():
@@ -93,7 +98,7 @@ class Vocabulary:
         self.far_to = np.array([t for _, t in far] or [0], dtype=np.int32)
 
     def step(self, state: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        out = self.near[state, np.where(cls < self.wide, cls, 0)]
+        out = self.near[state, np.where(cls < self.wide, cls, 0)].astype(np.int32)
         rare = np.flatnonzero(cls >= self.wide)
         if len(rare):
             key = state[rare].astype(np.int64) * self.span + cls[rare]
@@ -101,25 +106,33 @@ class Vocabulary:
             out[rare] = np.where(self.far_keys[at] == key, self.far_to[at], 0)
         return out
 
+    def _spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 bytes of all pieces, where each begins, and their lengths."""
+        if self._spelled is None:
+            text = []
+            for i, piece in enumerate(self.pieces):
+                if i in self.bytes_of:
+                    text.append(bytes([self.bytes_of[i]]))
+                elif i in self.silent:
+                    text.append(b"")
+                else:
+                    text.append((" ⁇ " if i == self.unknown else piece.replace(SPACE, " ")).encode())
+            size = np.array([len(t) for t in text], dtype=np.int64)
+            self._spelled = np.frombuffer(b"".join(text), dtype=np.uint8), np.cumsum(size) - size, size
+        return self._spelled
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of the id sequences ``ids[offsets[i]:offsets[i + 1]]``; bytes that are no UTF-8 become U+FFFD."""
+        data, begin, size = self._spelling()
+        sizes = size[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        spelled = data[np.repeat(begin[ids] - ends[:-1], sizes) + np.arange(int(ends[-1]))].tobytes()
+        cuts = ends[offsets].tolist()
+        texts = [spelled[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
     def decode(self, ids) -> str:
-        """Text of a sequence of ids; bytes that are no UTF-8 become U+FFFD."""
-        out: list[str] = []
-        held = bytearray()
-        pieces, bytes_of = self.pieces, self.bytes_of
-        for i in ids:
-            b = bytes_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if i not in self.silent:
-                out.append(" ⁇ " if i == self.unknown else pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.asarray(ids, dtype=np.int64), np.array([0, len(ids)]))[0]
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -165,7 +178,8 @@ class Lattices:
     def _edges(self, n: int) -> None:
         v, chars, end_of = self.vocabulary, self.chars, self.end_of
         distance = end_of - np.arange(n)
-        order = np.argsort(distance, kind="stable")
+        small = len(distance) and int(distance.max()) < 1 << 16
+        order = np.argsort(distance.astype(np.uint16) if small else distance, kind="stable")
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.arange(n)
         cls = v.char_class[chars]
@@ -199,19 +213,19 @@ class Lattices:
         offset = np.concatenate(([0], np.cumsum(by_rank)))
         self.first = offset[:-1][rank]  # a node's first edge
         m = int(offset[-1])
-        self.length, self.piece = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int32)
-        weight_of, src = np.empty(m), np.empty(m, dtype=np.int64)
+        length_of, self.piece = np.empty(m, dtype=np.int32), np.empty(m, dtype=np.int32)
+        weight_of, src = np.empty(m), np.empty(m, dtype=np.int32)
         filled = self.first.copy()
         for node, length, piece, weight in steps:
             e = filled[node]
-            self.length[e], self.piece[e], weight_of[e], src[e] = length, piece, weight, node
+            length_of[e], self.piece[e], weight_of[e], src[e] = length, piece, weight, node
             filled[node] += 1
+        del steps, filled
         self.source = src
-        self.target = src + self.length
-        done = self.target == end_of[src]
+        self.target = src + length_of
         mass = np.zeros(n + 1)  # log of the weight of all ways from a node to its word's end
-        into = np.where(done, n, self.target)
-        bounds = np.searchsorted(distance[order], np.arange(1, int(distance.max(initial=0)) + 2))
+        into = np.where(self.target == end_of[src], np.int32(n), self.target)
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(distance)[1:]))) if n else np.zeros(1, dtype=np.int64)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             es, ee = int(offset[a]), int(offset[b])
             x = weight_of[es:ee] + mass[into[es:ee]]
@@ -224,6 +238,7 @@ class Lattices:
         run = np.cumsum(q)
         base = (run - q)[self.first] if n else run
         self.cumulative = run - base[src] if m else run
+        del q, run, into, weight_of
         if n:
             self.cumulative[self.first + count - 1] = 2.0
 
@@ -293,9 +308,12 @@ class _Search:
         self.drawn = 0
 
     def uniforms(self, n: int) -> np.ndarray:
-        key = np.arange(self.drawn, self.drawn + n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        self.drawn += n
-        return _uniform(key + np.uint64(self.seed ^ 0x5851F42D4C957F2D))
+        return _uniform(np.arange(n, dtype=np.uint64) + np.uint64(self.stream()))
+
+    def stream(self) -> int:
+        """The key of a stream of random numbers of its own."""
+        self.drawn += 1
+        return (self.seed ^ 0x5851F42D4C957F2D) + (self.drawn << 40) & 0xFFFFFFFFFFFFFFFF
 
     def put(self, bounds: np.ndarray, first: int, path: np.ndarray, before: np.ndarray, taken: tuple = ()) -> None:
         if len(bounds):
@@ -336,13 +354,23 @@ def sample_block(texts: list[str], seeds: list[int], vocabulary: Vocabulary, k:
         bound = float(-np.log(-np.log(search[i].uniforms(1)[0])))
         pending.append((i, bound, edges[a:b], 0, 0.0))
     for turn in range(k):
-        for i, bound, path, known, log_before in pending:
-            lq = lattice.log_q[path[known:]]
-            before = log_before + np.concatenate(([0.0], np.cumsum(lq)[:-1])) if len(lq) else lq
-            log_prob = float(log_before + lq.sum())
+        # the new nodes of all pending paths together: masses before and beside them, bounds below the path's own
+        news = [p[2][p[3]:] for p in pending]
+        sizes = np.array([len(x) for x in news], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        whose = np.repeat(np.arange(len(pending)), sizes)
+        lq = lattice.log_q[np.concatenate(news)]
+        before, log_probs = np.empty(len(lq)), []
+        for p, a, b in zip(pending, (ends - sizes).tolist(), ends.tolist()):  # sums of each path by itself
+            run = np.cumsum(lq[a:b]) + p[4]
+            before[a:b] = run - lq[a:b]
+            log_probs.append(float(run[-1]) if b > a else p[4])
+        noise = _uniform(np.repeat(np.array([search[p[0]].stream() for p in pending], dtype=np.uint64), sizes)
+                         + np.arange(len(lq), dtype=np.uint64) - np.repeat((ends - sizes).astype(np.uint64), sizes))
+        bounds = _below(before + _rest(lq), np.array([p[1] for p in pending])[whose], noise)
+        for (i, _, path, known, _), a, b, log_prob in zip(pending, (ends - sizes).tolist(), ends.tolist(), log_probs):
             out[i].append((path, log_prob))
-            u = search[i].uniforms(len(lq))
-            search[i].put(_below(before + _rest(lq), bound, u), known, path, before)
+            search[i].put(bounds[a:b], known, path, before[a:b])
         if turn + 1 == k:
             break
         asked, words, starts, wkeys, sizes = [], [], [], [], []
@@ -350,7 +378,7 @@ def sample_block(texts: list[str], seeds: list[int], vocabulary: Vocabulary, k:
             if search[i].best() == -np.inf:
                 continue  # the text has no further segmentation
             bound, node, path, before, taken = search[i].pop()
-            first = node - (len(path) - len(before))
+            first = node - (len(path) - len(before))  # the node's place in ``before``
             old = int(path[node])
             source = int(lattice.source[old])
             e0 = int(lattice.first[source])
@@ -445,11 +473,17 @@ def decode(frame: DataFrame, model_path: str, ids_col: str = "ids", text_col: st
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.schema[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_path)
+        vocabulary = Vocabulary(model_path, encodes=False)
         for b in batches:
-            texts = [None if not x.is_valid else vocabulary.decode(x.as_py()) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())],
-                                             names=[*b.schema.names[1:], "text"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                column = part.column(0)
+                lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+                texts = vocabulary.decode_all(column.flatten().to_numpy(), offsets)
+                out = [t if known else None for t, known in zip(texts, column.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.string())],
+                                                 names=[*b.schema.names[1:], "text"])
 
     out = cols.mapInArrow(run, f"{kinds}{', ' if kinds else ''}text string")
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], F.col("text").alias(text_col))
