@@ -172,7 +172,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def blocks(rows, size, limit: int = 4 << 20):
+def blocks(rows, size, limit: int = 1 << 20):
     """Group an iterator into lists whose ``size(row)`` sum to about ``limit``."""
     out, n = [], 0
     for r in rows:
