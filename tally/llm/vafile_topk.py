@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.llm.common import written
+
 #: Rows of a shard and queries of a group, on average.
 SHARD, GROUP = 8192, 2048
 #: A cell is 2^CELL_BITS units a side.
@@ -112,6 +114,7 @@ def topk(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0,
              .select(F.col(f"`{id_col}`").cast("long").alias("id"),
                      F.transform(vec, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
              .groupBy("id").agg(F.min("v").alias("v")))
+    whole = written(whole)
     query = whole.where(F.col("id") % every == 0)
     n, m = whole.count(), query.count()
     shards, groups = max(1, -(-n // shard)), max(1, -(-m // group))
