@@ -32,15 +32,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, required: dict[str, str]) -> DataFrame:
-    """The named columns, cast to the named types; every other column is dropped.
-
-    Columns are resolved by their exact name, so that extra columns, whatever
-    their names, never clash with an operator's own.
-    """
-    return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in required.items()])
-
-
 #: Bits of an id filter, whatever the number of ids: 4 MB.
 FILTER_BITS = 1 << 25
 _FILTER_HASHES = 4

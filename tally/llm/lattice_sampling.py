@@ -30,7 +30,7 @@ SPACE = "▁"
 FALLBACK = 40000.0
 #: Characters of the texts whose lattices are held at once.
 BLOCK = 1 << 19
-SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, inclusion double"
+SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, log_inclusion double"
 
 
 class Vocabulary:
@@ -336,7 +336,7 @@ class _Search:
 
 
 def sample_block(texts: list[str], seeds: list[int], vocabulary: Vocabulary, k: int) -> list[list[tuple]]:
-    """For each text, (ids, log probability, inclusion score) of its samples, best first."""
+    """For each text, (ids, log probability, log inclusion score) of its samples, best first."""
     lattice = Lattices(texts, vocabulary)
     at = lattice.text_at
     seed = np.array(seeds, dtype=np.uint64)
@@ -413,11 +413,17 @@ def sample_block(texts: list[str], seeds: list[int], vocabulary: Vocabulary, k:
     result = []
     for i, found in enumerate(out):
         kappa = search[i].best()
-        result.append([(lattice.ids(p), lp, float(-np.expm1(-np.exp(min(lp - kappa, 700.0)))) if kappa > -np.inf else 1.0)
-                       for p, lp in found])
+        result.append([(lattice.ids(p), lp, _log_inclusion(lp - kappa) if kappa > -np.inf else 0.0) for p, lp in found])
     return result
 
 
+def _log_inclusion(above: float) -> float:
+    """log(1 - exp(-exp(above))): that a Gumbel around a path's log-probability exceeds the threshold."""
+    if above < -30.0:
+        return above  # to double precision
+    return float(np.log(-np.expm1(-np.exp(min(above, 700.0)))))
+
+
 def _word_of(lattice: Lattices, path: np.ndarray, node: int, first_word: int) -> int:
     """Which of the text's words holds a path's node: the words ended before it."""
     before = path[:node]
@@ -426,11 +432,11 @@ def _word_of(lattice: Lattices, path: np.ndarray, node: int, first_word: int) ->
 
 def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, theta: float = 1.0, id_col: str = "doc_id",
                          text_col: str = "text", seed: int = 0) -> DataFrame:
-    """Up to ``k`` distinct segmentations of every text: id, sample (from 1), ids, log_prob, inclusion.
+    """Up to ``k`` distinct segmentations of every text: id, sample (from 1), ids, log_prob, log_inclusion.
 
-    ``log_prob`` is the path's log-probability among all of the text's; ``inclusion`` the
-    probability that it lies above the next perturbed value (its inclusion score given
-    the threshold; 1 if the text has no more segmentations).  Samples come in the order
+    ``log_prob`` is the path's log-probability among all of the text's; ``log_inclusion``
+    the log-probability that it lies above the next perturbed value (its inclusion score given
+    the threshold; 0 if the text has no more segmentations).  Samples come in the order
     of their perturbed values.  A row's samples depend on its id, its text, ``seed`` and
     the parameters alone.
 
@@ -442,7 +448,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, theta: fl
                         F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(seed)).alias("seed"),
                         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())),
-                        ("log_prob", pa.float64()), ("inclusion", pa.float64())])
+                        ("log_prob", pa.float64()), ("log_inclusion", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model_path, theta)

@@ -37,7 +37,7 @@ def op3_lattice_sampling(spark: SparkSession, data_dir: str) -> DataFrame:
     drawn = lattice_sampling.sample_segmentations(_table(spark, data_dir, "documents"), model, k=2)
     drawn = drawn.withColumns({"n_pieces": F.size("ids").cast("long"), "ids_hash": F.xxhash64("ids")})
     return (lattice_sampling.decode(drawn, model)
-            .select("doc_id", "sample", "n_pieces", "ids_hash", "log_prob", "inclusion",
+            .select("doc_id", "sample", "n_pieces", "ids_hash", "log_prob", "log_inclusion",
                     F.length("text").cast("long").alias("decoded_chars"),
                     F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32")))
 

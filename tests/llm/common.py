@@ -28,10 +28,3 @@ def odd_documents(spark):
 
 def empty_like(df):
     return df.where("1 = 0")
-
-
-def by_id(rows, key="doc_id"):
-    out = {}
-    for r in rows:
-        out.setdefault(r[key], []).append(r)
-    return out

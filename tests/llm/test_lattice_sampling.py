@@ -1,6 +1,4 @@
 import collections
-import itertools
-import zlib
 
 import numpy as np
 import pytest
@@ -53,7 +51,8 @@ def test_samples_follow_the_lattice(vocabulary, text):
     weight = collections.Counter()
     for samples in drawn:
         assert len({tuple(ids) for ids, _, _ in samples}) == k
-        for turn, (ids, log_prob, inclusion) in enumerate(samples):
+        for turn, (ids, log_prob, log_inclusion) in enumerate(samples):
+            inclusion = float(np.exp(log_inclusion))
             key = tuple(ids.tolist())
             assert abs(paths[key] - log_prob) < 1e-9 and 0 < inclusion <= 1
             assert vocabulary.decode(key) == text
@@ -70,7 +69,7 @@ def test_samples_follow_the_lattice(vocabulary, text):
 
 def test_fewer_segmentations_than_asked(vocabulary):
     (one,) = sample_block(["🙂"], [1], vocabulary, 5)
-    assert len(one) == 1 and one[0][1] == 0.0 and one[0][2] == 1.0
+    assert len(one) == 1 and one[0][1] == 0.0 and one[0][2] == 0.0
     (empty,) = sample_block([""], [1], vocabulary, 3)
     assert len(empty) == 1 and len(empty[0][0]) == 0
 

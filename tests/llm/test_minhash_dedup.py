@@ -9,7 +9,7 @@ from tally.llm import minhash_dedup
 from tally.llm.common import shingle_sets
 from tally.llm.components import components
 from tally.llm.minhash_dedup import Banding, band_keys, near_duplicates, signatures, table_keys
-from tests.llm.common import DATA, LOWER, ODD_TEXTS, WORD, by_id, empty_like, odd_documents
+from tests.llm.common import DATA, LOWER, ODD_TEXTS, WORD, empty_like, odd_documents
 
 
 def brute(rows, size):

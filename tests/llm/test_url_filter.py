@@ -1,5 +1,5 @@
 from tally.llm.queries import URL_RULES
-from tally.llm.url_filter import BLOCKLIST, _judged_by_join, cascade, judge_urls, listed_by, url_host, url_path
+from tally.llm.url_filter import BLOCKLIST, cascade, judge_urls, listed_by
 from tests.llm.common import empty_like
 from pyspark.sql import functions as F
 
