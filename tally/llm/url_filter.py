@@ -87,12 +87,14 @@ def _level(keys: DataFrame, number: int, n: int, rate: float) -> Level:
     """A Bloom filter over ``keys`` with about the given false positive rate."""
     bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
     hashes = max(1, round(bits / n * math.log(2)))
-    words = (keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits, hashes))).alias("p"))
-             .groupBy(F.floor(F.col("p") / 8).cast("long").alias("at"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int"))).alias("byte")))
+    places = F.explode(F.array(*[p + 1 for p in _positions(F.col("key"), number, bits, hashes)]))
+    maps = (keys.select(places.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")))
     data = bytearray((bits + 7) // 8)
-    for at, byte in words.collect():  # bounded: one row per byte of the filter
-        data[at] = byte
+    for bucket, part in maps.collect():  # the filter itself, in Spark's bitmaps of 4096 bytes
+        at = (bucket - 1) * 4096
+        room = len(data) - at
+        data[at:at + 4096] = part[:room]
     return Level(number, bits, hashes, bytes(data))
 
 
