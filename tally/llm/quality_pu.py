@@ -172,11 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     trusted = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y"))
                .where(in_training_fold(F.col("id")) & (F.col("y") == 1)).select("id").distinct())
-    order = [F.xxhash64(F.col("id"), F.lit(17)), F.col("id")]
-    chosen = trusted.orderBy(*order).limit(sample).withColumn("trusted", F.lit(True))
+    others = rows.select("id").where(in_training_fold(F.col("id"))).distinct()
     # at most 2 * sample ids: a bounded broadcast
-    others = (rows.select("id").where(in_training_fold(F.col("id"))).distinct()
-              .orderBy(F.xxhash64(F.col("id"), F.lit(29)), "id").limit(sample).withColumn("trusted", F.lit(False)))
+    chosen = _least(trusted, 17, sample).withColumn("trusted", F.lit(True))
+    others = _least(others, 29, sample).withColumn("trusted", F.lit(False))
     picked = rows.join(F.broadcast(chosen.unionByName(others)), "id")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +194,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(wide(True), wide(False))
 
 
+def _least(ids: DataFrame, seed: int, sample: int) -> DataFrame:
+    """The ``sample`` ids of least hash.
+
+    A threshold on the hash first leaves about four times as many, so that what the final
+    sort gathers does not grow with the input.
+    """
+    n = ids.count()
+    key = F.xxhash64(F.col("id"), F.lit(seed))
+    if n > 8 * sample:
+        ids = ids.where(key < -(1 << 63) + int(4 * sample / n * 2 ** 64))
+    return ids.orderBy(key, "id").limit(sample)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD,
                     keep: list[str] = ()) -> DataFrame:
