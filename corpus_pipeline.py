@@ -18,7 +18,7 @@ from tally.llm.queries import tokenizer_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_pu.score_documents(docs, labels, keep=["text", "lang", "source", "n_chars"])
+    scored = quality_pu.score_documents(docs, labels, keep=[c for c in docs.columns if c != "doc_id"])
     return scored.where("predicted = 1").select(*docs.columns)
 
 
