@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import written
+from tally.llm.common import join_salted, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("lo"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("lo").alias("v")).distinct()
+        # a hub of very many neighbours spreads over tasks
+        large = join_salted(both, least, "x", F.col("y")).where("y > x").select(F.col("y").alias("u"), F.col("lo").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("lo"))
         small = (large.join(least, "u").where("v <> lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
                  .unionByName(least.select("u", F.col("lo").alias("v"))).distinct())
