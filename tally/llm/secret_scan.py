@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import written
+from tally.llm.common import join_salted, written
 
 _KEY = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 
@@ -120,13 +120,14 @@ def verdicts(found: DataFrame, most_owners: int) -> DataFrame:
     """(key, judged spans): every candidate of ``found`` with its value's owners and verdict.
 
     Counts are aggregated map-side per (value, owner) and (value, repository), so a value that a
-    third of all rows hold is a few rows per task before the shuffle; the join back
-    to the candidates is an equi-join whose skewed side adaptive execution splits.
+    third of all rows hold is a few rows per task before the shuffle; in the join back
+    to the candidates its rows are salted.
     """
     each = found.where(F.size("spans") > 0).select("key", "repo", "owner", F.explode("spans").alias("s"))
     held = each.groupBy(F.col("s.value").alias("value"), "owner").agg(F.count_distinct("repo").alias("repos"))
     owners = held.groupBy("value").agg(F.count("owner").alias("n_owners"), F.sum("repos").alias("n_repos"))
-    return (each.distinct().join(owners, F.col("s.value") == F.col("value"))
+    named = each.distinct().withColumn("value", F.col("s.value"))
+    return (join_salted(named, owners, "value", F.col("key"))
             .withColumn("live", F.col("n_owners") <= most_owners)
             .groupBy("key").agg(F.collect_set(F.struct("s", "live", "n_owners", "n_repos")).alias("judged")))
 
