@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import ascii_lower
+from tally.llm.common import ascii_lower, join_salted
 
 #: (label, phrase): the base phrases.
 PHRASES = (
@@ -24,8 +24,6 @@ PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Tasks over which the rows of one text spread when they meet its detections.
-SALTS = 16
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -262,10 +260,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         id_col, "scan_key", "n_words", F.size("places").cast("long").alias("n_base"),
         word_index(F.array_min(starts)).alias("first_word"), word_index(F.array_max(starts)).alias("last_word"),
         F.array_sort(F.array_distinct("base")).alias("base"))
-    # copies of one text may be many: their rows spread over SALTS tasks
-    base = base.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = base.join(found, ["scan_key", "salt"], "left")
+    # copies of one text may be many: their rows are salted
+    joined = join_salted(base, found, "scan_key", F.col(f"`{id_col}`"), "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce(
         F.transform("kept", lambda d: d["label"]), F.array().cast("array<string>")))))
     best = F.coalesce(F.array_max(F.transform("kept", lambda d: d["confidence"])), F.lit(0.0))
