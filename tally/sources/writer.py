@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                 single_file: bool = False) -> None:
-    """Write a report.  ``single_file`` coalesces to one task: only for small results."""
-    out = df.coalesce(1) if single_file else df
-    writer = out.write.mode(mode).format(fmt)
+def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Write a report, one file a task."""
+    writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.save(path)
