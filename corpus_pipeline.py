@@ -18,8 +18,9 @@ from tally.llm.queries import tokenizer_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_pu.score_documents(docs, labels, keep=[c for c in docs.columns if c != "doc_id"])
-    return scored.where("predicted = 1").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # columns of any name stay apart from the scores
+    scored = quality_pu.score_documents(docs.select("doc_id", "text", whole.alias("document")), labels, keep=["document"])
+    return scored.where("predicted = 1").select("document.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

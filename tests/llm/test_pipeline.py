@@ -45,7 +45,7 @@ def test_stages_against_brute_force(spark):
 
 
 def test_run_on_odd_documents(spark, tmp_path):
-    df = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    df = odd_documents(spark).withColumnsRenamed({"label": "predicted", "rep": "held_out"})  # extra columns stay
     spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
