@@ -200,27 +200,35 @@ def detections(words: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     fixed table, broadcast) on the rules' keywords; suppression follows per text.
     """
     spark = words.sparkSession
-    table = spark.createDataFrame([(r.label, r.keyword, f"{r.pattern}(?= )", r.priority, r.confidence) for r in rules],
-                                  "label string, keyword string, pattern string, priority int, confidence double")
+    levels = {p: k for k, p in enumerate(sorted({r.priority for r in rules}))}
+    table = spark.createDataFrame(
+        [(r.label, r.keyword, f"{r.pattern}(?= )", r.priority, r.confidence, levels[r.priority]) for r in rules],
+        "label string, keyword string, pattern string, priority int, confidence double, level int")
     # one pass finds the keywords that a document holds; most hold none
     hits = F.array_distinct(F.regexp_extract_all("words", F.lit(_any_word({r.keyword for r in rules})), F.lit(1)))
     found = (words.select(key, "words", F.explode(hits).alias("keyword"))
              .join(F.broadcast(table), "keyword")
              .where(F.expr("regexp_like(words, pattern)"))
-             .select(key, "label", "priority", "confidence",
+             .select(key, "label", "priority", "confidence", "level",
                      F.explode(_starts(F.col("words"), F.col("pattern"))).alias("s")))
-    one = F.struct("priority", "label", "confidence", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    each = found.groupBy(key).agg(F.collect_set(one).alias("all"))
-
-    def beats(o: Column, d: Column) -> Column:
-        """Whether ``o`` suppresses ``d``, whose interval it contains."""
-        longer = (o["end"] - o["start"]) - (d["end"] - d["start"])
-        return ((o["start"] <= d["start"]) & (o["end"] >= d["end"]) & (
-            (o["priority"] > d["priority"])
-            | ((o["priority"] == d["priority"]) & ((longer > 0) | ((longer == 0) & (o["label"] < d["label"]))))))
-
-    kept = F.filter("all", lambda d: ~F.exists("all", lambda o: beats(o, d)))
-    return each.select(key, kept.alias("kept"))
+    # in this order whatever suppresses a detection comes before it
+    one = F.struct(F.col("s.start").alias("start"), (-F.col("s.end")).alias("upto"), (-F.col("priority")).alias("rank"),
+                   "label", (-F.col("confidence")).alias("doubt"), "level")
+    each = found.groupBy(key).agg(F.array_sort(F.collect_set(one)).alias("all"))
+    kept_type = "array<struct<priority:int,label:string,confidence:double,start:int,end:int>>"
+    none = F.struct(F.array_repeat(F.lit(-1), len(levels)).alias("reach"), F.array().cast(kept_type).alias("kept"))
+
+    def step(acc: Column, d: Column) -> Column:
+        """``reach`` holds, per level, how far the detections of that priority or a higher one have reached."""
+        end = -d["upto"]
+        mine = F.struct((-d["rank"]).alias("priority"), d["label"].alias("label"), (-d["doubt"]).alias("confidence"),
+                        d["start"].alias("start"), end.alias("end"))
+        contained = F.element_at(acc["reach"], d["level"] + 1) >= end
+        reach = F.transform(acc["reach"], lambda m, k: F.when(k <= d["level"], F.greatest(m, end)).otherwise(m))
+        return F.struct(reach.alias("reach"), F.when(contained, acc["kept"]).otherwise(
+            F.concat(acc["kept"], F.array(mine))).alias("kept"))
+
+    return each.select(key, F.aggregate("all", none, step, lambda acc: acc["kept"]).alias("kept"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
