@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -125,13 +126,37 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
+#: Bytes of a text that are hashed at once.
+SLICE = 4 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _slices(text: bytes):
+    at = 0
+    while len(text) - at > SLICE:
+        gap = _GAP.search(text, at + SLICE)
+        if not gap:
+            break
+        yield text[at:gap.start()]
+        at = gap.end()
+    yield text[at:]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of lower-cased (A-Z) UTF-8 texts.
 
     Returns (hashes, offsets): the words of text i are
     ``hashes[offsets[i]:offsets[i + 1]]``.  A word's 64-bit hash is that of its
-    bytes alone, so equal words have equal hashes in every text.
+    bytes alone, so equal words have equal hashes in every text.  Longer texts are
+    hashed in slices, cut at white space.
     """
+    if any(len(t) > 2 * SLICE for t in texts):
+        parts = [np.concatenate([_hash_words([s])[0] for s in _slices(t)]) for t in texts]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    return _hash_words(texts)
+
+
+def _hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(sizes + 1)
     data = _FOLD[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)] if texts else np.zeros(0, np.uint8)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tally.llm import minhash_dedup
+from tally.llm import common, minhash_dedup
 from tally.llm.common import shingle_sets
 from tally.llm.components import components
 from tally.llm.minhash_dedup import Banding, band_keys, near_duplicates, signatures, table_keys
@@ -110,3 +110,11 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 200)}, 501: 500}
     assert components(links.where("1 = 0")).count() == 0
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    texts = [b"the cat sat on the mat " * 40, b"", b"x" * 300, "é ß\tend".encode() * 30]
+    whole = shingle_sets(texts, 3)
+    for size in (7, 16, 100):
+        monkeypatch.setattr(common, "SLICE", size)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, shingle_sets(texts, 3)))
