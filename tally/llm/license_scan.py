@@ -3,7 +3,8 @@
 A text becomes its normalised words, joined by single spaces.  Base phrases count at
 every place.  Beside them some hundreds of signature rules (one per license and form
 of words) are regular expressions over the normalised words, each gated by a keyword:
-a rule runs only on documents that hold its keyword as a word.  Overlapping
+a rule runs only on documents that hold its keyword as a word, which every match of
+its pattern does, so that the gate drops no match.  Overlapping
 detections are resolved by priority: a detection whose interval lies within that of
 a detection of higher priority (equal priority: a longer one, then the smaller label)
 is suppressed.
@@ -37,67 +38,71 @@ class Rule:
     confidence: float
 
 
-# (label, name as words, SPDX identifier as words, keyword); hand-written, one line a license.
+# (label, name as words, SPDX identifier as words); hand-written, one line a license.
 _LICENSES = (
-    ("mit", "mit", "mit", "mit"),
-    ("mit-0", "mit no attribution", "mit 0", "mit"),
-    ("x11", "x11", "x11", "x11"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib", "zlib"),
-    ("bsd-2", "bsd 2 clause", "bsd 2 clause", "bsd"),
-    ("bsd-3", "bsd 3 clause", "bsd 3 clause", "bsd"),
-    ("bsd-4", "bsd 4 clause", "bsd 4 clause", "bsd"),
-    ("0bsd", "bsd zero clause", "0bsd", "bsd"),
-    ("apache-1.1", "apache software license version 1 1", "apache 1 1", "apache"),
-    ("apache-2", "apache license version 2", "apache 2 0", "apache"),
-    ("gpl-1", "gnu general public license version 1", "gpl 1 0", "gpl"),
-    ("gpl-2", "gnu general public license version 2", "gpl 2 0", "gpl"),
-    ("gpl-3", "gnu general public license version 3", "gpl 3 0", "gpl"),
-    ("lgpl-2", "gnu library general public license version 2", "lgpl 2 0", "lgpl"),
-    ("lgpl-2.1", "gnu lesser general public license version 2 1", "lgpl 2 1", "lgpl"),
-    ("lgpl-3", "gnu lesser general public license version 3", "lgpl 3 0", "lgpl"),
-    ("agpl-3", "gnu affero general public license version 3", "agpl 3 0", "agpl"),
-    ("gfdl-1.3", "gnu free documentation license version 1 3", "gfdl 1 3", "gfdl"),
-    ("mpl-1.1", "mozilla public license version 1 1", "mpl 1 1", "mozilla"),
-    ("mpl-2", "mozilla public license version 2", "mpl 2 0", "mozilla"),
-    ("epl-1", "eclipse public license version 1", "epl 1 0", "eclipse"),
-    ("epl-2", "eclipse public license version 2", "epl 2 0", "eclipse"),
-    ("cddl-1", "common development and distribution license version 1", "cddl 1 0", "cddl"),
-    ("cpl-1", "common public license version 1", "cpl 1 0", "cpl"),
-    ("eupl-1.2", "european union public licence version 1 2", "eupl 1 2", "eupl"),
-    ("artistic-1", "artistic license version 1", "artistic 1 0", "artistic"),
-    ("artistic-2", "artistic license version 2", "artistic 2 0", "artistic"),
-    ("boost-1", "boost software license version 1", "bsl 1 0", "boost"),
-    ("psf-2", "python software foundation license version 2", "psf 2 0", "python"),
-    ("php-3", "php license version 3", "php 3 01", "php"),
-    ("ruby", "ruby license", "ruby", "ruby"),
-    ("openssl", "openssl license", "openssl", "openssl"),
-    ("postgresql", "postgresql license", "postgresql", "postgresql"),
-    ("ms-pl", "microsoft public license", "ms pl", "microsoft"),
-    ("ms-rl", "microsoft reciprocal license", "ms rl", "microsoft"),
-    ("wtfpl", "do what the fuck you want to public license", "wtfpl", "wtfpl"),
-    ("unlicense", "the unlicense", "unlicense", "unlicense"),
-    ("ofl-1.1", "sil open font license version 1 1", "ofl 1 1", "ofl"),
-    ("afl-3", "academic free license version 3", "afl 3 0", "academic"),
-    ("osl-3", "open software license version 3", "osl 3 0", "osl"),
-    ("odbl-1", "open database license version 1", "odbl 1 0", "odbl"),
-    ("cc0", "creative commons zero", "cc0 1 0", "cc0"),
-    ("cc-by", "creative commons attribution", "cc by", "cc"),
-    ("cc-by-sa", "creative commons attribution share ?alike", "cc by sa", "cc"),
-    ("cc-by-nd", "creative commons attribution no ?derivatives", "cc by nd", "cc"),
-    ("cc-by-nc", "creative commons attribution non ?commercial", "cc by nc", "cc"),
-    ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike", "cc by nc sa", "cc"),
-    ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?derivatives", "cc by nc nd", "cc"),
+    ("mit", "mit", "mit"),
+    ("mit-0", "mit no attribution", "mit 0"),
+    ("x11", "x11", "x11"),
+    ("isc", "isc", "isc"),
+    ("zlib", "zlib", "zlib"),
+    ("bsd-2", "bsd 2 clause", "bsd 2 clause"),
+    ("bsd-3", "bsd 3 clause", "bsd 3 clause"),
+    ("bsd-4", "bsd 4 clause", "bsd 4 clause"),
+    ("0bsd", "bsd zero clause", "0bsd"),
+    ("apache-1.1", "apache software license version 1 1", "apache 1 1"),
+    ("apache-2", "apache license version 2", "apache 2 0"),
+    ("gpl-1", "gnu general public license version 1", "gpl 1 0"),
+    ("gpl-2", "gnu general public license version 2", "gpl 2 0"),
+    ("gpl-3", "gnu general public license version 3", "gpl 3 0"),
+    ("lgpl-2", "gnu library general public license version 2", "lgpl 2 0"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1", "lgpl 2 1"),
+    ("lgpl-3", "gnu lesser general public license version 3", "lgpl 3 0"),
+    ("agpl-3", "gnu affero general public license version 3", "agpl 3 0"),
+    ("gfdl-1.3", "gnu free documentation license version 1 3", "gfdl 1 3"),
+    ("mpl-1.1", "mozilla public license version 1 1", "mpl 1 1"),
+    ("mpl-2", "mozilla public license version 2", "mpl 2 0"),
+    ("epl-1", "eclipse public license version 1", "epl 1 0"),
+    ("epl-2", "eclipse public license version 2", "epl 2 0"),
+    ("cddl-1", "common development and distribution license version 1", "cddl 1 0"),
+    ("cpl-1", "common public license version 1", "cpl 1 0"),
+    ("eupl-1.2", "european union public licence version 1 2", "eupl 1 2"),
+    ("artistic-1", "artistic license version 1", "artistic 1 0"),
+    ("artistic-2", "artistic license version 2", "artistic 2 0"),
+    ("boost-1", "boost software license version 1", "bsl 1 0"),
+    ("psf-2", "python software foundation license version 2", "psf 2 0"),
+    ("php-3", "php license version 3", "php 3 01"),
+    ("ruby", "ruby license", "ruby"),
+    ("openssl", "openssl license", "openssl"),
+    ("postgresql", "postgresql license", "postgresql"),
+    ("ms-pl", "microsoft public license", "ms pl"),
+    ("ms-rl", "microsoft reciprocal license", "ms rl"),
+    ("wtfpl", "do what the fuck you want to public license", "wtfpl"),
+    ("unlicense", "the unlicense", "unlicense"),
+    ("ofl-1.1", "sil open font license version 1 1", "ofl 1 1"),
+    ("afl-3", "academic free license version 3", "afl 3 0"),
+    ("osl-3", "open software license version 3", "osl 3 0"),
+    ("odbl-1", "open database license version 1", "odbl 1 0"),
+    ("cc0", "creative commons zero", "cc0 1 0"),
+    ("cc-by", "creative commons attribution", "cc by"),
+    ("cc-by-sa", "creative commons attribution share ?alike", "cc by sa"),
+    ("cc-by-nd", "creative commons attribution no ?derivatives", "cc by nd"),
+    ("cc-by-nc", "creative commons attribution non ?commercial", "cc by nc"),
+    ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike", "cc by nc sa"),
+    ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?derivatives", "cc by nc nd"),
 )
 
-# (keyword or None for the license's own, pattern with {name} and {spdx}, priority, confidence): the forms of words.
+_VERBS = ("released", "distributed", "published", "available", "provided")
+
+# (keyword or None for the SPDX identifier's first word, pattern with {name} and {spdx}, priority, confidence): the
+# forms of words.  Every match of a pattern holds its keyword as a word: what has alternatives is a form for each.
 _FORMS = (
     ("spdx", " spdx license identifier {spdx}(?: only| or later)?", 90, 1.0),
     ("licensed", " (?:dual )?licensed under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: 0)?", 80, 0.95),
-    ("released", " (?:released|distributed|published|available|provided) under (?:the )?(?:terms of (?:the )?)?"
-                 "{name}(?: licen[sc]e)?(?: 0)?", 80, 0.95),
-    ("license", " licen[sc]ed? (?:is|under|type|text|file)? ?(?:the )?{name} licen[sc]e", 70, 0.9),
-    ("license", " {name} licen[sc]e(?: version)?", 40, 0.8),
+    *((verb, f" {verb} under (?:the )?(?:terms of (?:the )?)?" "{name}(?: licen[sc]e)?(?: 0)?", 80, 0.95)
+      for verb in _VERBS),
+    *((word, " licen[sc]ed? (?:is|under|type|text|file)? ?(?:the )?{name} " + word, 70, 0.9)
+      for word in ("license", "licence")),
+    *((word, " {name} " + word + "(?: version)?", 40, 0.8) for word in ("license", "licence")),
     (None, " {spdx} licen[sc]ed?", 45, 0.85),
     (None, " licen[sc]e {spdx}", 50, 0.85),
 )
@@ -105,8 +110,8 @@ _FORMS = (
 # Signatures of license texts and families, each written for itself.
 _TEXTS = (
     Rule("mit", "granted", " permission is hereby granted free of charge to any person obtaining a copy", 85, 0.95),
-    Rule("mit", "merchantability", " the software is provided as is without warranty of any kind express or implied", 30, 0.6),
-    Rule("isc", "granted", " permission to use copy modify and(?: or)? distribute this software for any purpose", 85, 0.9),
+    Rule("mit", "warranty", " the software is provided as is without warranty of any kind express or implied", 30, 0.6),
+    Rule("isc", "permission", " permission to use copy modify and(?: or)? distribute this software for any purpose", 85, 0.9),
     Rule("bsd-2", "redistributions", " redistributions of source code must retain the above copyright notice", 60, 0.7),
     Rule("bsd-3", "endorse", " neither the name of(?: [^ ]+){1,16} may be used to endorse or promote products", 86, 0.95),
     Rule("bsd-4", "advertising", " all advertising materials mentioning features or use of this software", 87, 0.95),
@@ -147,11 +152,11 @@ _TEXTS = (
 def signature_rules() -> list[Rule]:
     """All rules: every license in every form of words, then the signatures of texts."""
     out = []
-    for label, name, spdx, keyword in _LICENSES:
+    for label, name, spdx in _LICENSES:
         own = name.removesuffix(" license").removesuffix(" licence")
         for gate, form, priority, confidence in _FORMS:
             # of two names that both match, the longer (more precise) one has priority
-            out.append(Rule(label, gate or keyword, form.format(name=own, spdx=spdx),
+            out.append(Rule(label, gate or spdx.split()[0], form.format(name=own, spdx=spdx),
                             priority + min(9, len(spdx.split())), confidence))
     return [*out, *_TEXTS]
 

@@ -60,3 +60,38 @@ def test_containment_and_priority(spark):
 
 def test_rules_are_many():
     assert len(signature_rules()) > 300
+
+
+def test_every_match_holds_its_rules_keyword():
+    """All word forms of each pattern hold its keyword as a word, outside of optional parts and alternatives."""
+    group = re.compile(r"\(\?:([^()]*)\)(\?|\{[^}]*\})?")
+
+    def forms(pattern):
+        m = group.search(pattern)
+        if not m:
+            return {pattern}
+        inner = [*m[1].split("|"), *([""] if m[2] == "?" else [])]
+        return {f for i in inner for f in forms(pattern[:m.start()] + i + pattern[m.end():])}
+
+    for r in signature_rules():
+        assert all(f" {r.keyword} " in f"{f} " for f in forms(r.pattern)), r
+
+
+def test_forms_without_a_familys_word(spark):
+    texts = {
+        "distributed under the Eclipse Public License version 2": "epl-2", "provided under the Artistic License version 2": "artistic-2",
+        "available under the Mozilla Public License version 2": "mpl-2", "published under the GNU General Public License version 3": "gpl-3",
+        "License: MPL-2.0": "mpl-2", "License: EPL-2.0": "epl-2", "MS-PL licensed": "ms-pl", "License: BSL-1.0": "boost-1",
+        "License: AFL-3.0": "afl-3", "PSF-2.0 licence": "psf-2", "License: 0BSD": "0bsd", "the zlib licence": "zlib",
+        "Permission to use, copy, modify, and distribute this software for any purpose": "isc",
+        "The software is provided as is, without warranty of any kind, express or implied": "mit",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in scan_licenses(df).collect()}
+    assert [label for k, label in enumerate(texts.values()) if label not in got[k]] == []
+    # and without any gate the rules find no more
+    ungated = [Rule(r.label, "", r.pattern, r.priority, r.confidence) for r in signature_rules()]
+    for k, text in enumerate(texts):
+        words = " " + " ".join(re.findall("[0-9a-z]+", text.lower())) + " "
+        found = {r.label for r in ungated if re.search(r.pattern + "(?= )", words)}
+        assert set(got[k]) <= found and texts[text] in found
