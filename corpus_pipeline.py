@@ -42,7 +42,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, in document order."""
+    """Sequences of at most 2048 tokens, in document order, with their token ids."""
     return packing.pack(docs, tokenizer_path())
 
 

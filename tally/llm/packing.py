@@ -32,7 +32,7 @@ GRID = 16
 #: Tokens that one run of the dynamic programme spans, at least; bounds the memory.
 BLOCK = 1 << 21
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-          "sequence_id long, offset long")
+          "sequence_id long, offset long, ids array<int>")
 
 _BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LONG_RUN = re.compile(r"\S{4000}|\s{4000}")
@@ -148,7 +148,7 @@ class Packer:
             at = a - int(ends[k] - len(own))
             piece = own[at:at + b - a]
             rows.append((doc_id, start + at, b - a, zlib.crc32(piece.astype("<u4").tobytes()), total,
-                         self.sequence + w, a - int(windows[w])))
+                         self.sequence + w, a - int(windows[w]), piece))
         self.sequence += len(cuts)
         done = int(windows[-1])
         k = int(np.searchsorted(ends, done, "right"))
@@ -162,13 +162,19 @@ class Packer:
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+    *cols, pieces = zip(*rows)
+    ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([*[pa.array(c, type=f.type) for c, f in zip(cols, schema)], ids.cast(schema.field("ids").type)],
+                                      schema=schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, separator: int = 1, window: int = WINDOW,
          id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """Pieces of all documents (``SCHEMA``): each token lies in exactly one piece.
+    """Pieces of all documents (``SCHEMA``) with their token ids: each token lies in exactly one piece.
+
+    A sequence is its pieces' ``ids`` by ``offset``; ``ids_crc32`` is the checksum of the
+    ids as little-endian 32-bit numbers.
 
     The stream is split by ranges of the id into ``partitions`` runs (the session's
     shuffle partitions by default), packed each for itself: the only windows whose
@@ -182,16 +188,16 @@ def pack(docs: DataFrame, tokenizer_path: str, separator: int = 1, window: int =
     n = partitions or session_partitions(docs.sparkSession)
     ordered = (docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
                .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text"))
-    out = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
+    kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+    out = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(Encoder(tokenizer_path), separator, window, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += packer.add(doc_id, text.as_py())
-            if rows:
-                yield _batch(rows, out)
+                rows = packer.add(doc_id, text.as_py())
+                if rows:  # the ids of one block at a time
+                    yield _batch(rows, out)
         rows = packer.flush(True)
         if rows:
             yield _batch(rows, out)

@@ -62,7 +62,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_packing(spark: SparkSession, data_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, data_dir, "documents"), tokenizer_path())
+    """The pieces' places and checksums; the ids themselves are columns of ``pack`` and of the pipeline's output."""
+    return packing.pack(_table(spark, data_dir, "documents"), tokenizer_path()).drop("ids")
 
 
 def op9_fingerprints(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -104,3 +104,16 @@ def test_cuts_are_optimal(seed):
     steps = [b - a for a, b in zip([0, *cuts], cuts)]
     assert max(steps) <= window and cuts[-1] == places[-1]
     assert sum(window - s for s in steps) + sum(penalties[places.index(c)] for c in cuts) == best
+
+
+def test_the_ids_are_given(spark, monkeypatch):
+    """The ids by sequence and offset are the tokens of all documents, each closed by the separator."""
+    monkeypatch.setattr(packing, "BLOCK", 700)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).unionByName(
+        odd_documents(spark).selectExpr("doc_id + 1000000 AS doc_id", "text", "lang", "source", "n_chars"))
+    rows = pack(docs, tokenizer_path(), partitions=3, window=64).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 for r in rows)
+    stream = [i for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)) for i in r.ids]
+    encoder = Encoder(tokenizer_path())
+    every = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    assert stream == [i for r in every for i in [*encoder.ids(r.text or "").tolist(), 1]]

@@ -60,3 +60,10 @@ def test_run_on_odd_documents(spark, tmp_path):
 def test_every_operator_is_registered():
     assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES} == {str(n) for n in range(1, 11)}
     assert tokenizer_path().endswith(".json")
+
+
+def test_the_pipeline_keeps_the_token_ids(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 20")
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, docs, DATA)
+    assert packed.where("size(ids) <> length").count() == 0 and packed.where("size(ids) > 0").count() > 0
+    assert "ids" not in QUERIES["op7_packing"](spark, DATA).columns
