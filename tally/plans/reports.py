@@ -106,8 +106,10 @@ NET_PARTS = {"net_whole": "net_whole", "net_rem": "net_rem", "qty": "qty"}
 
 
 def _net_parts() -> dict:
-    whole, rem = split_units(_net_units(), 4)
-    return {"net_whole": whole, "net_rem": rem, "qty": cents("l_quantity")}
+    """A line without a net price or without units has no profit: neither part of it counts."""
+    net, qty = _net_units(), cents("l_quantity")
+    whole, rem = split_units(F.when(qty.isNotNull(), net), 4)
+    return {"net_whole": whole, "net_rem": rem, "qty": F.when(net.isNotNull(), qty)}
 
 
 def _priced_profit():

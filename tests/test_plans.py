@@ -111,3 +111,26 @@ def test_share_total_reuses_the_aggregate(spark):
     df.collect()
     text = plan(df)  # final adaptive plan after execution
     assert "ReusedExchange" in text
+
+
+def test_profit_of_lines_without_a_measure_is_the_same_in_both_plans(spark, tmp_path, request):
+    """A line with a null or NaN price, discount or quantity has no profit, whatever the part table's size."""
+    from tally.plans import reports
+    src = "/root/testdata/sf0.001"
+    for t in ("orders", "part", "customer"):
+        spark.read.parquet(f"{src}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    li = spark.read.parquet(f"{src}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(8)
+    rows = [r.asDict() for r in li.collect()]
+    gaps = [(c, v) for c in ("l_quantity", "l_extendedprice", "l_discount") for v in (None, float("nan"))]
+    for r, (c, v) in zip(rows, gaps):
+        r[c] = v
+    spark.createDataFrame(rows, li.schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    price = {r.p_partkey: r.p_retailprice for r in spark.read.parquet(f"{src}/part.parquet").collect()}
+    want = sum(r["l_extendedprice"] * (1 - r["l_discount"]) - r["l_quantity"] * price[r["l_partkey"]] for r in rows[len(gaps):])
+    names = ("profit_by_month", "sales_profit_by_segment", "profit_by_category", "profit_by_subcategory")
+    run = lambda: {n: sorted(map(tuple, reports.REPORTS[n](spark, str(tmp_path)).collect()), key=repr) for n in names}
+    small = run()
+    request.getfixturevalue("no_broadcast")
+    assert run() == small
+    for n in names:
+        assert abs(sum(r[-1] for r in small[n]) - float(want)) < 1e-6, n
