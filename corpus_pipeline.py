@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.llm import minhash_dedup, packing, quality_pu, secret_scan
-from tally.llm.common import written
+from tally.llm.common import session_partitions, written
 from tally.llm.queries import tokenizer_path
 
 
@@ -26,13 +26,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: five-word shingles, similarity 0.8 or more.
 
-    The document of a group's least id stays, one row of it; documents without an id stay.
+    The document of a group's least id stays; of rows that share id and text one stays, of
+    rows that share the id alone each is a document of its own; documents without an id stay.
     """
-    judged = minhash_dedup.near_duplicates(docs, size=5)
-    stay = judged.where("doc_id is not null and kept").select("doc_id").distinct()
-    # one partitioning by id serves the join and the dropping of repeated rows
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own = F.coalesce(F.sha2("text", 256), F.lit(""))
+    n = session_partitions(spark)
+    # sorted by id, then text: the nodes ascend with the ids
+    named = written(docs.where("doc_id is not null").withColumn("__digest", own)
+                    .repartitionByRange(n, "doc_id", "__digest").dropDuplicates(["doc_id", "__digest"])
+                    .sortWithinPartitions("doc_id", "__digest")
+                    .withColumn("__node", F.monotonically_increasing_id()).drop("__digest"))
+    judged = minhash_dedup.near_duplicates(named, id_col="__node", size=5)
+    single = named.join(judged.where("kept").select("__node"), "__node", "left_semi")
+    return single.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

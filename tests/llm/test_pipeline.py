@@ -67,3 +67,13 @@ def test_the_pipeline_keeps_the_token_ids(spark):
     packed = dict(corpus_pipeline.STAGES)["packing"](spark, docs, DATA)
     assert packed.where("size(ids) <> length").count() == 0 and packed.where("size(ids) > 0").count() > 0
     assert "ids" not in QUERIES["op7_packing"](spark, DATA).columns
+
+
+def test_different_texts_of_one_id_stay(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(3, words("b")), (5, words("a")), (5, words("b") + " more"), (5, words("c")), (5, words("c")), (9, words("c")),
+            (-1, words("d")), (8, words("d"))]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    single = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df.repartition(3), DATA)
+    want = [(-1, words("d")), (3, words("b")), (5, words("a")), (5, words("c"))]
+    assert sorted((r.doc_id, r.text) for r in single.collect()) == want and single.columns == df.columns
