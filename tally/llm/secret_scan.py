@@ -119,13 +119,15 @@ def row_key(id_: Column, repo: Column, owner: Column, text: Column) -> Column:
 def verdicts(found: DataFrame, most_owners: int) -> DataFrame:
     """(key, judged spans): every candidate of ``found`` with its value's owners and verdict.
 
-    Counts are aggregated map-side per (value, owner) and (value, repository), so a value that a
-    third of all rows hold is a few rows per task before the shuffle; in the join back
-    to the candidates its rows are salted.
+    Owners and repositories are distinct per value, also a repository of several owners; they are
+    aggregated map-side per (value, owner) and (value, repository) and shuffled by those, so a
+    value that a third of all rows hold spreads over the tasks; in the join back
+    to the candidates its rows are salted.  Owners alone decide: the copies that one
+    owner keeps in many repositories are its own.
     """
     each = found.where(F.size("spans") > 0).select("key", "repo", "owner", F.explode("spans").alias("s"))
-    held = each.groupBy(F.col("s.value").alias("value"), "owner").agg(F.count_distinct("repo").alias("repos"))
-    owners = held.groupBy("value").agg(F.count("owner").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    owners = each.groupBy(F.col("s.value").alias("value")).agg(
+        F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
     named = each.distinct().withColumn("value", F.col("s.value"))
     return (join_salted(named, owners, "value", F.col("key"))
             .withColumn("live", F.col("n_owners") <= most_owners)
@@ -139,8 +141,9 @@ def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
 
     ``spans`` joins ``kind:start:end`` of all spans by start, then kind: the base kinds,
     the vendor formats and, for each candidate, ``live`` or ``example`` over the same
-    interval.  ``n_live`` and ``n_example`` count those, ``max_owners`` is the largest
-    number of distinct owners of a candidate's value (0 without any).
+    interval.  ``n_live`` and ``n_example`` count those, ``max_owners`` and ``max_repos``
+    are the largest numbers of distinct owners and repositories of a candidate's value
+    (0 without any).
 
     A null text is empty and has no spans; a null repository or owner counts as no
     repository or owner; repeated rows are answered each; an empty table gives an empty
@@ -167,7 +170,8 @@ def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
         _span_list(F.concat("spans", added), names).alias("spans"),
         F.size(F.filter(added, lambda s: s["rank"] == len(kinds))).cast("long").alias("n_live"),
         F.size(F.filter(added, lambda s: s["rank"] > len(kinds))).cast("long").alias("n_example"),
-        F.coalesce(F.array_max(F.transform("judged", lambda j: j["n_owners"])), F.lit(0)).cast("long").alias("max_owners"))
+        F.coalesce(F.array_max(F.transform("judged", lambda j: j["n_owners"])), F.lit(0)).cast("long").alias("max_owners"),
+        F.coalesce(F.array_max(F.transform("judged", lambda j: j["n_repos"])), F.lit(0)).cast("long").alias("max_repos"))
 
 
 def redact(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text",

@@ -92,3 +92,12 @@ def test_redact_keeps_rows_and_columns(spark):
 def test_no_python_in_the_plan(spark):
     plan = scan_secrets(odd_documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_repositories_of_a_value_are_counted_once(spark):
+    rows = [(i, "password=repeatedsecret", "s1", f"r{i % 30}") for i in range(60)] + [(60, "password=repeatedsecret", "s2", "r0"),
+            (61, "password=singlesecret", "s1", "r0"), (62, "none", "s1", "r1"), (63, "password=norepository", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: (r.n_live, r.max_owners, r.max_repos) for r in scan_secrets(df, repo_col="repo").collect()}
+    # r0 holds the value for two owners and is one repository
+    assert got == {**{i: (1, 2, 30) for i in range(61)}, 61: (1, 1, 1), 62: (0, 0, 0), 63: (1, 0, 0)}
