@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import fingerprints, html_extract, lattice_sampling, license_scan, minhash_dedup, packing, quality_pu, secret_scan, url_filter, vafile_topk
+from tally.llm import fingerprints, html_extract, lattice_sampling, license_scan, minhash_dedup, packing, quality_pu, secret_scan, simhash_dedup, url_filter, vafile_topk
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -74,6 +74,10 @@ def op8_license_scan(spark: SparkSession, data_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, data_dir, "documents")).drop("detections")
 
 
+def op11_simhash_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, data_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_vafile_topk": op2_vafile_topk,
@@ -85,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op8_license_scan": op8_license_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_simhash_dedup": op11_simhash_dedup,
 }
