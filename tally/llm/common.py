@@ -37,15 +37,16 @@ def written(df: DataFrame) -> DataFrame:
 SALTS = 8
 
 
-def join_salted(rows: DataFrame, facts: DataFrame, key: str, salt_by: Column, how: str = "inner") -> DataFrame:
-    """Equi-join of many rows of a hot key with the one row of ``facts`` for it.
+def join_salted(rows: DataFrame, facts: DataFrame, key: str | list[str], salt_by: Column, how: str = "inner") -> DataFrame:
+    """Equi-join of many rows of a hot key (one column or several) with the one row of ``facts`` for it.
 
     The rows of a key spread over SALTS shuffle partitions; and as neither side then keeps the
     partitioning it had, adaptive execution can split a partition that is still too large.
     """
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-            .join(facts.withColumn("_salt", copies), [key, "_salt"], how).drop("_salt"))
+            .join(facts.withColumn("_salt", copies), [*([key] if isinstance(key, str) else key), "_salt"], how)
+            .drop("_salt"))
 
 
 #: Bits of an id filter, whatever the number of ids: 4 MB.

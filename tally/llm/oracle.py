@@ -131,6 +131,34 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(y, w.doc
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.x = w.doc_id"""
 
 
+def _divergence() -> str:
+    """All pairs of a language's sources, term by term."""
+    lower = _LOWER.format("coalesce(text, '')")
+    price = "1 + (1000000000 * ({} + 1)) // ({} + {})"
+    ranked = "CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({lower}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+     w AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+     k AS (SELECT lang, term, CAST(count(*) AS BIGINT) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+     v AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM k GROUP BY lang),
+     c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+     s AS (SELECT lang, source, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS n
+           FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+     a AS (SELECT lang, s.source, k.term, coalesce(c.n, 0) AS n, {price.format('coalesce(c.n, 0)', 's.n', 'v.v')} AS p,
+                  {price.format('k.total', 'v.n', 'v.v')} AS q
+           FROM s JOIN v USING (lang) JOIN k USING (lang)
+           LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+     f AS (SELECT x.lang, x.source, y.source AS item, CAST(sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS BIGINT) AS value
+           FROM a AS x JOIN a AS y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL),
+     b AS (SELECT x.lang, x.source, y.source AS item, coalesce(f.value, 0) AS value FROM s AS x JOIN s AS y USING (lang)
+           LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source WHERE x.source <> y.source),
+     t AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM a WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, {ranked} FROM b
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, {ranked} FROM t) WHERE rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_near_dedup": _near_dedup(), "op4_secret_scan": _secrets(), "op8_license_scan": _licenses(),
-            "op2_vafile_topk": _TOPK, "op10_url_filter": _urls()}
+            "op2_vafile_topk": _TOPK, "op10_url_filter": _urls(), "op12_source_divergence": _divergence()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import fingerprints, html_extract, lattice_sampling, license_scan, minhash_dedup, packing, quality_pu, secret_scan, simhash_dedup, url_filter, vafile_topk
+from tally.llm import fingerprints, html_extract, lattice_sampling, license_scan, minhash_dedup, packing, quality_pu, secret_scan, simhash_dedup, source_divergence, url_filter, vafile_topk, whitening
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -78,6 +78,14 @@ def op11_simhash_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, data_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, data_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, data_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, data_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, data_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_vafile_topk": op2_vafile_topk,
@@ -90,4 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op10_url_filter": op10_url_filter,
     "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
