@@ -74,12 +74,6 @@ def count_distinct_by(df: DataFrame, keys: str | Sequence[str], id_col: str,
     return drop_null_keys(df, keys).groupBy(*keys).agg(_distinct(id_col, rsd).alias(out))
 
 
-def count_by(df: DataFrame, keys: str | Sequence[str], out: str = "n") -> DataFrame:
-    """``value_counts`` of the key tuple: rows per non-null key."""
-    keys = _keys(keys)
-    return drop_null_keys(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-
-
 def over_domain(agg: DataFrame, domain: DataFrame, key: str, fill: Mapping[str, object],
                 order_by: str | None = None) -> DataFrame:
     """Re-key a grouped result onto a closed domain.

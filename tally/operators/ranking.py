@@ -30,10 +30,6 @@ def top_k(df: DataFrame, by: str, k: int = 5, tie: str | Sequence[str] = (),
     return df.orderBy(first, *[F.asc_nulls_last(t) for t in _list(tie)]).limit(k)
 
 
-def bottom_k(df: DataFrame, by: str, k: int = 5, tie: str | Sequence[str] = ()) -> DataFrame:
-    return top_k(df, by, k, tie, ascending=True)
-
-
 def first_rows(df: DataFrame, order: str | Sequence[str], k: int = 5) -> DataFrame:
     """``head(k)`` for an explicit order (Spark rows have no file order)."""
     return df.orderBy(*[F.asc_nulls_last(c) for c in _list(order)]).limit(k)

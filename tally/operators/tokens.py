@@ -10,7 +10,7 @@ from tally.functions.text import split_literal, strip_whitespace
 
 def token_counts(df: DataFrame, text_col: str, delimiter: str = ",", drop_empty: bool = False,
                  weight: str | None = None, token: str = "token", out: str = "n") -> DataFrame:
-    """Occurrences of each stripped token, in no order (``ranked_tokens`` sorts them).
+    """Occurrences of each stripped token, in no order.
 
     The delimiter is literal; leading and trailing Unicode whitespace is stripped.
     Empty pieces (``'a,,b'``, a trailing comma, an empty string) count as the
@@ -25,7 +25,3 @@ def token_counts(df: DataFrame, text_col: str, delimiter: str = ",", drop_empty:
         tokens = tokens.where(F.col(token) != "")
     measure = F.sum("_w") if weight else F.count(F.lit(1))
     return tokens.groupBy(token).agg(measure.cast("bigint").alias(out))
-
-
-def ranked_tokens(counts: DataFrame, token: str = "token", out: str = "n") -> DataFrame:
-    return counts.orderBy(F.desc(out), F.asc(token))

@@ -48,11 +48,17 @@ def _share(inner_dec: str, key: str, measure: str) -> str:
             f" as share_pct from a order by 1")
 
 
-def _pivot(index: str, out: str, col: str, cell: str) -> str:
-    """A pivot whose columns are the values in the data; ``cell`` is an expression of v."""
-    inner = f"select {index} as {out}, {col} as c, sum({SALES}) as v from {L_P} group by 1, 2"
-    return (f"select {out}, {cell} from (pivot (from ({inner}) where c is not null and {out} is not null) "
-            f"on c using sum(v) group by {out}) order by 1")
+# The closed domains of the pivots' columns.
+RETURN_FLAGS = ("A", "N", "R")
+PART_SIZES = range(1, 51)
+
+
+def _pivot(index: str, out: str, col: str, domain, scale: str = "", grand: str = "") -> str:
+    """A pivot by conditional sums over a closed domain; rows without a key are left out."""
+    cell = "{s}cast(coalesce(sum({v}) filter ({c} = {x}), 0) as double){g}"
+    cells = ", ".join(cell.format(s=scale, v=SALES, c=col, x=repr(x), g=grand) + f' as "{x}"' for x in domain)
+    return (f"select {index} as {out}, {cells} from {L_P} where {index} is not null and {col} is not null "
+            f"group by 1 order by 1")
 
 
 def _ranked(measure_sql: str, measure: str, desc: bool) -> str:
@@ -118,8 +124,7 @@ def oracle_sql() -> dict[str, str]:
     cat_profit = (f"select p.p_type as category, sum({PROFIT}) as profit from {L_P} group by 1")
     cat_rev = (f"select p.p_type as category, sum({SALES}) as revenue from {L_P} group by 1")
     grand = f"(select cast(sum({SALES}) as double) from {L_P} where l.l_returnflag is not null and p.p_type is not null)"
-    cells = "cast(coalesce(columns(* exclude ({})), 0) as double)"
-    return {
+    found = {
         "sales_by_month": (f"select cast(month(o.o_orderdate) as integer) as order_month, "
                            f"cast(sum({SALES}) as double) as sales from {L_O} group by 1 order by 1"),
         "sales_by_category": _part_sum("p_type", "category", SALES, "sales"),
@@ -158,9 +163,9 @@ def oracle_sql() -> dict[str, str]:
             f"select monthname(o.o_orderdate) as month_name, count(distinct l.l_orderkey) as orders "
             f"from {L_O} group by 1", "0"),
         "category_share": _share(cat_rev, "category", "revenue"),
-        "category_size_pivot": _pivot("p.p_type", "category", "l.l_returnflag", cells.format("category")),
-        "category_size_share": _pivot("p.p_type", "category", "l.l_returnflag",
-                                      f"100.0::double * {cells.format('category')} / {grand}"),
+        "category_size_pivot": _pivot("p.p_type", "category", "l.l_returnflag", RETURN_FLAGS),
+        "category_size_share": _pivot("p.p_type", "category", "l.l_returnflag", RETURN_FLAGS,
+                                      "100.0::double * ", f" / {grand}"),
         "quantity_by_category": _part_sum("p_type", "category", "l.l_quantity", "quantity"),
         "top5_by_quantity": _ranked("cast(sum(l.l_quantity) as double)", "quantity", True),
         "top5_by_orders": _ranked("count(distinct l.l_orderkey)", "orders", True),
@@ -185,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
         "orders_by_month_sparse": _zero_filled(
             MONTHS, "month_name", "month_ordinal", "orders",
             "select monthname(ts) as month_name, count(distinct user_id) as orders from events group by 1", "0"),
-        "brand_size_pivot_filled": _pivot("p.p_brand", "sub_category", "p.p_size", cells.format("sub_category")),
+        "brand_size_pivot_filled": _pivot("p.p_brand", "sub_category", "p.p_size", PART_SIZES),
         "weekday_revenue_labels": (
             f"select weekday, weekday_ordinal, concat('$', {_fmt('revenue')}) as revenue_label from ("
             + _zero_filled(WEEKDAYS, "weekday", "weekday_ordinal", "revenue",
@@ -197,3 +202,10 @@ def oracle_sql() -> dict[str, str]:
         "first_rows": _rows(False),
         "last_rows": _rows(True),
     }
+    # other ways to the same rows
+    found |= {f"{name}_laid_out": found[name] for name in ("sales_by_month", "revenue_by_weekday", "orders_by_weekday")}
+    found |= {f"{name}_pruned": found[name] for name in ("top5_by_orders", "bottom5_by_orders")}
+    found["ingredient_top10_certified"] = found["ingredient_top10"]
+    found |= {f"{name}_sketched": f"select *, true as within_bound from ({found[name]})"
+              for name in ("orders_by_weekday", "orders_by_hour")}
+    return found

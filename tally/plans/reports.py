@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,18 @@ from tally.functions.measures import (
     cents, format_fixed, from_cents, join_units, split_units, to_text,
 )
 from tally.operators.aggregate import count_distinct_by, kpis, over_domain, sum_by
-from tally.operators.pivot import pivot_sum
+from tally.operators.pivot import pivot_cells, stored_cells
 from tally.operators.profiling import describe_numeric, profile, shape
+from tally.functions.text import split_literal, strip_whitespace
 from tally.operators import ranking
+from tally.operators.heavy import heavy_values
 from tally.operators.ranking import top_k
 from tally.operators.shares import cells_share_of_total, grand_total, ratio_column, share_of_total
+from tally.operators.sketches import checked_counts, distinct_sketches, merged_counts, ranked_by_distinct
 from tally.operators.tokens import token_counts
 from tally.plans.star import fits_broadcast, join_dim, rollup_join, salted_join
 from tally.sources.adapters import event_lines, sales_lines
+from tally.sources.layout import derived_layout, is_layout, order_parts
 from tally.sources.parquet import read_table
 
 Report = Callable[[SparkSession, str], DataFrame]
@@ -84,13 +89,32 @@ def _profit_total(df: DataFrame, as_double: bool = True) -> DataFrame:
 
 
 # ---------------------------------------------------------------- order attributes
-def _orders_with(spark: SparkSession, d: str, **attrs) -> DataFrame:
-    o = read_table(spark, d, "orders")
-    return o.select("o_orderkey", *[e.alias(n) for n, e in attrs.items()])
+def _order_parts(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame, bool]]:
+    """(lines, orders, bucketed alike?): one part, or those of a folder laid out by order."""
+    if is_layout(d):
+        return order_parts(spark, d)
+    return [(_lines(spark, d), read_table(spark, d, "orders"), False)]
 
 
-def _order_rollup(spark: SparkSession, d: str, lines: DataFrame, sums, **attrs) -> DataFrame:
-    return rollup_join(lines, "l_orderkey", _orders_with(spark, d, **attrs), "o_orderkey", sums)
+def _order_rollup(spark: SparkSession, d: str, sums, prepare: Callable[[DataFrame], DataFrame] = lambda lines: lines,
+                  **attrs) -> DataFrame:
+    """Lines (after ``prepare``) with attributes of their order, folded to the order where that pays.
+
+    The lines of an order are in one part, so sums and distinct orders add up over the parts."""
+    folded = [rollup_join(prepare(lines), "l_orderkey", orders.select("o_orderkey", *[e.alias(n) for n, e in attrs.items()]),
+                          "o_orderkey", sums, co_located=alike)
+              for lines, orders, alike in _order_parts(spark, d)]
+    return reduce(DataFrame.unionByName, folded)
+
+
+def _order_join(spark: SparkSession, d: str, prepare: Callable[[DataFrame], DataFrame], **attrs) -> DataFrame:
+    """The same at line grain."""
+    joined = []
+    for lines, orders, alike in _order_parts(spark, d):
+        fact, side = prepare(lines), orders.select("o_orderkey", *[e.alias(n) for n, e in attrs.items()])
+        joined.append(fact.join(side.hint("merge"), fact["l_orderkey"] == side["o_orderkey"]) if alike
+                      else join_dim(fact, side, "l_orderkey", "o_orderkey"))
+    return reduce(DataFrame.unionByName, joined)
 
 
 def _line_profit(lines: DataFrame, part: DataFrame) -> DataFrame:
@@ -120,7 +144,7 @@ def _priced_profit():
 
 
 def sales_by_month(spark: SparkSession, d: str) -> DataFrame:
-    j = _order_rollup(spark, d, _lines(spark, d), {"sales": cents("l_extendedprice")},
+    j = _order_rollup(spark, d, {"sales": cents("l_extendedprice")},
                       order_month=month_number("o_orderdate"))
     return _dollars(sum_by(j, "order_month", {"sales": "sales"}), "sales").orderBy("order_month")
 
@@ -132,12 +156,12 @@ def profit_by_month(spark: SparkSession, d: str) -> DataFrame:
     """A small part table prices the lines at once.  A large one is met only after the lines
     are folded to (month, part): orders cost the one line-grain shuffle."""
     part = _part(spark, d, "p_retailprice")
-    orders = _orders_with(spark, d, order_month=month_number("o_orderdate"))
+    month = month_number("o_orderdate")
     if fits_broadcast(part):
-        j = rollup_join(_line_profit(_lines(spark, d), part), "l_orderkey", orders, "o_orderkey", PROFIT_PARTS)
+        j = _order_rollup(spark, d, PROFIT_PARTS, lambda lines: _line_profit(lines, part), order_month=month)
         return _profit_total(sum_by(j, "order_month", PROFIT_PARTS)).orderBy("order_month")
-    lines = _lines(spark, d).select("l_orderkey", "l_partkey", *[e.alias(n) for n, e in _net_parts().items()])
-    dated = join_dim(lines, orders, "l_orderkey", "o_orderkey")
+    dated = _order_join(spark, d, lambda lines: lines.select(
+        "l_orderkey", "l_partkey", *[e.alias(n) for n, e in _net_parts().items()]), order_month=month)
     folded = sum_by(dated, ["order_month", "l_partkey"], NET_PARTS)
     priced = folded.join(part, folded["l_partkey"] == part["p_partkey"])
     profit = priced.select("order_month", _priced_profit().alias("profit"))
@@ -146,7 +170,7 @@ def profit_by_month(spark: SparkSession, d: str) -> DataFrame:
 
 def _weekday_orders(spark: SparkSession, d: str) -> DataFrame:
     # Distinct orders: the lines reduce to their order keys before meeting orders.
-    return _order_rollup(spark, d, _lines(spark, d), None, weekday=weekday_name("o_orderdate"))
+    return _order_rollup(spark, d, None, weekday=weekday_name("o_orderdate"))
 
 
 def orders_by_weekday(spark: SparkSession, d: str) -> DataFrame:
@@ -155,14 +179,14 @@ def orders_by_weekday(spark: SparkSession, d: str) -> DataFrame:
 
 
 def revenue_by_weekday(spark: SparkSession, d: str) -> DataFrame:
-    j = _order_rollup(spark, d, _lines(spark, d), {"revenue": cents("l_extendedprice")},
+    j = _order_rollup(spark, d, {"revenue": cents("l_extendedprice")},
                       weekday=weekday_name("o_orderdate"))
     agg = _dollars(sum_by(j, "weekday", {"revenue": "revenue"}), "revenue")
     return over_domain(agg, weekday_dim(spark), "weekday", {"revenue": 0.0}, order_by="weekday_ordinal")
 
 
 def orders_by_month(spark: SparkSession, d: str) -> DataFrame:
-    j = _order_rollup(spark, d, _lines(spark, d), None, month_name=month_name("o_orderdate"))
+    j = _order_rollup(spark, d, None, month_name=month_name("o_orderdate"))
     agg = count_distinct_by(j, "month_name", "l_orderkey", "orders")
     return over_domain(agg, month_dim(spark), "month_name", {"orders": 0}, order_by="month_ordinal")
 
@@ -278,18 +302,17 @@ def _category_size_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def category_size_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Revenue by category x size; the columns are the sizes that occur."""
-    cells = pivot_sum(_category_size_lines(spark, d), "category", "size", "revenue",
-                      finish=from_cents, cast_to="double")
-    return cells.orderBy("category")
+    cells = stored_cells(_category_size_lines(spark, d), "category", "size", "revenue")
+    return pivot_cells(cells, "category", "size", "revenue", finish=from_cents, cast_to="double").orderBy("category")
 
 
 def category_size_share(spark: SparkSession, d: str) -> DataFrame:
-    lines = _category_size_lines(spark, d)
-    cells = pivot_sum(lines, "category", "size", "revenue", finish=from_cents)
-    sizes = [c for c in cells.columns if c != "category"]
-    total = lines.withColumn("revenue", from_cents("revenue"))
-    grand = grand_total(total, ["category", "size"], "revenue")
-    return cells_share_of_total(cells, sizes, grand).orderBy("category")
+    """The same in percent of the grand total; columns, body and total come from the same stored cells."""
+    cells = stored_cells(_category_size_lines(spark, d), "category", "size", "revenue")
+    body = pivot_cells(cells, "category", "size", "revenue", finish=from_cents)
+    sizes = [c for c in body.columns if c != "category"]
+    grand = grand_total(cells.withColumn("revenue", from_cents("revenue")), ["category", "size"], "revenue")
+    return cells_share_of_total(body, sizes, grand).orderBy("category")
 
 
 def brand_size_pivot_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -297,8 +320,8 @@ def brand_size_pivot_filled(spark: SparkSession, d: str) -> DataFrame:
     j = rollup_join(_lines(spark, d), "l_partkey", _part(spark, d, "p_brand", "p_size"), "p_partkey",
                     {"revenue": cents("l_extendedprice")})
     j = j.select(F.col("p_brand").alias("sub_category"), "p_size", "revenue")
-    return pivot_sum(j, "sub_category", "p_size", "revenue", finish=from_cents,
-                     cast_to="double").orderBy("sub_category")
+    cells = stored_cells(j, "sub_category", "p_size", "revenue")
+    return pivot_cells(cells, "sub_category", "p_size", "revenue", finish=from_cents, cast_to="double").orderBy("sub_category")
 
 
 def ingredient_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -316,16 +339,6 @@ def ingredient_top10(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- products
-def product_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Units, revenue and distinct orders per product, from one join and one aggregate."""
-    j = _product_lines(spark, d, quantity=cents("l_quantity", QUANTITY_SCALE), revenue=cents("l_extendedprice"))
-    agg = j.where(F.col("product").isNotNull()).groupBy("product").agg(
-        F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity"),
-        from_cents(F.coalesce(F.sum("revenue"), F.lit(0))).cast("double").alias("revenue"),
-        F.count_distinct("order_id").alias("orders"))
-    return _units(agg)
-
-
 def _product_lines(spark: SparkSession, d: str, **measures) -> DataFrame:
     """Lines with their product name.  A large part table is met salted by the order, so that the
     lines of a hot part spread; the (product, order) dedupe that follows regroups them anyway."""
@@ -361,6 +374,53 @@ bottom5_by_quantity = _ranked("quantity", True)
 bottom5_by_orders = _ranked("orders", True)
 
 
+def _ranked_by_orders(ascending: bool) -> Report:
+    def report(spark: SparkSession, d: str) -> DataFrame:
+        """Sketch bounds choose the products that can be among the five; only theirs are deduplicated."""
+        return ranked_by_distinct(_product_lines(spark, d), "product", "order_id", 5, ascending, "orders")
+    report.__name__ = f"{'bottom' if ascending else 'top'}5_by_orders_pruned"
+    return report
+
+
+top5_by_orders_pruned = _ranked_by_orders(False)
+bottom5_by_orders_pruned = _ranked_by_orders(True)
+
+
+def ingredient_top10_certified(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent ingredients by a bounded summary and an exact recount of its candidates."""
+    lines = salted_join(_lines(spark, d).select("l_partkey", "l_orderkey"), _part(spark, d, "p_name"), "l_partkey",
+                        "p_partkey", salt_by="l_orderkey")
+    ingredients = F.replace(F.col("p_name"), F.lit(" "), F.lit(", "))
+    tokens = lines.select(F.explode(split_literal(ingredients, ",")).alias("piece"))
+    return heavy_values(tokens.select(strip_whitespace("piece").alias("ingredient")), "ingredient", 10)
+
+
+def orders_by_weekday_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct orders per weekday, and whether the merged sketches of its days agree within their bound."""
+    dated = _order_rollup(spark, d, None, day=F.to_date("o_orderdate"))
+    table = distinct_sketches(dated, "day", "l_orderkey")
+    approx = merged_counts(table, {"weekday": weekday_name("day")})
+    return checked_counts(orders_by_weekday(spark, d), "weekday", "orders", approx).orderBy("weekday_ordinal")
+
+
+def orders_by_hour_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users per hour, and whether the sketches of its (day, hour) cells agree within their bound."""
+    events = event_lines(spark, d).select("order_id", F.col("order_date").alias("day"), hour_of_time("order_time").alias("order_hour"))
+    approx = merged_counts(distinct_sketches(events, ["day", "order_hour"], "order_id"), "order_hour")
+    return checked_counts(orders_by_hour(spark, d), "order_hour", "orders", approx).orderBy("order_hour")
+
+
+def _laid_out(name: str) -> Report:
+    def report(spark: SparkSession, d: str) -> DataFrame:
+        """The report over the data folder laid out by order: lines and orders join without an exchange."""
+        return REPORTS[name](spark, derived_layout(spark, d))
+    report.__name__ = f"{name}_laid_out"
+    return report
+
+
+LAID_OUT = ("sales_by_month", "revenue_by_weekday", "orders_by_weekday")
+
+
 # ---------------------------------------------------------------- segments and KPIs
 def _segment_sums(spark: SparkSession, d: str) -> DataFrame:
     """Sales and profit per segment.
@@ -499,4 +559,10 @@ REPORTS: dict[str, Report] = {
     "share_labels": share_labels,
     "first_rows": first_rows,
     "last_rows": last_rows,
+    "top5_by_orders_pruned": top5_by_orders_pruned,
+    "bottom5_by_orders_pruned": bottom5_by_orders_pruned,
+    "ingredient_top10_certified": ingredient_top10_certified,
+    "orders_by_weekday_sketched": orders_by_weekday_sketched,
+    "orders_by_hour_sketched": orders_by_hour_sketched,
+    **{f"{name}_laid_out": _laid_out(name) for name in LAID_OUT},
 }

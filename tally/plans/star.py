@@ -120,7 +120,7 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, sa
 def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
                 sums: Mapping[str, Column | str] | None = None,
                 fact_keys: Sequence[str] = (), count_as: str | None = None,
-                pre_aggregate: bool | None = None) -> DataFrame:
+                pre_aggregate: bool | None = None, co_located: bool = False) -> DataFrame:
     """Join ``dim`` to the fact, folded to the grain (``fact_key``, ``fact_keys``) where that pays.
 
     The number of rows is not fixed: lines where the dimension is small, one row a grain
@@ -134,11 +134,13 @@ def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
     a large one meets the fact after the fact is aggregated to the key.
     ``pre_aggregate=True`` aggregates first in every case: worth it when heavy
     per-row work follows the join (the aggregate shuffle is then much smaller
-    than the work it saves), and the small dimension is still broadcast.
+    than the work it saves), and the small dimension is still broadcast.  ``co_located`` says that
+    both are bucketed alike on the key (``sources.layout``): the lines fold and meet the dimension
+    bucket by bucket, without an exchange of either.
     """
     sums = dict(sums or {})
     grain = [fact_key, *fact_keys]
-    small = fits_broadcast(dim)
+    small = not co_located and fits_broadcast(dim)
     if small and not pre_aggregate:
         cols = [F.col(c) for c in grain] + [(F.col(e) if isinstance(e, str) else e).alias(n)
                                            for n, e in sums.items()]
@@ -150,5 +152,5 @@ def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
     if count_as:
         aggs.append(F.count(F.lit(1)).alias(count_as))
     per_key = fact.groupBy(*grain).agg(*aggs) if aggs else fact.select(*grain).distinct()
-    side = F.broadcast(dim) if small else dim
+    side = F.broadcast(dim) if small else dim.hint("merge") if co_located else dim
     return per_key.join(side, per_key[fact_key] == side[dim_key])
