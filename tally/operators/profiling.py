@@ -4,34 +4,20 @@
 mean, sample standard deviation, min, linearly interpolated 25/50/75 %
 percentiles and max, one row per numeric column.
 
-Exact percentiles are found by a distributed selection instead of Spark's
-``percentile`` aggregate, whose final merge holds every distinct value of a
-column in one task:
-
-1. count rows per (column, distinct value) in one scan (the columns unpivot) -
-   partial aggregation folds a hot value into one row per task, so one value
-   holding a third of the table is one row afterwards;
-2. range-partition those (column, value, count) rows and checkpoint them, which
-   fixes each row's partition id;
-3. per (column, partition) total -> running offsets over the few
-   (column, partition) rows -> the partitions that hold a wanted rank (two per
-   percentile per column, a bounded table);
-4. cumulative ranks by a window inside those partitions only, join the wanted
-   ranks and interpolate.
-
-Mean, standard deviation, min and max come from the same counts, so the table
-is scanned once.
+Exact percentiles, moments and extremes come from two scans of the table and a sketch that brackets the
+wanted ranks (``operators.quantiles``), not from Spark's ``percentile``, whose final merge holds every
+distinct value of a column in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tally.session import ensure_checkpoint_dir
+from tally.operators.quantiles import bracketed_counts, moments_from_counts, quantiles_from_counts
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -57,130 +43,21 @@ def profile(df: DataFrame) -> DataFrame:
         "r.*", F.col("_rows").alias("n_rows"), F.lit(len(fields)).cast("bigint").alias("n_columns"))
 
 
-def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, value, c): rows per distinct non-null, non-NaN value of each column.
-
-    One scan: the columns unpivot to (column, value) pairs, and repeats fold map-side
-    before the shuffle.
-    """
-    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("double").alias("value"))
-                      for i, c in enumerate(cols)])
-    long = df.select(F.explode(pairs).alias("p")).select("p.k", "p.value")
-    counts = (long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-              .groupBy("k", "value").agg(F.count(F.lit(1)).alias("c")))
+def _named(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The column's number ``k`` as its name."""
     names = F.array(*[F.lit(c) for c in cols])
-    return counts.select(F.element_at(names, F.col("k") + 1).alias("column_name"), "value", "c")
-
-
-def ranked_value_counts(df: DataFrame, cols: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """(column_name, value, c, pid): value counts range-partitioned and checkpointed.
-
-    The checkpoint (in ``spark.checkpoint.dir``) fixes every row's partition id
-    and cuts the lineage, so the several passes over it read the same layout.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (_value_counts(df, cols).repartitionByRange(parts, "column_name", "value")
-            .withColumn("pid", F.spark_partition_id())
-            .checkpoint(eager=True))
-
-
-#: Decimals that the exact sums carry.
-EXACT_SCALE = 6
-
-
-def moments_from_counts(ranged: DataFrame) -> DataFrame:
-    """(column_name, n, mean, std, min, max) from (column_name, value, c) rows.
-
-    A column whose values all have at most EXACT_SCALE decimals (integers, money, rates) is
-    summed exactly, as whole 1/10^EXACT_SCALE units and their squares: the result does not
-    depend on the order or number of partitions.  Other columns, and sums beyond 38
-    digits, are summed as floats, which depends on the order in the last bits; their std
-    comes from the centred second moment.
-    """
-    unit = float(10 ** EXACT_SCALE)
-    units = F.round(F.col("value") * unit)
-    fits = (F.abs(units) < float(1 << 53)) & (units / unit == F.col("value"))
-    whole = F.when(fits, units.cast("bigint")).cast("decimal(19,0)")
-    square = F.try_multiply(whole * whole, F.col("c").cast("decimal(19,0)"))
-    rows = ranged.withColumns({"w": whole * F.col("c").cast("decimal(19,0)"), "w2": square})
-    first = rows.groupBy("column_name").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("value")).alias("s1"),
-        F.bool_and(F.col("w2").isNotNull()).alias("exact"), F.try_sum("w").alias("s"), F.try_sum("w2").alias("q"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    n = F.col("n").cast("double")
-    wide = {c: F.col(c).cast("decimal(38,0)") for c in ("n", "s", "q")}
-    spread = F.try_subtract(F.try_multiply(wide["n"], wide["q"]), F.try_multiply(wide["s"], wide["s"]))
-    first = first.withColumns({
-        "mean": F.when(F.col("exact") & F.col("s").isNotNull(), F.col("s").cast("double") / unit / n)
-        .otherwise(F.col("s1") / n),
-        "spread": F.when(F.col("exact"), spread).cast("double")})
-    # one row per column: a bounded broadcast
-    centred = ranged.join(F.broadcast(first.select("column_name", "mean")), "column_name").groupBy(
-        "column_name").agg(F.sum(F.col("c") * F.pow(F.col("value") - F.col("mean"), 2)).alias("m2"))
-    std = F.when(F.col("n") > 1, F.sqrt(F.coalesce(F.col("spread") / (unit * unit) / (n * (n - 1)), F.col("m2") / (n - 1))))
-    return first.join(centred, "column_name").select(
-        "column_name", F.col("n").cast("bigint").alias("n"), "mean", std.alias("std"), "min", "max")
+    return df.withColumn("column_name", F.element_at(names, F.col("k") + 1)).drop("k")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str],
-                    probs: Sequence[tuple[str, float]] = DESCRIBE_PROBS,
-                    partitions: int | None = None, ranged: DataFrame | None = None) -> DataFrame:
-    """Linearly interpolated quantiles per column: (column_name, <name> for each prob).
+                    probs: Sequence[tuple[str, float]] = DESCRIBE_PROBS) -> DataFrame:
+    """Linearly interpolated quantiles per column with values: (column_name, <name> for each prob).
 
-    For n values sorted v[0..n-1], quantile q is v[lo] + (v[hi] - v[lo]) * f with
-    h = (n-1) q, lo = floor(h), hi = ceil(h), f = h - lo.  ``ranged`` reuses the
-    output of ``ranked_value_counts``.
+    Nulls and NaN are no values.  The table is scanned when this is called.
     """
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if ranged is None:
-        ranged = ranked_value_counts(df, cols, parts)
-
-    per_part = ranged.groupBy("column_name", "pid").agg(F.sum("c").alias("pc"))
-    before = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    # (column, partition) pairs: at most len(cols) x partitions rows.
-    offsets = per_part.select("column_name", "pid", "pc",
-                              F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"))
-
-    n_by_col = per_part.groupBy("column_name").agg(F.sum("pc").alias("n"))
-    pos = [F.struct(F.lit(name).alias("q_name"), F.lit(float(q)).alias("q")) for name, q in probs]
-    targets = (n_by_col.select("column_name", "n", F.explode(F.array(*pos)).alias("p"))
-               .select("column_name", "p.q_name",
-                       ((F.col("n") - 1).cast("double") * F.col("p.q")).alias("h"))
-               .select("column_name", "q_name", F.floor("h").alias("lo"), F.ceil("h").alias("hi"),
-                       (F.col("h") - F.floor("h")).alias("frac")))
-    # Wanted ranks: len(cols) x len(probs) x 2 rows, a bounded table.
-    wanted = targets.select("column_name", "q_name", "frac",
-                            F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("lo").alias("rank")),
-                                              F.struct(F.lit("hi").alias("side"), F.col("hi").alias("rank"))))
-                            .alias("w")).select("column_name", "q_name", "frac", "w.side", "w.rank")
-    # Only the partitions that hold a wanted rank are sorted: at most two per
-    # quantile per column, however many partitions the counts span.
-    holding = (offsets.join(F.broadcast(wanted), (offsets.column_name == wanted.column_name)
-                            & (wanted.rank >= offsets.off) & (wanted.rank < offsets.off + offsets.pc))
-               .select(offsets.column_name, "pid", "off").distinct())
-    upto = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    # The window needs rows clustered by (column, partition) anyway; naming the
-    # partition count keeps adaptive execution from merging the sorts into few tasks.
-    spans = (ranged.join(F.broadcast(holding), ["column_name", "pid"])
-             .repartition(parts, "column_name", "pid")
-             .select("column_name", "value",
-                     (F.col("off") + F.sum("c").over(upto)).alias("end_rank"), "c")
-             .withColumn("start_rank", F.col("end_rank") - F.col("c")))
-    hits = spans.join(F.broadcast(wanted),
-                      (spans.column_name == wanted.column_name)
-                      & (wanted.rank >= spans.start_rank) & (wanted.rank < spans.end_rank)) \
-        .select(spans.column_name, "q_name", "frac", "side", "value")
-    per_q = hits.groupBy("column_name", "q_name").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("v_hi"),
-        F.max("frac").alias("frac"))
-    per_q = per_q.select("column_name", "q_name",
-                         (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("v"))
-    names = [name for name, _ in probs]
-    return per_q.groupBy("column_name").pivot("q_name", names).agg(F.first("v"))
+    counts, state = bracketed_counts(df, cols, probs)
+    out = _named(quantiles_from_counts(counts, cols, state, probs), cols)
+    return out.select("column_name", *[name for name, _ in probs])
 
 
 def approx_quantiles(df: DataFrame, cols: Sequence[str],
@@ -199,17 +76,16 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str],
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """pandas ``describe()`` in long form: (column_name, n, mean, std, min, p25, p50, p75, max).
 
-    Exact: every statistic comes from the checkpointed distinct-value counts, so
-    the table is scanned once.  Approximate: one aggregate pass over the table
+    Exact: two scans, when it is called, the first for sketches that bracket the percentiles; a few counts are
+    checkpointed, and every statistic comes from them.  Approximate: one aggregate pass over the table
     with ``percentile_approx``.  See ``moments_from_counts`` for when mean and std are
-    exact; percentiles, min and max are exact values.  The exact form checkpoints the
-    counts when it is called.
+    exact; percentiles, min and max are exact values.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if exact:
-        ranged = ranked_value_counts(df, cols)
-        m = moments_from_counts(ranged)
-        q = exact_quantiles(df, cols, ranged=ranged)
+        counts, state = bracketed_counts(df, cols, DESCRIBE_PROBS)
+        m = _named(moments_from_counts(counts, cols, state), cols)
+        q = _named(quantiles_from_counts(counts, cols, state, DESCRIBE_PROBS), cols)
     else:
         clean = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols}
         moments = F.array(*[F.struct(
@@ -233,4 +109,4 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 __all__ = ["profile", "describe_numeric", "exact_quantiles", "approx_quantiles", "shape",
-           "numeric_columns", "ranked_value_counts", "moments_from_counts"]
+           "numeric_columns"]

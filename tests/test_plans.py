@@ -100,10 +100,16 @@ def test_hot_part_is_spread_by_the_salt(spark, no_broadcast):
     assert sum(sizes) == 16000 and len(sizes) >= 4 and max(sizes) < 8000
 
 
-def test_describe_scans_once(spark):
-    from tally.operators.profiling import _value_counts, numeric_columns
+def test_describe_scans_twice(spark):
+    """One scan sketches, one counts: the plan of each reads the table once, and the result reads it no more."""
+    from tally.operators import quantiles
+    from tally.operators.profiling import DESCRIBE_PROBS, numeric_columns
     lines = spark.read.parquet(f"{D}/lineitem.parquet")
-    assert plan(_value_counts(lines, numeric_columns(lines))).count("Scan parquet") <= 2  # tree and details
+    cols = numeric_columns(lines)
+    counts, state = quantiles.bracketed_counts(lines, cols, DESCRIBE_PROBS)
+    assert plan(quantiles._counted(lines, cols, state)).count("Scan parquet") <= 2  # tree and details
+    assert counts.count() < lines.count() / 2  # of the insides alone
+    assert "Scan parquet" not in plan(entry.queries()["numeric_describe"](spark, D))
 
 
 def test_share_total_reuses_the_aggregate(spark):
