@@ -114,7 +114,7 @@ def _counted(df: DataFrame, cols: Sequence[str], state: Mapping[str, _Column]) -
         each.append(F.struct(F.lit(i).alias("k"), v.alias("v"), code.alias("code")))
     rows = df.select(F.explode(F.array(*each)).alias("p")).select("p.*").where(F.col("v").isNotNull())
     unit, limb = float(10 ** EXACT_SCALE), (1 << _LIMB) - 1
-    whole = F.round(F.col("v") * unit)
+    whole = F.rint(F.col("v") * unit)  # round() goes through BigDecimal
     fits = (F.abs(whole) < float(1 << 53)) & (whole / unit == F.col("v"))
     rows = rows.withColumn("u", F.when(fits, whole).cast("long"))
     rows = rows.withColumns({"a": F.shiftright("u", _LIMB), "b": F.col("u").bitwiseAND(F.lit(limb))})
@@ -123,7 +123,7 @@ def _counted(df: DataFrame, cols: Sequence[str], state: Mapping[str, _Column]) -
         sums |= {f"{name}_high": F.shiftright(x, _LIMB), f"{name}_low": x.bitwiseAND(F.lit(limb))}
     centre = F.element_at(F.array(*[F.lit(state[c].centre) for c in cols]), F.col("k") + 1)
     return (rows.groupBy("k", "code", F.when(F.col("code") % 2 == 1, F.col("v")).alias("value"))
-            .agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s1"), F.sum(F.pow(F.col("v") - centre, 2)).alias("m2"),
+            .agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s1"), F.sum((F.col("v") - centre) * (F.col("v") - centre)).alias("m2"),
                  F.min("v").alias("least"), F.max("v").alias("most"), F.bool_and(F.col("u").isNotNull()).alias("exact"),
                  *[F.try_sum(x).alias(n) for n, x in sums.items()]))
 
