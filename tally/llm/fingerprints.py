@@ -1,15 +1,19 @@
 """Context-triggered piecewise hashing of documents.
 
 A hash rolling over seven bytes marks the ends of pieces wherever its low bits are
-all ones, so that an edit moves only the boundaries near it.  Each piece gives one
-character of the signature.  A fingerprint is ``block:fine:signature:coarse``, the
-signatures at a quarter of the block, the block and twice the block; two are compared,
+all ones, so that an edit moves only the boundaries near it.  A piece has at least a quarter of
+the block and at most one and a half of it: where no mark falls into that range it ends at the
+range's largest hash, which keeps its place in repeated passages too.  So the pieces
+cover the whole text, 40 to 260 of them, whatever it repeats.  Each piece gives one
+character of the signature.  A fingerprint is ``block:signature:coarse``, the
+signatures at the block, which follows the length, and at twice the block; two are compared,
 by edit distance, where their block sizes agree.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +24,7 @@ from pyspark.sql import functions as F
 
 from tally.llm.common import blocks, mix64, session_partitions, written
 
-LENGTH = 64          # a signature's greatest length
-FINER = 2            # the fine signature's block is smaller by so many powers of two
-SHORT = 8            # below this length at the block, the fine signature counts
+LENGTH = 64          # blocks that hold a text, at most
 ROLL = 7             # bytes of the rolling hash
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _CHARS = np.frombuffer(ALPHABET.encode(), dtype=np.uint8)
@@ -47,26 +49,42 @@ def _rolled(data: np.ndarray) -> np.ndarray:
     return r
 
 
+def _starts(rolled: np.ndarray, bits: int) -> list[int]:
+    """Where the pieces of a non-empty text begin."""
+    block = 1 << bits
+    least, most = max(1, block // 4), max(1, block + block // 2)
+    mask = np.uint32(block - 1)
+    marks = np.flatnonzero((rolled & mask) == mask).tolist()
+    n, out, at, i = len(rolled), [0], 0, 0
+    while True:
+        low, high = at + least - 1, min(at + most, n) - 1  # the piece's last byte
+        i = bisect_left(marks, low, i)
+        if i < len(marks) and marks[i] <= high:
+            at = marks[i] + 1
+        elif high == n - 1:
+            return out
+        else:  # the last of the largest
+            at = high + 1 - int(rolled[low:high + 1][::-1].argmax())
+        if at >= n:
+            return out
+        out.append(at)
+
+
 def _signature(rolled: np.ndarray, bits: int) -> str:
-    mask = np.uint32((1 << bits) - 1)
-    ends = np.flatnonzero((rolled & mask) == mask) + 1
-    starts = np.concatenate(([0], ends[ends < len(rolled)]))[:LENGTH]  # the last piece holds all the rest
-    sums = np.add.reduceat(rolled, starts, dtype=np.uint64)
+    sums = np.add.reduceat(rolled, _starts(rolled, bits), dtype=np.uint64)
     return _CHARS[(mix64(sums) >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
 def _fingerprint(rolled: np.ndarray) -> str:
-    """The block size follows the length, so that it survives edits; texts whose repetitions
-    hold too few boundaries are told apart by the finer signature."""
+    """The block size follows the length, so that it survives edits."""
     bits = 0
     while (LENGTH << bits) < len(rolled):
         bits += 1
-    levels = (max(0, bits - FINER), bits, bits + 1)
-    return f"{1 << bits}:" + ":".join(_signature(rolled, k) if len(rolled) else "" for k in levels)
+    return f"{1 << bits}:" + ":".join(_signature(rolled, k) if len(rolled) else "" for k in (bits, bits + 1))
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """Fingerprints of whole texts; equal texts have equal ones, an empty one ``1:::``."""
+    """Fingerprints of whole texts; equal texts have equal ones, an empty one ``1::``."""
     out = []
     pad = np.full(ROLL - 1, 256, dtype=np.uint16)
     for group in blocks((t.encode("utf-8", "surrogatepass") for t in texts), len, 1 << 20):
@@ -109,14 +127,11 @@ def likeness(a: str, b: str) -> float:
     """0 to 1: 1 for equal fingerprints, 0 where no block size agrees."""
     if a == b:
         return 1.0
-    n, fine_a, a1, a2 = a.split(":")
-    m, fine_b, b1, b2 = b.split(":")
+    n, a1, a2 = a.split(":")
+    m, b1, b2 = b.split(":")
     n, m = int(n), int(m)
     if n == m:
-        found = max(_similarity(a1, b1), _similarity(a2, b2))
-        if min(len(a1), len(b1)) < SHORT:
-            found = max(found, _similarity(fine_a, fine_b))
-        return found
+        return max(_similarity(a1, b1), _similarity(a2, b2))
     if n == 2 * m:
         return _similarity(a1, b2)
     if m == 2 * n:
@@ -164,8 +179,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Per document: its fingerprint, that of its edited text, and likenesses.
 
     The next document is that of the next id (equal ids: by text), after the last one
-    the first.  The texts are dealt out once by ranges of the id; each task streams over its
-    sorted run, and only the last document of a run, whose successor begins another
+    the first.  The texts are dealt out once by ranges of the id and the text's beginning, so that an id
+    of many texts spreads too; each task streams over its sorted run, and only the last document of a run, whose successor begins another
     run, is finished afterwards: one row a run.
 
     A null text is empty; null ids come first and stay null; repeated rows are answered
@@ -175,7 +190,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = partitions or session_partitions(docs.sparkSession)
     ordered = (docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                            F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-               .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text"))
+               .repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text"))
     step, result = _schema(_STEP), _schema(_OUT)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
