@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.llm.common import join_salted, written
@@ -52,11 +52,11 @@ VENDOR = (
 #: A value of more owners than this is a copied example.
 MOST_OWNERS = 2
 
-_SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
+_STEPS = "array<struct<rank:int,gap:int,len:int,value:string>>"
 
 
-def _found(text: Column, kind: Kind, rank: int) -> Column:
-    """Spans (start, rank, end, value hash) of the matches; those too short are dropped.
+def _steps(text: Column, kind: Kind, rank: int) -> Column:
+    """A kind's matches in order: (rank, length of the gap before, length, value hash or null if too short).
 
     The matches and the gaps that ``split`` leaves between them add up to the text,
     which gives the places, in code points.
@@ -65,28 +65,20 @@ def _found(text: Column, kind: Kind, rank: int) -> Column:
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = whole if kind.group == 0 else F.regexp_extract_all(text, pattern, F.lit(kind.group))
     gaps = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(whole))
-    steps = F.zip_with(F.arrays_zip(gaps.alias("gap"), whole.alias("whole")), value,
-                       lambda gw, v: F.struct(F.length(gw["gap"]).alias("gap"), F.length(gw["whole"]).alias("len"),
-                                              v.alias("value")))
-    one = lambda acc, s: F.array(F.struct(
-        (acc["at"] + s["gap"]).alias("start"), F.lit(rank).alias("rank"),
-        (acc["at"] + s["gap"] + s["len"]).alias("end"), F.sha2(s["value"], 256).alias("value")))
-    spans = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")),
-        lambda acc, s: F.struct((acc["at"] + s["gap"] + s["len"]).alias("at"),
-                                F.when(F.length(s["value"]) >= kind.least, F.concat(acc["spans"], one(acc, s)))
-                                .otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
+    steps = F.zip_with(F.arrays_zip(gaps.alias("gap"), whole.alias("whole")), value, lambda gw, v: F.struct(
+        F.lit(rank).alias("rank"), F.length(gw["gap"]).alias("gap"), F.length(gw["whole"]).alias("len"),
+        F.when(F.length(v) >= kind.least, F.sha2(v, 256)).alias("value")))
     if kind.gates:
         held = F.lit(False)
         for g in kind.gates:
             held = held | F.contains(F.lower(text) if kind.folded else text, F.lit(g))
     else:
         held = text.rlike(kind.pattern)
-    return F.when(held, spans).otherwise(F.array().cast(_SPANS))
+    return F.when(held, steps).otherwise(F.array().cast(_STEPS))
 
 
 def _span_list(spans: Column, names: list[str]) -> Column:
+    """``kind:start:end`` of an array of (start, rank, end), sorted and joined."""
     named = F.array(*[F.lit(n) for n in names])
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(
         ":", F.element_at(named, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
@@ -98,7 +90,7 @@ def _names(kinds: tuple[Kind, ...]) -> list[str]:
 
 def candidates(docs: DataFrame, repo_col: str, owner_col: str, text_col: str, id_col: str,
                kinds: tuple[Kind, ...]) -> DataFrame:
-    """Per row of ``docs``: its key, id, repository, owner and candidate spans.
+    """Per row of ``docs``: its number, key, id, repository, owner and the steps of its matches.
 
     The key is a hash of id, repository, owner and text: rows that agree in all of them
     have the same candidates and the same verdicts.
@@ -106,18 +98,32 @@ def candidates(docs: DataFrame, repo_col: str, owner_col: str, text_col: str, id
     frame = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in
                           ((id_col, "id"), (repo_col, "repo"), (owner_col, "owner"), (text_col, "text"))])
     text = F.coalesce("text", F.lit(""))
-    spans = F.flatten(F.array(*[_found(text, k, i) for i, k in enumerate(kinds)]))
-    return frame.select(row_key(F.col("id"), F.col("repo"), F.col("owner"), F.col("text")).alias("key"),
+    steps = F.flatten(F.array(*[_steps(text, k, i) for i, k in enumerate(kinds)]))
+    return frame.select(F.monotonically_increasing_id().alias("row"),
+                        row_key(F.col("id"), F.col("repo"), F.col("owner"), F.col("text")).alias("key"),
                         "id", F.col("repo").cast("string").alias("repo"), F.col("owner").cast("string").alias("owner"),
-                        spans.alias("spans"))
+                        steps.alias("steps"))
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """(row, key, repo, owner, start, rank, end, value) of the written candidates.
+
+    Running sums over a row's steps of a kind give the places: time in proportion to the matches, however
+    many a text holds.  Matches are shuffled, texts are not.
+    """
+    each = (found.where(F.size("steps") > 0).select("row", "key", "repo", "owner", F.posexplode("steps").alias("place", "s"))
+            .select("row", "key", "repo", "owner", "place", "s.*"))
+    so_far = Window.partitionBy("row", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).where(F.col("value").isNotNull())
+            .select("row", "key", "repo", "owner", (F.col("end") - F.col("len")).alias("start"), "rank", "end", "value"))
 
 
 def row_key(id_: Column, repo: Column, owner: Column, text: Column) -> Column:
     return F.sha2(F.to_json(F.array(*[c.cast("string") for c in (id_, repo, owner)], F.sha2(text, 256))), 256)
 
 
-def verdicts(found: DataFrame, most_owners: int) -> DataFrame:
-    """(key, judged spans): every candidate of ``found`` with its value's owners and verdict.
+def verdicts(spans: DataFrame, most_owners: int) -> DataFrame:
+    """The spans with their value's distinct owners and repositories, and whether it is ``live``.
 
     Owners and repositories are distinct per value, also a repository of several owners; they are
     aggregated map-side per (value, owner) and (value, repository) and shuffled by those, so a
@@ -125,13 +131,8 @@ def verdicts(found: DataFrame, most_owners: int) -> DataFrame:
     to the candidates its rows are salted.  Owners alone decide: the copies that one
     owner keeps in many repositories are its own.
     """
-    each = found.where(F.size("spans") > 0).select("key", "repo", "owner", F.explode("spans").alias("s"))
-    owners = each.groupBy(F.col("s.value").alias("value")).agg(
-        F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
-    named = each.distinct().withColumn("value", F.col("s.value"))
-    return (join_salted(named, owners, "value", F.col("key"))
-            .withColumn("live", F.col("n_owners") <= most_owners)
-            .groupBy("key").agg(F.collect_set(F.struct("s", "live", "n_owners", "n_repos")).alias("judged")))
+    owners = spans.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
+    return join_salted(spans, owners, "value", F.col("row")).withColumn("live", F.col("n_owners") <= most_owners)
 
 
 def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text",
@@ -153,25 +154,75 @@ def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
     kinds = BASE + tuple(vendor)
     names = _names(kinds)
     found = written(candidates(docs, repo_col, owner_col, text_col, id_col, kinds))
-    judged = verdicts(found, most_owners)
-    joined = found.join(judged, "key", "left")
-    none = F.array().cast("array<struct<s:struct<start:int,rank:int,end:int,value:string>,"
-                          "live:boolean,n_owners:bigint,n_repos:bigint>>")
-    joined = joined.withColumn("judged", F.coalesce("judged", none))
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    added = F.array_distinct(F.transform("judged", lambda j: F.struct(
-        j["s"]["start"].alias("start"), F.when(j["live"], len(kinds)).otherwise(len(kinds) + 1).alias("rank"),
-        j["s"]["end"].alias("end"), F.lit(None).cast("string").alias("value"))))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
-    return joined.select(
-        F.col("id").alias(id_col),
+    spans = written(spans_of(found))
+    judged = verdicts(spans, most_owners)
+    verdict = F.when(F.col("live"), F.lit(len(kinds))).otherwise(F.lit(len(kinds) + 1)).alias("rank")
+    # a verdict over the same interval counts once, whatever the number of kinds
+    added = judged.groupBy("row", "start", verdict, "end").agg(F.max("n_owners").alias("n_owners"), F.max("n_repos").alias("n_repos"))
+    both = (spans.select("row", "start", "rank", "end", F.lit(None).cast("long").alias("n_owners"), F.lit(None).cast("long").alias("n_repos"))
+            .unionByName(added))
+    place = F.struct("start", "rank", "end")
+    count = lambda k: F.count_if(F.col("rank") == k)
+    per_row = both.groupBy("row").agg(
+        F.collect_list(place).alias("spans"), F.collect_list(F.when(F.col("rank") < len(BASE), place)).alias("base"),
         *[count(i).alias(f"n_{k.name}") for i, k in enumerate(BASE)],
-        F.sha2(_span_list(base, names), 256).alias("base_sha256"),
-        _span_list(F.concat("spans", added), names).alias("spans"),
-        F.size(F.filter(added, lambda s: s["rank"] == len(kinds))).cast("long").alias("n_live"),
-        F.size(F.filter(added, lambda s: s["rank"] > len(kinds))).cast("long").alias("n_example"),
-        F.coalesce(F.array_max(F.transform("judged", lambda j: j["n_owners"])), F.lit(0)).cast("long").alias("max_owners"),
-        F.coalesce(F.array_max(F.transform("judged", lambda j: j["n_repos"])), F.lit(0)).cast("long").alias("max_repos"))
+        count(len(kinds)).alias("n_live"), count(len(kinds) + 1).alias("n_example"),
+        F.max("n_owners").alias("max_owners"), F.max("n_repos").alias("max_repos"))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
+    joined = found.select("row", "id").join(per_row, "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select(
+        F.col("id").alias(id_col), *[zero(f"n_{k.name}") for k in BASE],
+        F.sha2(_span_list(F.coalesce("base", none), names), 256).alias("base_sha256"),
+        _span_list(F.coalesce("spans", none), names).alias("spans"),
+        *[zero(c) for c in ("n_live", "n_example", "max_owners", "max_repos")])
+
+
+#: Code points of a text that are masked together.
+MASKED = 4096
+
+
+def _masks(live: DataFrame) -> DataFrame:
+    """(__key, __masks): what to mask in each run of MASKED code points of a text, one array entry a run.
+
+    Overlapping intervals become one; an entry is an array of (first, last, begins), places within
+    the run, first and last excluded at 0 and the run's end, and whether the mask itself stands there.
+    """
+    order = Window.partitionBy("key").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (before.isNull() | (F.col("start") >= before)).cast("int")
+    merged = (live.select("key", "start", "end").distinct().withColumn("opens", opens)
+              .withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .groupBy("key", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")))
+    cut = lambda c: F.expr(f"cast(({c}) div {MASKED} as int)")
+    pieces = (merged.withColumn("run", F.explode(F.sequence(cut("start"), cut("end - 1"))))
+              .select("key", "run", F.struct(
+                  F.greatest(F.lit(0), F.col("start") - F.col("run") * MASKED).cast("int").alias("first"),
+                  F.least(F.lit(MASKED), F.col("end") - F.col("run") * MASKED).cast("int").alias("last"),
+                  (F.col("start") >= F.col("run") * MASKED).alias("begins")).alias("piece")))
+    # runs without a mask, up to the last one with any, have an empty entry
+    runs = (merged.groupBy("key").agg(F.max(cut("end - 1")).alias("most"))
+            .select("key", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("run")))
+    each = (pieces.unionByName(runs.withColumn("piece", F.lit(None).cast(pieces.schema["piece"].dataType)))
+            .groupBy("key", "run").agg(F.array_sort(F.collect_list("piece")).alias("pieces")))
+    return each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("run", "pieces"))).alias("runs")).select(
+        F.col("key").alias("__key"), F.transform("runs", lambda r: r["pieces"]).alias("__masks"))
+
+
+def _masked(text: Column, masks: Column, mask: str) -> Column:
+    """The text with its masks, run by run: no step copies more than a run."""
+    runs = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{MASKED}}}"), F.lit(0))
+
+    def cover(run: Column, pieces: Column) -> Column:
+        done = F.aggregate(
+            pieces, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+            lambda acc, p: F.struct(p["last"].alias("at"), F.concat(
+                acc["out"], F.substring(run, acc["at"] + 1, p["first"] - acc["at"]),
+                F.when(p["begins"], F.lit(mask)).otherwise(F.lit(""))).alias("out")),
+            lambda acc: F.concat(acc["out"], F.substring(run, acc["at"] + 1, F.lit(MASKED))))
+        return F.when(F.coalesce(F.size(pieces), F.lit(0)) > 0, done).otherwise(run)
+
+    return F.array_join(F.zip_with(runs, masks, lambda r, p: cover(r, p)), "")
 
 
 def redact(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text",
@@ -183,13 +234,8 @@ def redact(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source",
     live spans meet their verdicts by a join on the row key; all columns and the row count stay.
     """
     kinds = BASE + tuple(vendor)
-    found = written(candidates(docs, repo_col, owner_col, text_col, id_col, kinds).where(F.size("spans") > 0))
-    live = (verdicts(found, most_owners)
-            .select(F.col("key").alias("__key"),
-                    F.array_sort(F.array_distinct(F.transform(F.filter("judged", lambda j: j["live"]), lambda j: F.struct(
-                        j["s"]["start"].alias("start"), j["s"]["end"].alias("end"))))).alias("__live"))
-            .where(F.size("__live") > 0))
-    live = written(live)
+    found = written(candidates(docs, repo_col, owner_col, text_col, id_col, kinds).where(F.size("steps") > 0))
+    live = written(_masks(verdicts(spans_of(found), most_owners).where("live")))
     col = lambda c: F.col(f"`{c}`")
     text = col(text_col)
     suspect = F.lit(False)
@@ -198,13 +244,6 @@ def redact(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source",
     suspect = F.coalesce(suspect, F.lit(False))
     rest = docs.where(~suspect)
     keyed = docs.where(suspect).withColumn("__key", row_key(col(id_col), col(repo_col), col(owner_col), text))
-    cut = F.aggregate(
-        "__live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-                acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     masked = (keyed.join(live, "__key", "left")
-              .withColumn(text_col, F.when(F.col("__live").isNotNull(), cut).otherwise(text)))
+              .withColumn(text_col, F.when(F.col("__masks").isNotNull(), _masked(text, F.col("__masks"), mask)).otherwise(text)))
     return rest.unionByName(masked.select(*[col(c) for c in docs.columns]))

@@ -1,7 +1,9 @@
 import collections
 import hashlib
 import re
+import time
 
+from tally.llm import secret_scan
 from tally.llm.secret_scan import redact, scan_secrets
 from tests.llm.common import DATA, empty_like, odd_documents
 
@@ -101,3 +103,28 @@ def test_repositories_of_a_value_are_counted_once(spark):
     got = {r.doc_id: (r.n_live, r.max_owners, r.max_repos) for r in scan_secrets(df, repo_col="repo").collect()}
     # r0 holds the value for two owners and is one repository
     assert got == {**{i: (1, 2, 30) for i in range(61)}, 61: (1, 1, 1), 62: (0, 0, 0), 63: (1, 0, 0)}
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square: 200,000 in a text, spans and masks."""
+    n = 200_000
+    text = "".join(f"token=abcdefgh{i % 7} " for i in range(n))
+    df = spark.createDataFrame([(1, text, "a"), (2, "x token=abcdefgh3", "a"), (3, None, "b")], "doc_id long, text string, source string")
+    began = time.time()
+    rows = {r.doc_id: r for r in scan_secrets(df).collect()}
+    assert (rows[1].n_assign, rows[1].n_live, rows[3].n_assign) == (n, n, 0)
+    got = rows[1].spans.split(",")
+    assert got[:2] == ["assign:0:15", "live:0:15"] and got[-2] == f"assign:{16 * (n - 1)}:{16 * n - 1}" and len(got) == 2 * n
+    assert redact(df).where("doc_id = 1").first().text == "[SECRET] " * n
+    assert time.time() - began < 240
+
+
+def test_masks_across_runs(spark, monkeypatch):
+    """Masks that begin, end and go on over the borders of the runs, with characters beyond the basic plane."""
+    monkeypatch.setattr(secret_scan, "MASKED", 10)
+    texts = ["é🙂" * k + "password=" + "s" * n + "🙂 tail password=otherone1 " + "z" * m
+             for k, n, m in ((0, 8, 0), (3, 9, 5), (7, 40, 11), (2, 12, 30), (5, 8, 1))] + ["password=adjacent1,token=adjacent2" * 5]
+    df = spark.createDataFrame([(i, t, "one") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == re.sub("(password|token)=[A-Za-z0-9+/_.=-]{8,}", "[SECRET]", t), t
