@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.llm.common import ascii_lower, join_salted
@@ -144,6 +144,86 @@ _TEXTS = (
     Rule("cc-by-nc", "creativecommons", " creativecommons org licenses by nc [1-4] [0-9]", 85, 0.95),
     Rule("cc-by-nc-sa", "creativecommons", " creativecommons org licenses by nc sa [1-4] [0-9]", 86, 0.95),
     Rule("cc-by-nc-nd", "creativecommons", " creativecommons org licenses by nc nd [1-4] [0-9]", 86, 0.95),
+    # names and short forms as notices write them
+    Rule("bsd", "bsd", " bsd licen[sc]e", 36, 0.75),
+    Rule("bsd", "bsd", " bsd style licen[sc]e", 38, 0.7),
+    Rule("bsd-2", "bsd", " simplified bsd licen[sc]e", 63, 0.9),
+    Rule("bsd-2", "freebsd", " freebsd licen[sc]e", 63, 0.85),
+    Rule("bsd-3", "bsd", " (?:new|modified|revised) bsd licen[sc]e", 63, 0.9),
+    Rule("bsd-4", "bsd", " (?:original|old) bsd licen[sc]e", 63, 0.9),
+    Rule("gpl-2", "gpl", " gpl (?:v2|version 2)(?: 0)?(?: only| or later)?", 61, 0.9),
+    Rule("gpl-3", "gpl", " gpl (?:v3|version 3)(?: 0)?(?: only| or later)?", 61, 0.9),
+    Rule("gpl-2", "general", " gnu general public licen[sc]e v2(?: 0)?", 65, 0.9),
+    Rule("gpl-3", "general", " gnu general public licen[sc]e v3(?: 0)?", 65, 0.9),
+    Rule("lgpl-2.1", "lgpl", " lgpl (?:v2|version 2) 1(?: only| or later)?", 62, 0.9),
+    Rule("lgpl-3", "lgpl", " lgpl (?:v3|version 3)(?: 0)?(?: only| or later)?", 62, 0.9),
+    Rule("agpl-3", "agpl", " agpl (?:v3|version 3)(?: 0)?(?: only| or later)?", 62, 0.9),
+    Rule("mpl-2", "mpl", " mpl (?:v2|version 2)(?: 0)?", 62, 0.9),
+    Rule("boost-1", "boost", " boost software licen[sc]e", 38, 0.8),
+    Rule("mit", "expat", " expat licen[sc]e", 55, 0.8),
+    Rule("apache-2", "asl", " asl 2 0", 55, 0.75),
+    Rule("apache-2", "apache", " apache software licen[sc]e (?:v2|version 2)(?: 0)?", 63, 0.9),
+    Rule("cc-by", "cc", " cc by [1-4] [0-9]", 64, 0.9),
+    Rule("cc-by-sa", "cc", " cc by sa [1-4] [0-9]", 65, 0.9),
+    Rule("cc-by-nd", "cc", " cc by nd [1-4] [0-9]", 65, 0.9),
+    Rule("cc-by-nc", "cc", " cc by nc [1-4] [0-9]", 65, 0.9),
+    Rule("cc-by-nc-sa", "cc", " cc by nc sa [1-4] [0-9]", 66, 0.9),
+    Rule("cc-by-nc-nd", "cc", " cc by nc nd [1-4] [0-9]", 66, 0.9),
+    Rule("cc-by", "creative", " creative commons attribution [1-4] [0-9](?: international| unported| generic)?(?: licen[sc]e)?", 66, 0.95),
+    Rule("cc-by-sa", "creative", " creative commons attribution (?:sharealike|share alike) [1-4] [0-9]"
+                                 "(?: international| unported| generic)?(?: licen[sc]e)?", 67, 0.95),
+    Rule("cc-by-nd", "creative", " creative commons attribution (?:noderivatives|no derivatives|noderivs) [1-4] [0-9]"
+                                 "(?: international| unported| generic)?(?: licen[sc]e)?", 67, 0.95),
+    Rule("cc-by-nc", "creative", " creative commons attribution (?:noncommercial|non commercial) [1-4] [0-9]"
+                                 "(?: international| unported| generic)?(?: licen[sc]e)?", 67, 0.95),
+    Rule("cc-by-nc-sa", "creative", " creative commons attribution (?:noncommercial|non commercial) (?:sharealike|share alike) [1-4] [0-9]"
+                                    "(?: international| unported| generic)?(?: licen[sc]e)?", 68, 0.95),
+    Rule("cc-by-nc-nd", "creative", " creative commons attribution (?:noncommercial|non commercial) (?:noderivatives|no derivatives|noderivs)"
+                                    " [1-4] [0-9](?: international| unported| generic)?(?: licen[sc]e)?", 68, 0.95),
+    Rule("cc0", "cc0", " cc0 1 0 universal", 66, 0.95),
+    Rule("busl-1.1", "business", " business source licen[sc]e(?: 1 1)?", 60, 0.9),
+    Rule("elastic-2", "elastic", " elastic licen[sc]e 2 0", 60, 0.9),
+    Rule("sspl-1", "server", " server side public licen[sc]e", 60, 0.9),
+    Rule("polyform-nc", "polyform", " polyform noncommercial licen[sc]e", 60, 0.9),
+    Rule("openrail-m", "creativeml", " creativeml open rail m", 60, 0.9),
+    Rule("openrail-m", "bigscience", " bigscience (?:open rail m|rail licen[sc]e)", 60, 0.9),
+    Rule("llama", "community", " llama [2-9](?: [0-9])? community licen[sc]e", 60, 0.9),
+    Rule("beerware", "beer", " the beer ware licen[sc]e", 60, 0.9),
+    Rule("cecill", "cecill", " cecill (?:[abc] )?licen[sc]e", 60, 0.85),
+    # sentences of headers and texts
+    Rule("apache-2", "compliance", " you may not use this file except in compliance with the licen[sc]e", 70, 0.9),
+    Rule("apache-2", "applicable", " unless required by applicable law or agreed to in writing software distributed under the licen[sc]e", 70, 0.9),
+    Rule("mpl-2", "mozilla", " this source code form is subject to the terms of the mozilla public licen[sc]e", 84, 0.95),
+    Rule("mpl-2", "mpl", " if a copy of the mpl was not distributed with this file", 84, 0.95),
+    Rule("gpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", 37, 0.85),
+    Rule("gpl-2", "redistribute", " you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"
+                                  " as published by the free software foundation either version 2", 86, 0.95),
+    Rule("gpl-3", "redistribute", " you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"
+                                  " as published by the free software foundation either version 3", 86, 0.95),
+    Rule("lgpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e", 43, 0.85),
+    Rule("agpl-3", "redistribute", " you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e", 86, 0.95),
+    Rule("gpl", "received", " you should have received a copy of the gnu general public licen[sc]e", 37, 0.8),
+    Rule("epl", "accompanying", " this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 43, 0.9),
+    Rule("zlib", "altered", " altered source versions must be plainly marked as such", 85, 0.95),
+    Rule("artistic-1", "perl", " under the same terms as perl itself", 60, 0.85),
+    Rule("ofl-1.1", "font", " this font software is licensed under the sil open font licen[sc]e", 85, 0.95),
+    Rule("json", "evil", " the software shall be used for good not evil", 88, 0.95),
+    Rule("eupl-1.2", "eupl", " licensed under the eupl", 60, 0.8),
+    Rule("public-domain", "domain", " this work is in the public domain", 52, 0.85),
+    # addresses, whose marks fall away
+    Rule("mit", "opensource", " opensource org licenses? mit", 82, 0.95),
+    Rule("bsd-3", "opensource", " opensource org licenses? bsd 3 clause", 82, 0.95),
+    Rule("bsd-2", "opensource", " opensource org licenses? bsd 2 clause", 82, 0.95),
+    Rule("agpl-3", "agpl", " gnu org licenses agpl", 82, 0.9),
+    Rule("lgpl", "lgpl", " gnu org licenses lgpl", 56, 0.8),
+    Rule("boost-1", "boost", " boost org license 1 0", 82, 0.95),
+    Rule("unlicense", "unlicense", " unlicense org", 82, 0.95),
+    Rule("wtfpl", "wtfpl", " wtfpl net", 82, 0.95),
+    Rule("ofl-1.1", "ofl", " scripts sil org ofl", 82, 0.9),
+    Rule("odbl-1", "opendatacommons", " opendatacommons org licenses odbl", 82, 0.95),
+    Rule("odc-by-1", "opendatacommons", " opendatacommons org licenses by", 82, 0.95),
+    Rule("pddl-1", "opendatacommons", " opendatacommons org licenses pddl", 82, 0.95),
+    Rule("proprietary", "unauthorized", " unauthorized copying of this file via any medium is strictly prohibited", 60, 0.9),
     Rule("proprietary", "reserved", " all rights reserved", 10, 0.3),
     Rule("proprietary", "confidential", " (?:confidential and proprietary|proprietary and confidential)", 20, 0.5),
 )
@@ -171,23 +251,23 @@ def _count_words(spaced: Column) -> Column:
     return (F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long")
 
 
-def _starts(words: Column, pattern: Column) -> Column:
-    """Character offsets in ``words`` of the matches of ``pattern`` (not overlapping), and their ends.
+def _steps(words: Column, pattern: Column) -> Column:
+    """The matches of ``pattern`` (not overlapping) in order: length of the gap before, and of the match.
 
     Matches and the gaps between them add up to the text, which gives the places.
     """
     found = F.regexp_extract_all(words, pattern, F.lit(0))
     gaps = F.split(words, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
-                       lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["len"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"),
-                                                    (acc["at"] + s["gap"] + s["len"]).alias("end")))).alias("spans")),
-        lambda acc: acc["spans"])
+    return F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
+                      lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len")))
+
+
+def _ends_of(words: Column, pattern: Column) -> Column:
+    """(n, first, last): how many matches, and where the first and the last start."""
+    found = F.regexp_extract_all(words, pattern, F.lit(0))
+    gaps = F.split(words, pattern, -1)
+    return F.struct(F.size(found).alias("n"), F.length(F.element_at(gaps, 1)).alias("first"),
+                    (F.length(words) - F.length(F.element_at(gaps, -1)) - F.length(F.element_at(found, -1))).alias("last"))
 
 
 def _any_word(words: set[str]) -> str:
@@ -199,41 +279,38 @@ def _any_word(words: set[str]) -> str:
 
 
 def detections(words: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
-    """(key, kept array<struct<priority, label, confidence, start, end>>) of the rows with detections.
+    """(key, kept array<struct<start, end, priority, label, confidence>>) of the rows with detections.
 
     ``words`` holds the key (one per text) and ``words``.  Documents meet the rules (a
-    fixed table, broadcast) on the rules' keywords; suppression follows per text.
+    fixed table, broadcast) on the rules' keywords; suppression follows per text, in one ordered pass.
     """
     spark = words.sparkSession
     levels = {p: k for k, p in enumerate(sorted({r.priority for r in rules}))}
     table = spark.createDataFrame(
-        [(r.label, r.keyword, f"{r.pattern}(?= )", r.priority, r.confidence, levels[r.priority]) for r in rules],
-        "label string, keyword string, pattern string, priority int, confidence double, level int")
+        [(i, r.label, r.keyword, f"{r.pattern}(?= )", r.priority, r.confidence, levels[r.priority]) for i, r in enumerate(rules)],
+        "rule int, label string, keyword string, pattern string, priority int, confidence double, level int")
     # one pass finds the keywords that a document holds; most hold none
     hits = F.array_distinct(F.regexp_extract_all("words", F.lit(_any_word({r.keyword for r in rules})), F.lit(1)))
     found = (words.select(key, "words", F.explode(hits).alias("keyword"))
              .join(F.broadcast(table), "keyword")
              .where(F.expr("regexp_like(words, pattern)"))
-             .select(key, "label", "priority", "confidence", "level",
-                     F.explode(_starts(F.col("words"), F.col("pattern"))).alias("s")))
-    # in this order whatever suppresses a detection comes before it
-    one = F.struct(F.col("s.start").alias("start"), (-F.col("s.end")).alias("upto"), (-F.col("priority")).alias("rank"),
-                   "label", (-F.col("confidence")).alias("doubt"), "level")
-    each = found.groupBy(key).agg(F.array_sort(F.collect_set(one)).alias("all"))
-    kept_type = "array<struct<priority:int,label:string,confidence:double,start:int,end:int>>"
-    none = F.struct(F.array_repeat(F.lit(-1), len(levels)).alias("reach"), F.array().cast(kept_type).alias("kept"))
-
-    def step(acc: Column, d: Column) -> Column:
-        """``reach`` holds, per level, how far the detections of that priority or a higher one have reached."""
-        end = -d["upto"]
-        mine = F.struct((-d["rank"]).alias("priority"), d["label"].alias("label"), (-d["doubt"]).alias("confidence"),
-                        d["start"].alias("start"), end.alias("end"))
-        contained = F.element_at(acc["reach"], d["level"] + 1) >= end
-        reach = F.transform(acc["reach"], lambda m, k: F.when(k <= d["level"], F.greatest(m, end)).otherwise(m))
-        return F.struct(reach.alias("reach"), F.when(contained, acc["kept"]).otherwise(
-            F.concat(acc["kept"], F.array(mine))).alias("kept"))
-
-    return each.select(key, F.aggregate("all", none, step, lambda acc: acc["kept"]).alias("kept"))
+             .groupBy(key, "rule").agg(F.first(_steps(F.col("words"), F.col("pattern"))).alias("steps"),
+                                       *[F.first(c).alias(c) for c in ("label", "priority", "confidence", "level")])
+             .select(key, "rule", "label", "priority", "confidence", "level", F.posexplode("steps").alias("place", "s")))
+    # running sums give the places: time in proportion to the matches, however many a text holds
+    so_far = Window.partitionBy(key, "rule").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = (found.withColumn("end", F.sum(F.col("s.gap") + F.col("s.len")).over(so_far).cast("int"))
+             .select(key, "label", "priority", "confidence", "level", (F.col("end") - F.col("s.len")).alias("start"), "end")
+             .distinct())
+    # in this order whatever suppresses a detection comes before it; per level, how far the detections of that
+    # priority or a higher one have reached
+    before = (Window.partitionBy(key).orderBy("start", F.desc("end"), F.desc("priority"), "label", F.desc("confidence"), "level")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.array(*[F.max(F.when(F.col("level") >= k, F.col("end"))).over(before) for k in range(len(levels))])
+    kept = (spans.withColumn("reach", F.element_at(reach, F.col("level") + 1))
+            .where(F.col("reach").isNull() | (F.col("reach") < F.col("end"))))
+    one = F.struct("start", "end", "priority", "label", "confidence")
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("kept"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -251,28 +328,24 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # equal texts have equal detections: the text's hash is the key, and copies' detections fold map-side
     frame = frame.withColumn("scan_key", F.sha2("words", 256))
     found = detections(frame.select("scan_key", "words"), "scan_key", rules)
-    base = frame
-    spans = []
+    base, ends = frame, []
     for k, (label, phrase) in enumerate(phrases):
         pattern = F.lit(f" {phrase}(?= )")
-        base = base.withColumn(f"b{k}", F.when(F.contains("words", F.lit(f" {phrase} ")),
-                                               _starts(F.col("words"), pattern)))
-        spans.append(F.coalesce(F.col(f"b{k}"), F.array().cast("array<struct<start:int,end:int>>")))
-    base = base.select(
-        id_col, "scan_key", _count_words(F.col("words")).alias("n_words"),
-        F.concat(*spans).alias("places"), "words",
-        F.array_compact(F.array(*[F.when(F.size(s) > 0, F.lit(label))
-                                  for s, (label, _) in zip(spans, phrases)])).alias("base"))
-    starts = F.transform("places", lambda s: s["start"])
+        base = base.withColumn(f"b{k}", F.when(F.contains("words", F.lit(f" {phrase} ")), _ends_of(F.col("words"), pattern)))
+        ends.append(F.col(f"b{k}"))
 
     def word_index(start: Column) -> Column:
         """Words before a place: the spaces up to its own, less one."""
         return F.when(start.isNotNull(), _count_words(F.substring("words", F.lit(1), start + 1)))
 
+    none = F.lit(None).cast("int")
     base = base.select(
-        id_col, "scan_key", "n_words", F.size("places").cast("long").alias("n_base"),
-        word_index(F.array_min(starts)).alias("first_word"), word_index(F.array_max(starts)).alias("last_word"),
-        F.array_sort(F.array_distinct("base")).alias("base"))
+        id_col, "scan_key", _count_words(F.col("words")).alias("n_words"),
+        sum((F.coalesce(e["n"], F.lit(0)) for e in ends), F.lit(0)).cast("long").alias("n_base"),
+        word_index(F.array_min(F.array(none, *[e["first"] for e in ends]))).alias("first_word"),
+        word_index(F.array_max(F.array(none, *[e["last"] for e in ends]))).alias("last_word"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*[
+            F.when(e.isNotNull(), F.lit(label)) for e, (label, _) in zip(ends, phrases)])))).alias("base"))
     # copies of one text may be many: their rows are salted
     joined = join_salted(base, found, "scan_key", F.col(f"`{id_col}`"), "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce(
@@ -282,5 +355,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         id_col, "n_words", "n_base", "first_word", "last_word",
         F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", labels).alias("labels"),
         F.greatest(best, F.when(F.col("n_base") > 0, F.lit(0.9)).otherwise(F.lit(0.0))).alias("score"),
-        F.coalesce("kept", F.array().cast("array<struct<priority:int,label:string,confidence:double,start:int,end:int>>"))
+        F.coalesce("kept", F.array().cast("array<struct<start:int,end:int,priority:int,label:string,confidence:double>>"))
          .alias("detections"))

@@ -1,4 +1,5 @@
 import re
+import time
 
 from tally.llm.license_scan import PHRASES, Rule, scan_licenses, signature_rules
 from tests.llm.common import DATA, LOWER, empty_like, odd_documents
@@ -95,3 +96,32 @@ def test_forms_without_a_familys_word(spark):
         words = " " + " ".join(re.findall("[0-9a-z]+", text.lower())) + " "
         found = {r.label for r in ungated if re.search(r.pattern + "(?= )", words)}
         assert set(got[k]) <= found and texts[text] in found
+
+
+def test_notices_as_they_are_written(spark):
+    texts = {
+        "Released under the New BSD License.": "bsd-3", "GNU GPL v3": "gpl-3", "available as CC BY-SA 4.0": "cc-by-sa", "BSD-style license": "bsd",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "Creative Commons Attribution-ShareAlike 3.0 Unported": "cc-by-sa", "Creative Commons Attribution-NonCommercial-NoDerivs 3.0": "cc-by-nc-nd",
+        "you may not use this file except in compliance with the License.": "apache-2", "https://opensource.org/licenses/MIT": "mit",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License": "gpl-3", "http://www.boost.org/LICENSE_1_0.txt": "boost-1", "LGPL v2.1 or later": "lgpl-2.1",
+        "If a copy of the MPL was not distributed with this file": "mpl-2", "Business Source License 1.1": "busl-1.1",
+        "The Software shall be used for Good, not Evil.": "json", "Llama 3.1 Community License": "llama", "<https://unlicense.org>": "unlicense",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in scan_licenses(df).collect()}
+    assert [t for k, t in enumerate(texts) if texts[t] not in got[k]] == []
+    check(df)
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square: 200,000 in a text."""
+    n = 200_000
+    df = spark.createDataFrame([(1, "all rights reserved x under the mit license " * (n // 2)), (2, "all rights reserved")],
+                               "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in scan_licenses(df).collect()}
+    assert (rows[1].n_words, rows[1].n_base, rows[1].first_word, rows[1].last_word) == (4 * n, n // 2, 4, 4 * n - 4)
+    assert rows[1].labels == "mit,proprietary" and len(rows[1].detections) == n and rows[2].labels == "proprietary"
+    assert time.time() - began < 240
