@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import blocks, id_filter, mix64, session_partitions, shingle_sets, written
+from tally.llm.common import blocks, id_filter, join_salted, mix64, session_partitions, shingle_sets, written
 from tally.llm.components import components
 
 
@@ -237,7 +237,8 @@ def leftover_links(members: DataFrame, labels: DataFrame, texts: DataFrame, size
                                        F.max("component").alias("hi"))
              .where("lo < hi").select("band", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = (bands.join(mixed, "band").withColumn("own", own)
+    # the members of a hot band spread over tasks
+    dealt = (join_salted(bands, mixed, "band", F.col("rep")).withColumn("own", own)
              .select("band", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
              .select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep"))
     rows = (dealt.join(open_, "rep").select("band", "bi", "bj", "own", "rep", "component", "n", "sig", "text")
@@ -333,7 +334,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(stars.unionByName(extra))
     named = (reps.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
              .select("digest", F.coalesce("component", "rep").alias("component_id")))
-    out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
+    # copies of one text may be many: their rows are salted
+    out = join_salted(rows.select("doc_id", "n", "digest"), named, "digest", F.col("doc_id"), "left")
     # without shingles a digest is that of the empty set and has no representative
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"),
