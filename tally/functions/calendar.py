@@ -33,6 +33,12 @@ def _guard(raw: Column, parsed: Column, on_error: str, what: str) -> Column:
                   F.raise_error(F.concat(F.lit(f"cannot parse {what}: "), raw))).otherwise(parsed)
 
 
+def try_date(raw: Column, formats: Sequence[str]) -> Column:
+    """The date by the first of ``formats`` that fits, else null."""
+    parsed = [F.try_to_date(raw, f) for f in formats]
+    return F.coalesce(*parsed) if len(parsed) > 1 else parsed[0]
+
+
 def parse_date(c: Column | str, formats: str | Sequence[str] = ("M/d/yyyy",),
                on_error: str = "raise") -> Column:
     """Parse a date string with the first of ``formats`` that fits.
@@ -43,9 +49,7 @@ def parse_date(c: Column | str, formats: str | Sequence[str] = ("M/d/yyyy",),
     raw = _col(c)
     if isinstance(formats, str):
         formats = (formats,)
-    parsed = F.coalesce(*[F.try_to_date(raw, f) for f in formats]) if len(formats) > 1 \
-        else F.try_to_date(raw, formats[0])
-    return _guard(raw, parsed, on_error, "date")
+    return _guard(raw, try_date(raw, formats), on_error, "date")
 
 
 def hour_of_time(c: Column | str, fmt: str = "H:m:s", on_error: str = "raise") -> Column:

@@ -4,7 +4,8 @@ Columns are read as strings (no ``inferSchema``: no extra pass over the file,
 and no guessed types) and then cast explicitly.  Quoting follows RFC 4180
 (``""`` inside quotes is a quote).  ``multiline`` (off unless asked for) is needed only
 when quoted fields hold newlines, and makes each file one split; without it a file
-splits freely, and a row broken by a quoted newline fails the read.  Several reports
+splits freely, and a row broken by a quoted newline fails the read; ``sources.records`` reads such
+files in many splits, and lists the rows that cannot be read.  Several reports
 over one file should read it once: ``to_parquet`` converts it.
 """
 
@@ -29,6 +30,10 @@ def snake_case(name: str) -> str:
     return re.sub(r"[^0-9a-zA-Z]+", "_", name).strip("_").lower()
 
 
+def csv_options(delimiter: str = ",") -> dict[str, str]:
+    return {"quote": '"', "escape": '"', "sep": delimiter}
+
+
 def read_csv_text(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8",
                   multiline: bool = False, delimiter: str = ",") -> DataFrame:
     """All columns as strings, named from the header row; a malformed row fails the read."""
@@ -37,9 +42,7 @@ def read_csv_text(spark: SparkSession, path: str | Sequence[str], encoding: str
             .option("inferSchema", False)
             .option("encoding", encoding)
             .option("multiLine", multiline)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("sep", delimiter)
+            .options(**csv_options(delimiter))
             .option("mode", "FAILFAST")
             .option("columnPruning", False)  # every row is parsed whole, so a broken one is seen
             .csv(path))
