@@ -7,6 +7,8 @@
 A CSV is converted once to Parquet (``<out>/order_lines``), which the reports then read.
 
 With no names every registered report runs.  ``--list`` prints the names;
+``--cube`` stores one roll-up of the lines (``<out>/cube``) and runs the additive reports from it, with one line scan;
+``--layout`` first lays lines and orders out by order (``<out>/tables.layout``) and reads those.
 ``--explain`` prints each report's physical plan instead of running it
 (``--no-broadcast`` plans as if no dimension fit a broadcast, as at scale).
 """
@@ -18,8 +20,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from tally.plans.cube import build_cube, cube_reports
 from tally.plans.reports import REPORTS
 from tally.session import build_session
+from tally.sources.layout import write_layout
 from tally.sources.writer import write_result
 
 
@@ -37,6 +41,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--master", default=None, help="Spark master (default: from the environment)")
     ap.add_argument("--list", action="store_true", help="print the report names and exit")
     ap.add_argument("--explain", action="store_true", help="print physical plans instead of running")
+    ap.add_argument("--cube", action="store_true", help="run the additive reports from one stored roll-up")
+    ap.add_argument("--layout", action="store_true", help="bucket lines and orders by order first")
     ap.add_argument("--no-broadcast", action="store_true",
                     help="with --explain: plan as if no dimension fit a broadcast")
     args = ap.parse_args(argv)
@@ -63,8 +69,16 @@ def main(argv: list[str] | None = None) -> int:
             REPORTS[name](spark, args.data).explain()
             print("```\n", flush=True)
         return 0
-    for name in args.names or list(REPORTS):
-        write_result(REPORTS[name](spark, args.data), f"{args.out.rstrip('/')}/{name}", fmt=args.format)
+    out = args.out.rstrip("/")
+    data = write_layout(spark, args.data, f"{out}/tables.layout") if args.layout else args.data
+    rolled = {}
+    if args.cube:
+        rolled = cube_reports(spark, data, build_cube(spark, data, f"{out}/cube"))
+        refused = [n for n in args.names if n not in rolled]
+        if refused:
+            ap.error(f"not additive, run without --cube: {refused}")
+    for name in args.names or list(rolled or REPORTS):
+        write_result(rolled[name] if args.cube else REPORTS[name](spark, data), f"{out}/{name}", fmt=args.format)
         print(f"wrote {name}", flush=True)
     if existing is None:  # only stop a session started here
         spark.stop()
