@@ -1,5 +1,5 @@
 """Structured Streaming versions of the additive reports."""
 
-from tally.streaming.incremental import additive_reports, finish, latest, read_line_stream, start_reports
+from tally.streaming.incremental import additive_reports, distinct_reports, finish, latest, read_line_stream, start_reports
 
-__all__ = ["additive_reports", "finish", "latest", "read_line_stream", "start_reports"]
+__all__ = ["additive_reports", "distinct_reports", "finish", "latest", "read_line_stream", "start_reports"]
