@@ -42,7 +42,7 @@ def _secrets() -> str:
     kinds = secret_scan.BASE + secret_scan.VENDOR
     names = [*[k.name for k in kinds], "live", "example"]
     each = " UNION ALL ".join(
-        f"SELECT rid, source, {i} AS rank, {k.least} AS least, regexp_extract_all(t, '{q}') AS w, "
+        f"SELECT rid, doc_id, source, {i} AS rank, {k.least} AS least, regexp_extract_all(t, '{q}') AS w, "
         f"regexp_extract_all(t, '{q}', {k.group}) AS v, string_split_regex(t, '{q}') AS g FROM d"
         for i, k in enumerate(kinds) for q in [patterns.get(k.name, k.pattern)])
     named = "[" + ", ".join(f"'{n}'" for n in names) + "][rank + 1]"
@@ -53,20 +53,21 @@ def _secrets() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
      m AS ({each}),
      i AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m WHERE len(w) > 0),
-     s AS (SELECT rid, source, rank, v[i] AS value, length(w[i]) AS n,
+     s AS (SELECT rid, doc_id, source, rank, v[i] AS value, length(w[i]) AS n,
                   coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
                   + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS a
            FROM i WHERE length(v[i]) >= least),
-     o AS (SELECT value, count(DISTINCT source) AS owners FROM s GROUP BY value),
+     o AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM s GROUP BY value),
      j AS (SELECT rid, CASE WHEN owners <= {secret_scan.MOST_OWNERS} THEN {len(kinds)} ELSE {len(kinds) + 1} END AS rank,
-                  a, a + n AS b, owners FROM s JOIN o USING (value)),
+                  a, a + n AS b, owners, repos FROM s JOIN o USING (value)),
      e AS (SELECT rid, rank, a, a + n AS b FROM s UNION ALL SELECT DISTINCT rid, rank, a, b FROM j),
      r AS (SELECT rid, {joined} AS spans, {joined} FILTER (rank < {len(secret_scan.BASE)}) AS base, {counts},
                   count(*) FILTER (rank = {len(kinds)}) AS n_live, count(*) FILTER (rank = {len(kinds) + 1}) AS n_example
            FROM e GROUP BY rid),
-     x AS (SELECT rid, max(owners) AS max_owners FROM j GROUP BY rid)
+     x AS (SELECT rid, max(owners) AS max_owners, max(repos) AS max_repos FROM j GROUP BY rid)
 SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(max_owners, 0) AS max_owners
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(max_owners, 0) AS max_owners,
+       coalesce(max_repos, 0) AS max_repos
 FROM d LEFT JOIN r USING (rid) LEFT JOIN x USING (rid)"""
 
 
