@@ -13,7 +13,7 @@ def _urls() -> str:
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
     rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules))
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules))
-    listed = " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in url_filter.BLOCKLIST)
+    listed = f"regexp_matches(host, '(^|[.-])({'|'.join(url_filter.UNWANTED)})([.-]|$)')"
     host = _LOWER.format("regexp_extract(rest, '^[^/?#]*')")
     return f"""
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest

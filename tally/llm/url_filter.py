@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from tally.llm.common import ascii_lower, written
 
-#: Domains (with all their subdomains) that the default list blocks.
-BLOCKLIST = (
-    "ads-track.example.org", "casino-win.example.org", "cheap-pills.example.com",
-    "free-bets.example.com", "spam-farm.example.org",
+#: Words that name an unwanted site, as a part of one of its labels ('casino-win.example.org').
+UNWANTED = (
+    "ad", "ads", "adult", "adware", "bet", "bets", "betting", "bingo", "casino", "click", "clickbait", "escort", "gambling",
+    "jackpot", "lottery", "malware", "payday", "phishing", "pills", "poker", "popup", "porn", "replica", "scam", "slots",
+    "spam", "spyware", "torrent", "viagra", "warez", "webcam", "xxx",
 )
 #: Largest filter (all levels) that goes into a plan as a literal.
 MAX_FILTER_BYTES = 8 << 20
@@ -133,13 +134,26 @@ def listed_by(levels: list[Level], key: Column) -> Column:
     return out
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocklist: DataFrame | list[str] | tuple = BLOCKLIST,
+def unwanted_domains(hosts: DataFrame, words: tuple[str, ...] = UNWANTED) -> DataFrame:
+    """(key): the domains of ``hosts`` (column host) that a word names, each from the label that holds it.
+
+    A label holds a word if one of its parts between hyphens is the word: the list follows the corpus, a
+    domain a site, whatever its subdomains.
+    """
+    labels = F.split("host", r"\.")
+    named = F.transform(labels, lambda x: F.arrays_overlap(F.split(x, "-"), F.array(*[F.lit(w) for w in words])))
+    first = F.array_position(named, F.lit(True)).cast("int")
+    return (hosts.select("host").distinct().withColumns({"labels": labels, "first": first}).where("first > 0")
+            .select(F.concat_ws(".", F.slice("labels", F.col("first"), F.size("labels"))).alias("key")).distinct())
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocklist: DataFrame | list[str] | tuple | None = None,
                url_col: str = "url", keep: list[str] = (), max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Host, path, rule and verdict of every row's URL.
 
     The verdict is that of the longest fitting rule, else ``block`` if the host or a
-    parent domain is in ``blocklist`` (a list or a frame with a column ``key``), else
-    ``allow``.  The corpus's universe (all domains of its hosts, of at most as many
+    parent domain is in ``blocklist`` (a list or a frame with a column ``key``; without one the
+    domains of the pages that ``unwanted_domains`` finds), else ``allow``.  The corpus's universe (all domains of its hosts, of at most as many
     labels as the longest listed one) is gathered by Spark; the filters, whose size
     follows the list and not the corpus, are plan literals of at most ``max_bytes``;
     a list beyond that is met by an equi-join on the exact key.
@@ -149,7 +163,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocklist: D
     columns beyond ``url_col`` and ``keep`` are ignored.
     """
     spark = pages.sparkSession
-    if not isinstance(blocklist, DataFrame):
+    hosts = pages.select(url_host(F.col(f"`{url_col}`")).alias("host")).distinct()
+    if blocklist is None:
+        blocklist = written(unwanted_domains(hosts))
+    elif not isinstance(blocklist, DataFrame):
         blocklist = spark.createDataFrame([(x.lower(),) for x in blocklist], "key string")
     listed = blocklist.select("key").where("key <> ''").distinct()
     most = listed.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1
@@ -157,8 +174,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocklist: D
                          url_path(F.col(f"`{url_col}`")).alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     frame = frame.withColumns({"rule": rule, "verdict": verdict})
-    universe = (pages.select(url_host(F.col(f"`{url_col}`")).alias("host")).distinct()
-                .select(F.explode(domain_suffixes(F.col("host"), most)).alias("key")))
+    universe = hosts.select(F.explode(domain_suffixes(F.col("host"), most)).alias("key"))
     levels = cascade(listed, universe, max_bytes)
     if levels is None:
         return _judged_by_join(frame, listed, most)

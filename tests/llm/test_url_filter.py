@@ -1,5 +1,5 @@
 from tally.llm.queries import URL_RULES
-from tally.llm.url_filter import BLOCKLIST, cascade, judge_urls, listed_by
+from tally.llm.url_filter import UNWANTED, cascade, judge_urls, listed_by, unwanted_domains
 from tests.llm.common import empty_like
 from pyspark.sql import functions as F
 
@@ -8,10 +8,11 @@ URLS = [
     "http://example.com/enx", "http://m.a.NET/es/1", "http://a.net/fr", "ftp://a.net/fr/", "http://cheap-pills.example.com.x/",
     "http://x.spam-farm.example.org/de/1", "http://spam-farm.example.org?q=://b", "http://É.org/é", "a://b://c/d", "http://a.com:80/",
     "http://" + "a." * 2000 + "com/p", "http://..com/x", "http://a.org/" + "p" * 20000, "http://ads-track.example.org#f",
+    "http://blog.adult-x.example.net/", "http://adults.example.org/", "http://x.y.casino/", "http://my-poker-site.org/a", "http://bets.bets.org/",
 ]
 
 
-def brute(url):
+def brute(url, names=None):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
@@ -19,7 +20,7 @@ def brute(url):
     path = tail[:min([tail.index(c) for c in "?#" if c in tail], default=len(tail))]
     fits = lambda h: host == h or host.endswith("." + h)
     best = max(((len(h + p), h + p, v) for v, h, p in URL_RULES if fits(h) and path.startswith(p)), default=None)
-    listed = any(fits(d) for d in BLOCKLIST)
+    listed = any(w in UNWANTED for label in host.split(".") for w in label.split("-")) if names is None else any(map(fits, names))
     return host, path, best and best[1], best[2] if best else "block" if listed else "allow"
 
 
@@ -39,6 +40,29 @@ def test_against_brute_force(spark):
     assert joined == want
 
 
+def test_given_list(spark):
+    names = ["spam-farm.example.org", "a.org", "com.x", "elsewhere.net"]
+    df = pages(spark)
+    want = sorted(((r.page_id, *brute(r.url, names)) for r in df.collect()), key=repr)
+    for given in (names, spark.createDataFrame([(n,) for n in [*names, None, ""]], "key string")):
+        got = sorted(map(tuple, judge_urls(df, URL_RULES, given, keep=["page_id"]).collect()), key=repr)
+        assert got == want
+
+
+def test_unwanted_domains(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("m.adult-x.a.net", "adult-x.a.net", "a.net", "", "casino", "x.free-bets.org", "bets.spam.io")], "host string")
+    assert {r.key for r in unwanted_domains(hosts).collect()} == {"adult-x.a.net", "casino", "free-bets.org", "bets.spam.io"}
+
+
+def test_list_of_some_thousands(spark):
+    """The filters decide for thousands of listed keys among as many pages."""
+    df = spark.range(9000).select(F.col("id").alias("page_id"), F.concat(
+        F.lit("http://"), F.when(F.col("id") % 3 == 0, "casino-").otherwise("site-"), F.col("id").cast("string"), F.lit(".org/p")).alias("url"))
+    got = judge_urls(df, URL_RULES, keep=["page_id"])
+    assert got.where((F.col("verdict") == "block") != (F.col("page_id") % 3 == 0)).count() == 0
+    assert unwanted_domains(got).count() == 3000
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20000).select(F.concat(F.lit("host"), "id").alias("key"))
     listed = universe.where("crc32(key) % 11 = 0").unionByName(spark.createDataFrame([("elsewhere",), (None,)], "key string"))
