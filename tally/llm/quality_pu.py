@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Most positives and most unlabelled rows that the fit uses (the rows of least hash).
 SAMPLE = 10000
+#: Ids that a hash threshold leaves, for one that the sample takes.
+HASHED = 4
 #: The estimated negative risk may fall so far below zero before a step is reversed.
 TOLERANCE = 0.03
 #: A score from here on predicts label 1.
@@ -197,13 +199,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _least(ids: DataFrame, seed: int, sample: int) -> DataFrame:
     """The ``sample`` ids of least hash.
 
-    A threshold on the hash first leaves about four times as many, so that what the final
-    sort gathers does not grow with the input.
+    A threshold on the hash first leaves about HASHED times as many, so that what the final
+    sort gathers does not grow with the input; should it leave too few, all are sorted.
     """
     n = ids.count()
     key = F.xxhash64(F.col("id"), F.lit(seed))
-    if n > 8 * sample:
-        ids = ids.where(key < -(1 << 63) + int(4 * sample / n * 2 ** 64))
+    if n > 2 * HASHED * sample:
+        some = ids.where(key < -(1 << 63) + int(HASHED * sample / n * 2 ** 64))
+        if some.count() >= sample:
+            ids = some
     return ids.orderBy(key, "id").limit(sample)
 
 

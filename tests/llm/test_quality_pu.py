@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -79,3 +80,81 @@ def test_prior_and_risk_on_a_mixture():
     assert (model.score(make(500, 0.2)) > 0.3).mean() > 0.9 and (model.score(make(500, 0.4)) < 0.3).mean() > 0.97
     scores = rng.normal(0, 1, 5000)
     assert estimate_prior(scores, scores) > 0.9
+
+
+def plain_risk_gradient(p, u, w, b, prior, tolerance):
+    """The non-negative risk's gradient, row by row, from its definition."""
+    sigma = lambda z: 1 / (1 + math.exp(-z))
+    margin = lambda x: sum(a * c for a, c in zip(x, w)) + b
+    loss_as_negative = lambda rows: sum(math.log1p(math.exp(margin(x))) for x in rows) / len(rows)
+    grad = [0.0] * (len(w) + 1)
+
+    def add(rows, factor, slope):
+        for x in rows:
+            g = factor * slope(margin(x)) / len(rows)
+            for k, a in enumerate([*x, 1.0]):
+                grad[k] += g * a
+
+    as_positive, as_negative = lambda z: sigma(z) - 1, sigma  # derivatives of log(1 + e^-z) and log(1 + e^z)
+    if loss_as_negative(u) - prior * loss_as_negative(p) >= -tolerance:
+        add(p, prior, as_positive)
+        add(p, -prior, as_negative)
+        add(u, 1.0, as_negative)
+    else:
+        add(p, prior, as_negative)
+        add(u, -1.0, as_negative)
+    return grad
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_fit_against_plain_risk(prior):
+    """The weights of a few steps equal those of Adam on the plainly computed risk, on both sides of its bound."""
+    rng = np.random.default_rng(6)
+    p, u = rng.normal(0.6, 1, (40, 3)), np.vstack((rng.normal(0.6, 1, (30, 3)), rng.normal(-1, 1, (30, 3))))
+    w, m, v = [0.0] * 4, [0.0] * 4, [0.0] * 4
+    reversed_steps = 0
+    for t in range(1, 61):
+        grad = plain_risk_gradient(p.tolist(), u.tolist(), w[:3], w[3], prior, quality_pu.TOLERANCE)
+        reversed_steps += grad[3] < 0 and prior > 0.9
+        for k in range(4):
+            g = grad[k] + (1e-3 * w[k] if k < 3 else 0.0)
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+        w = [x - 0.05 * (m[k] / (1 - 0.9 ** t)) / (math.sqrt(v[k] / (1 - 0.999 ** t)) + 1e-8) for k, x in enumerate(w)]
+    got, bias = quality_pu._fit(p, u, prior, 60, 0.05, 1e-3)
+    assert np.allclose([*got, bias], w, rtol=1e-9, atol=1e-12)
+    assert prior < 0.9 or reversed_steps  # the bound of the negative risk was met
+
+
+def test_prior_against_plain_ratios():
+    """The estimate is the least ratio of upper tails, each counted row by row."""
+    rng = np.random.default_rng(7)
+    p, u = rng.normal(1, 1, 300), np.concatenate((rng.normal(1, 1, 200), rng.normal(-2, 1, 200)))
+    slack = math.sqrt(math.log(200) / 2) * (1 / math.sqrt(300) + 1 / math.sqrt(400)) / 4
+    ratios = []
+    for k in range(91):
+        cut = np.quantile(p, k / 100)
+        share = lambda xs: sum(x >= cut for x in xs) / len(xs)
+        ratios.append((share(u) + slack) / max(share(p) - slack, 1e-9))
+    assert abs(estimate_prior(p, u) - min(max(min(ratios), 0.05), 0.98)) < 1e-12
+
+
+def test_scores_against_a_plain_scorer(spark, tables):
+    """Every document's score from its features, the model's weights and a plain loop."""
+    docs, labels = tables
+    few = docs.where("doc_id < 60")
+    model = quality_pu.train(few, labels)
+    for r in score_documents(few, labels, keep=["text"]).collect():
+        x = features(r.text)
+        x = [*x, *map(math.sqrt, x)]
+        z = sum(min(8, max(-8, (a - c) / s)) * w for a, c, s, w in zip(x, model.mean, model.scale, model.weights)) + model.bias
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_fewer_ids_below_the_hash_threshold(spark, monkeypatch):
+    """Where the threshold leaves too few ids, the plain sort answers."""
+    ids = spark.range(2000)
+    want = [r.id for r in ids.orderBy(quality_pu.F.xxhash64("id", quality_pu.F.lit(17)), "id").limit(20).collect()]
+    assert [r.id for r in quality_pu._least(ids, 17, 20).collect()] == want
+    monkeypatch.setattr(quality_pu, "HASHED", 0.2)
+    assert [r.id for r in quality_pu._least(ids, 17, 20).collect()] == want
