@@ -38,7 +38,7 @@ from tally.operators.ranking import top_k
 from tally.operators.shares import cells_share_of_total, grand_total, ratio_column, share_of_total
 from tally.operators.sketches import checked_counts, distinct_sketches, merged_counts, ranked_by_distinct
 from tally.operators.tokens import token_counts
-from tally.plans.star import fits_broadcast, join_dim, rollup_join, salted_join
+from tally.plans.star import fits_broadcast, join_dim, rollup_join, split_join
 from tally.sources.adapters import event_lines, sales_lines
 from tally.sources.layout import derived_layout, is_layout, order_parts
 from tally.sources.parquet import read_table
@@ -340,11 +340,11 @@ def ingredient_top10(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- products
 def _product_lines(spark: SparkSession, d: str, **measures) -> DataFrame:
-    """Lines with their product name.  A large part table is met salted by the order, so that the
-    lines of a hot part spread; the (product, order) dedupe that follows regroups them anyway."""
+    """Lines with their product name.  Lines of hot parts meet a large part table where they are; the
+    (product, order) dedupe that follows regroups them anyway."""
     lines = _lines(spark, d).select("l_partkey", F.col("l_orderkey").alias("order_id"),
                                     *[e.alias(n) for n, e in measures.items()])
-    j = salted_join(lines, _part(spark, d, "p_name"), "l_partkey", "p_partkey", salt_by="order_id")
+    j = split_join(lines, _part(spark, d, "p_name"), "l_partkey", "p_partkey")
     return j.select(F.col("p_name").alias("product"), "order_id", *measures)
 
 
@@ -388,8 +388,7 @@ bottom5_by_orders_pruned = _ranked_by_orders(True)
 
 def ingredient_top10_certified(spark: SparkSession, d: str) -> DataFrame:
     """The ten most frequent ingredients by a bounded summary and an exact recount of its candidates."""
-    lines = salted_join(_lines(spark, d).select("l_partkey", "l_orderkey"), _part(spark, d, "p_name"), "l_partkey",
-                        "p_partkey", salt_by="l_orderkey")
+    lines = split_join(_lines(spark, d).select("l_partkey"), _part(spark, d, "p_name"), "l_partkey", "p_partkey")
     ingredients = F.replace(F.col("p_name"), F.lit(" "), F.lit(", "))
     tokens = lines.select(F.explode(split_literal(ingredients, ",")).alias("piece"))
     return heavy_values(tokens.select(strip_whitespace("piece").alias("ingredient")), "ingredient", 10)

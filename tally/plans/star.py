@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tally.session import ensure_checkpoint_dir
+
 _FIXED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
           T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.DecimalType)
 _ROW_OVERHEAD = 16  # row header and hash-table entry, per row
@@ -98,23 +100,37 @@ def join_dim(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     return fact.join(side, fact[fact_key] == side[dim_key], how)
 
 
-#: Copies of a large dimension in a salted join: a hot key's lines spread over as many tasks.
-SALTS = 16
+def hot_keys(fact: DataFrame, key: str) -> DataFrame | None:
+    """The keys (column ``key``) that hold more than an average shuffle partition's rows, or None.
+
+    Fewer than there are partitions, by counting; found by one map-side aggregate of that column, and checkpointed.
+    """
+    ensure_checkpoint_dir(fact.sparkSession)
+    n = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = fact.select(F.col(key).alias("key")).where("key is not null")
+    found = known.groupBy("key").count().where(F.col("count") * n > F.lit(known.count())).select("key").checkpoint(eager=True)
+    return found if found.limit(1).count() else None
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, salt_by: str,
-                salts: int = SALTS) -> DataFrame:
-    """Line-grain equi-join whose hot keys spread over ``salts`` tasks.
+def split_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
+    """Line-grain equi-join with a dimension of unique keys, whose hot keys never meet in one task.
 
-    A small dimension is broadcast.  A large one is repeated per salt, and a line's salt
-    is a hash of ``salt_by``.
+    A small dimension is broadcast.  With a large one the lines of hot keys are split off: their few dimension rows
+    are broadcast to them wherever they are, and only the other lines are shuffled.  No side is copied.
     """
     if fits_broadcast(dim):
         return join_dim(fact, dim, fact_key, dim_key)
-    side = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    lines = fact.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    return lines.join(side, (lines[fact_key] == side[dim_key]) & (lines["_salt"] == side["_dim_salt"])) \
-        .drop("_salt", "_dim_salt")
+    hot = hot_keys(fact, fact_key)
+    if hot is None:
+        return fact.join(dim, fact[fact_key] == dim[dim_key])
+    few = F.broadcast(hot)  # fewer rows than shuffle partitions
+    of_hot = dim.join(few, dim[dim_key] == few["key"], "left_semi").checkpoint(eager=True)
+    if of_hot.count() > hot.count():  # keys that repeat: adaptive execution splits what is large
+        return fact.join(dim, fact[fact_key] == dim[dim_key])
+    large = fact.join(few, fact[fact_key] == few["key"], "left_semi")
+    rest = fact.join(few, fact[fact_key] == few["key"], "left_anti")
+    return (rest.join(dim, rest[fact_key] == dim[dim_key])
+            .unionByName(large.join(F.broadcast(of_hot), large[fact_key] == of_hot[dim_key])))
 
 
 def rollup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,

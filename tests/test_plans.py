@@ -79,25 +79,41 @@ def test_profit_shuffles_lines_once(no_broadcast, name):
     assert re.search(r"Keys \[2\]: \[(order_month|segment)#\d+, l_partkey#\d+L?\]", text)
 
 
-@pytest.mark.parametrize("name", ["top5_by_orders", "bottom5_by_orders"])
-def test_order_rankings_meet_parts_salted(no_broadcast, name):
-    text = plan(entry.queries()[name](no_broadcast, D))
-    assert re.search(r"hashpartitioning\(l_partkey#\d+L?, _salt#\d+", text)
+def _mixed(spark):
+    """Lines of which a third hold one part, and a part table."""
+    from pyspark.sql import functions as F
+    lines = spark.range(0, 16000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 999).cast("long").alias("l_partkey"),
+                                               F.col("id").alias("order_id"))
+    return lines, spark.range(1000).select(F.col("id").alias("p_partkey"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("p_name"))
 
 
-def test_hot_part_is_spread_by_the_salt(spark, no_broadcast):
-    """Of lines that all hold one part, no task of the salted join gets more than its salt's share."""
+def test_lines_of_a_hot_part_are_not_shuffled(spark, no_broadcast):
+    """The hot part's row goes to its lines; the others are joined by a shuffle, of both sides once."""
     from pyspark.sql import functions as F
     from tally.plans import star
-    lines = spark.range(16000).select(F.lit(7).cast("long").alias("l_partkey"), F.col("id").alias("order_id"))
-    part = spark.range(100).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name"))
-    joined = star.salted_join(lines, part, "l_partkey", "p_partkey", "order_id")
+    lines, part = _mixed(spark)
+    joined = star.split_join(lines, part, "l_partkey", "p_partkey")
+    want = lines.join(part, lines.l_partkey == part.p_partkey)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, want.collect()))
+    text = plan(joined)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text and "Generate" not in text
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(sizes) == 16000 and len(sizes) >= 4 and max(sizes) < 8000
+    assert sum(sizes) == 16000 and max(sizes) < 3500
+    assert [r.key for r in star.hot_keys(lines, "l_partkey").collect()] == [7]
+
+
+def test_no_hot_part_and_repeated_keys_join_plainly(spark, no_broadcast):
+    from tally.plans import star
+    lines, part = _mixed(spark)
+    even = lines.where("l_partkey <> 7")
+    assert star.hot_keys(even, "l_partkey") is None
+    assert "BroadcastHashJoin" not in plan(star.split_join(even, part, "l_partkey", "p_partkey"))
+    twice = part.unionByName(part)
+    assert star.split_join(lines, twice, "l_partkey", "p_partkey").count() == 32000
 
 
 def test_describe_scans_twice(spark):

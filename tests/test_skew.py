@@ -38,7 +38,8 @@ def test_fixture_is_skewed(spark, skewed_dir):
 NAMES = ["sales_by_month", "profit_by_month", "orders_by_weekday", "orders_by_month", "sales_by_category",
          "profit_by_subcategory", "ingredient_counts", "sales_profit_by_segment", "kpi_summary",
          "category_size_pivot", "brand_size_pivot_filled", "top5_by_orders", "bottom5_by_quantity",
-         "numeric_describe", "first_rows"]
+         "numeric_describe", "first_rows", "top5_by_orders_pruned", "bottom5_by_orders_pruned", "ingredient_top10_certified",
+         "sales_by_month_laid_out", "orders_by_weekday_laid_out", "orders_by_weekday_sketched"]
 
 
 @pytest.mark.parametrize("name", NAMES)
