@@ -36,6 +36,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--sizes", help="restaurant: the pivot's columns, comma-separated; a line of another size fails")
     ap.add_argument("--multiline", action="store_true",
                     help="the CSV has newlines inside quotes (each file is then one task)")
+    ap.add_argument("--rejects", action="store_true",
+                    help="leave out the CSV's lines that cannot be read and list them in <out>/rejected, with counts in <out>/reject_counts")
     ap.add_argument("--out", help="folder to write one result per report into")
     ap.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
     ap.add_argument("--master", default=None, help="Spark master (default: from the environment)")
@@ -87,13 +89,23 @@ def main(argv: list[str] | None = None) -> int:
 
 def _run_csv(args) -> int:
     from tally.plans.notebook import restaurant_reports, store_reports
+    from tally.sources.records import read_restaurant_checked, read_store_checked, reject_counts
     from tally.sources.csv import (
         read_restaurant_raw, read_store_raw, restaurant_lines, store_lines, to_parquet,
     )
     existing = SparkSession.getActiveSession()
     spark = build_session(args.master)
-    parsed = f"{args.out.rstrip('/')}/order_lines"
-    if args.store_csv:
+    out = args.out.rstrip("/")
+    parsed = f"{out}/order_lines"
+    if args.rejects:
+        read = read_store_checked if args.store_csv else read_restaurant_checked
+        good, rejected = read(spark, args.store_csv or args.restaurant_csv, quoted_newlines=args.multiline)
+        lines = to_parquet(good, parsed)
+        write_result(rejected, f"{out}/rejected", fmt="json")
+        write_result(reject_counts(rejected), f"{out}/reject_counts", fmt="json")
+        sizes = args.sizes.split(",") if args.sizes else None
+        frames = store_reports(lines) if args.store_csv else restaurant_reports(lines, sizes=sizes)
+    elif args.store_csv:
         raw = to_parquet(read_store_raw(spark, args.store_csv, args.multiline), parsed)
         frames = store_reports(store_lines(raw), raw=raw)
     else:

@@ -67,6 +67,12 @@ FACT_COLUMNS: dict[str, tuple[frozenset, object]] = {
 }
 
 
+#: The dimension columns behind the canonical ones: only those that are asked for are joined, and measured for broadcast.
+PART_COLUMNS = {"profit": "p_retailprice", "category": "p_type", "sub_category": "p_brand", "product": "p_name",
+                "part_size": "p_size", "ingredients": "p_name"}
+ORDER_COLUMNS = {"order_date": "o_orderdate", "segment": "o_custkey"}
+
+
 def sales_lines(spark: SparkSession, data_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Order lines with the requested canonical columns (all of them by default)."""
     columns = list(columns or FACT_COLUMNS)
@@ -76,18 +82,21 @@ def sales_lines(spark: SparkSession, data_dir: str, columns: Sequence[str] | Non
     need = frozenset().union(*(FACT_COLUMNS[c][0] for c in columns))
     df = read_table(spark, data_dir, "lineitem")
     if "orders" in need:
-        orders = read_table(spark, data_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+        orders = read_table(spark, data_dir, "orders").select("o_orderkey", *_behind(ORDER_COLUMNS, columns))
         df = join_dim(df, orders, "l_orderkey", "o_orderkey")
     if "customer" in need:
         customer = read_table(spark, data_dir, "customer").select("c_custkey", "c_mktsegment")
         df = join_dim(df, customer, "o_custkey", "c_custkey")
     if "part" in need:
-        part = read_table(spark, data_dir, "part").select(
-            "p_partkey", "p_type", "p_brand", "p_name", "p_size", "p_retailprice")
+        part = read_table(spark, data_dir, "part").select("p_partkey", *_behind(PART_COLUMNS, columns))
         df = join_dim(df, part, "l_partkey", "p_partkey")
     return df.select(*[FACT_COLUMNS[c][1]().alias(c) for c in columns])
 
 
+def _behind(known: dict[str, str], columns: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(known[c] for c in columns if c in known))
+
+
 def event_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     """Events as timed orders: ``order_id`` = user_id, ``order_time`` = 'HH:mm:ss' text.
 

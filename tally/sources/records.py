@@ -12,8 +12,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tally.functions.calendar import try_date
-from tally.sources.csv import PANDAS_NA_TOKENS, csv_options, null_tokens, read_csv_text, snake_case
+from tally.functions.calendar import hour_of_time, month_number, try_date, weekday_number, year_number
+from tally.sources.csv import (
+    PANDAS_NA_TOKENS, RESTAURANT_COLUMNS, RESTAURANT_NUMBERS, STORE_COLUMNS, STORE_NUMBERS, csv_options, null_tokens,
+    read_csv_text, snake_case,
+)
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], encoding: str) -> DataFrame:
@@ -81,10 +84,11 @@ def read_csv_records(spark: SparkSession, path: str | Sequence[str], encoding: s
 def read_csv_checked(spark: SparkSession, path: str | Sequence[str], columns: Mapping[str, str | None],
                      dates: Mapping[str, str | Sequence[str]] | None = None, encoding: str = "UTF-8",
                      tokens: Sequence[str] = PANDAS_NA_TOKENS, delimiter: str = ",",
-                     quoted_newlines: bool = False) -> tuple[DataFrame, DataFrame]:
+                     quoted_newlines: bool = False, times: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(good, rejected): every line of the files, without headers and blank lines, is in one of the two.
 
     ``columns`` are typed as in ``read_csv_typed``, ``dates`` parsed with their formats; good rows have them under snake_case names.
+    ``times`` are times of day, checked against their format and kept as text.
     ``rejected`` has a row a line: (file, line, errors), errors an array of (column, reason, value); a line with broken
     quotes or a wrong number of fields has one error without a column.  Both are lazy and read the files each;
     lines are never shuffled.  A line equal to the header is taken for one.  ``quoted_newlines`` reads records instead of
@@ -92,7 +96,8 @@ def read_csv_checked(spark: SparkSession, path: str | Sequence[str], columns: Ma
     """
     dates = {n: [f] if isinstance(f, str) else list(f) for n, f in (dates or {}).items()}
     names = read_csv_text(spark, path, encoding=encoding, delimiter=delimiter).columns
-    missing = [n for n in [*columns, *dates] if n not in names]
+    times = dict(times or {})
+    missing = [n for n in [*columns, *dates, *times] if n not in names]
     if missing:
         raise ValueError(f"columns not in the file: {missing}")
     if quoted_newlines:
@@ -107,13 +112,18 @@ def read_csv_checked(spark: SparkSession, path: str | Sequence[str], columns: Ma
     parsed = lines.withColumn("r", F.from_csv("line", f"{_schema(names)}, __bad string", options))
     broken = F.col("r.__bad").isNotNull() | (_quotes(F.col("line")) % 2 == 1)
     typed, errors = {}, []
-    for name in [*columns, *[n for n in dates if n not in columns]]:
+    for name in dict.fromkeys([*columns, *dates, *times]):
         raw = null_tokens(F.col(f"r.`{name}`"), tokens)
-        kind = "date" if name in dates else columns[name]
-        value = try_date(raw, dates[name]) if name in dates else raw.try_cast(kind) if kind else raw
+        if name in dates:
+            kind, value = "date", try_date(raw, dates[name])
+        elif name in times:
+            kind, value = "time", raw
+        else:
+            kind, value = columns[name], raw.try_cast(columns[name]) if columns[name] else raw
         typed[snake_case(name)] = value
+        read = F.try_to_timestamp(raw, F.lit(times[name])) if name in times else value
         if kind:
-            errors.append(F.when(raw.isNotNull() & value.isNull(), F.struct(
+            errors.append(F.when(raw.isNotNull() & read.isNull(), F.struct(
                 F.lit(name).alias("column"), F.lit(f"not a {kind}").alias("reason"), raw.alias("value"))))
     none = F.lit(None).cast("string")
     whole = F.array(F.struct(none.alias("column"), F.lit("broken quotes or number of fields").alias("reason"), none.alias("value")))
@@ -129,4 +139,29 @@ def reject_counts(rejected: DataFrame) -> DataFrame:
             .groupBy("file", "column", "reason").agg(F.count(F.lit(1)).alias("n")))
 
 
-__all__ = ["csv_records", "read_csv_records", "read_csv_checked", "reject_counts"]
+def _typed(spark: SparkSession, path: str | Sequence[str], columns: Mapping[str, str | None], numbers: Mapping[str, str],
+           encoding: str) -> dict[str, str | None]:
+    present = read_csv_text(spark, path, encoding=encoding).columns
+    return {**columns, **{n: t for n, t in numbers.items() if n in present}}
+
+
+def read_store_checked(spark: SparkSession, path: str | Sequence[str], date_format: str = "M/d/yyyy",
+                       quoted_newlines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Retail order lines (the named columns, parsed dates, calendar parts), and the rejected lines."""
+    types = _typed(spark, path, STORE_COLUMNS, STORE_NUMBERS, "ISO-8859-1")
+    dates = {"Order Date": date_format, "Ship Date": date_format}
+    good, rejected = read_csv_checked(spark, path, types, dates, "ISO-8859-1", quoted_newlines=quoted_newlines)
+    return good.withColumns({"order_month": month_number("order_date"), "order_year": year_number("order_date"),
+                             "order_day_of_week": weekday_number("order_date")}), rejected
+
+
+def read_restaurant_checked(spark: SparkSession, path: str | Sequence[str], date_formats: Sequence[str] = ("d-M-yyyy", "d/M/yyyy"),
+                            quoted_newlines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Restaurant order lines (the named columns, day-first dates, hours), and the rejected lines."""
+    types = _typed(spark, path, RESTAURANT_COLUMNS, RESTAURANT_NUMBERS, "UTF-8")
+    good, rejected = read_csv_checked(spark, path, types, {"order_date": date_formats}, quoted_newlines=quoted_newlines,
+                                      times={"order_time": "H:m:s"})
+    return good.withColumn("order_hour", hour_of_time("order_time")), rejected
+
+
+__all__ = ["read_store_checked", "read_restaurant_checked", "csv_records", "read_csv_records", "read_csv_checked", "reject_counts"]

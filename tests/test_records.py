@@ -91,3 +91,27 @@ def test_checked_read_of_records(small_splits, tmp_path):
     assert {e.column for r in rejected.collect() for e in r.errors} == {"b"}
     with pytest.raises(ValueError):
         read_csv_checked(spark, path, {"none": "bigint"})
+
+
+def test_runner_with_rejects(spark, tmp_path):
+    """The reports over the good lines, the rejected ones beside them."""
+    from tally.__main__ import main
+    (tmp_path / "s.csv").write_bytes("""Order Date,Ship Date,Category,Sub-Category,Segment,Sales,Profit,Quantity
+1/2/2015,1/3/2015,A,a,Home,10.5,1.25,1
+31/2/2015,1/3/2015,A,a,Home,99,9,1
+2/2/2015,2/3/2015,B,b,Caf\u00e9,4.5,-1,2
+2/5/2015,,B,b,Home,much,1,x
+""".encode("latin-1"))
+    out = str(tmp_path / "out")
+    assert main(["--store-csv", str(tmp_path / "s.csv"), "--out", out, "--rejects", "sales_by_month", "sales_profit_by_segment"]) == 0
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/sales_by_month").orderBy("order_month").collect()] == [(1, 10.5), (2, 4.5)]
+    assert {r.segment for r in spark.read.parquet(f"{out}/sales_profit_by_segment").collect()} == {"Home", "Caf\u00e9"}
+    counts = {(r.column, r.reason): r.n for r in spark.read.json(f"{out}/reject_counts").collect()}
+    assert counts == {("Order Date", "not a date"): 1, ("Sales", "not a decimal(22,6)"): 1, ("Quantity", "not a bigint"): 1}
+    (tmp_path / "r.csv").write_text("""order_id,quantity,order_date,order_time,total_price,pizza_category,pizza_size,pizza_name,pizza_ingredients
+1,1,13-02-2015,9:05:03,10.0,V,S,x,"a, b"
+2,1,13-02-2015,24:00:00,10.0,V,S,x,"a, b"
+""")
+    assert main(["--restaurant-csv", str(tmp_path / "r.csv"), "--out", out, "--rejects", "--sizes", "S", "orders_by_hour"]) == 0
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/orders_by_hour").collect()] == [(9, 1)]
+    assert [e.reason for r in spark.read.json(f"{out}/rejected").collect() for e in r.errors] == ["not a time"]
