@@ -25,6 +25,8 @@ from tally.session import ensure_checkpoint_dir
 SKETCH_K = 4000
 #: Rows expected in an interval, beyond which it is narrowed by a scan of its own.
 INSIDE = 2_000_000
+#: Rows up to which the counting scan is dealt out anew.
+SPREAD = 5_000_000
 #: Decimals that the exact sums carry.
 EXACT_SCALE = 6
 _LIMB = 27  # bits of the lower limb of a value, and of a product
@@ -136,6 +138,10 @@ def bracketed_counts(df: DataFrame, cols: Sequence[str], probs: Sequence[tuple[s
     sizes = row.select(*[c for i in range(len(cols)) for c in (f"n_{i}", f"avg_{i}")]).first()
     state = {c: _Column(sizes[f"n_{i}"], sizes[f"avg_{i}"], probs) for i, c in enumerate(cols)}
     first = True
+    if max((x.n for x in state.values()), default=0) <= SPREAD:
+        # a small table may lie in one row group, which one task reads: the counting is worth a shuffle then
+        at = [F.col(f"`{c}`") for c in cols]
+        df = df.select(*at).repartition(df.sparkSession.sparkContext.defaultParallelism, *at)
     while True:
         filled = [(i, c) for i, c in enumerate(cols) if state[c].n]
         if filled and names:
