@@ -3,12 +3,12 @@
 A page is read into text lines (its blocks), each marked by the element it stands
 in.  Pages of a host are paired by URL path: of its two neighbours in path order a
 page takes the one whose path shares the longer beginning.  The longest common
-subsequence of the two pages' lines is template text, and deleted, unless the line
-stands in an ``article`` or ``main`` element: there, equal lines are copies of an
-article and stay.  Lines in menus, footers, adverts, forms, comments and the like are
-no main text, but an article within a marked wrapper or a form is; where a page has an
-article, only lines within it are main text.  Where structure leaves nothing of a page, the
-differencing decides over all of its lines.
+subsequence of the two pages' lines is template text, and deleted.  Lines in menus,
+footers, adverts, forms, comments and the like are no main text, but an article within
+a marked wrapper or a form is; where a page has an ``article`` or ``main`` element, only
+lines within it are main text.  There, equal lines may be copies of an article, so a line
+is template only if both neighbours share it (``furniture``).  Where structure leaves
+nothing of a page, the differencing decides over all of its lines.
 """
 
 from __future__ import annotations
@@ -260,17 +260,55 @@ def common_lines(a: list, b: list) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> str:
-    """Main text of a page given all its lines and its neighbour's (None: no neighbour on the host)."""
+#: An article that shares more than one in COPY of its characters with another is a copy of it; a run of
+#: shared lines is furniture if it holds at most one in SHORT of an article's characters.
+COPY, SHORT = 2, 10
+
+
+def _chars(lines: list[str]) -> int:
+    return sum(map(len, lines))
+
+
+def furniture(article: list[str], others: list[list[str]]) -> set[int]:
+    """Indices of the article's lines that belong to the template of its host.
+
+    Those are lines in the longest common subsequence with each of the two neighbours' articles, in
+    runs that are short against all three.  A page beside a copy of its article, or with one neighbour
+    only, loses no line: there, what is shared may be text.
+    """
+    if len(others) < 2:
+        return set()
+    least = _chars(article)
+    shared = set(range(len(article)))
+    for other in others:
+        found = common_lines(article, other)
+        least = min(least, _chars(other))
+        if COPY * _chars([article[i] for i in found]) > min(_chars(article), _chars(other)):
+            return set()
+        shared &= found
+    out: set[int] = set()
+    for i in sorted(shared):
+        if i - 1 not in shared:
+            run = [i]
+            while run[-1] + 1 in shared:
+                run.append(run[-1] + 1)
+            if SHORT * _chars([article[k] for k in run]) <= least:
+                out.update(run)
+    return out
+
+
+def main_text(lines: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None,
+              other: list[tuple[int, str]] | None = None) -> str:
+    """Main text of a page given all its lines, its nearest neighbour's and its other neighbour's (None: no such page)."""
     if any(w == INSIDE for w, _ in lines):
-        kept = [t for w, t in lines if w == INSIDE]
+        mine = [t for w, t in lines if w == INSIDE]
+        shared = furniture(mine, [[t for w, t in page if w == INSIDE] for page in (neighbour, other) if page is not None])
     else:
         structured = any(w != DROPPED for w, _ in lines)  # else the structure left nothing
         mine = [t for w, t in lines if not structured or w != DROPPED]
         theirs = [t for w, t in neighbour or () if not structured or w != DROPPED]
         shared = common_lines(mine, theirs)
-        kept = [t for i, t in enumerate(mine) if i not in shared]
-    return "\n".join(kept)
+    return "\n".join(t for i, t in enumerate(mine) if i not in shared)
 
 
 # --- the distributed job -------------------------------------------------------------
@@ -355,7 +393,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 return []
             near = [x for x in (before, after) if x is not None and x[0] == current[0] and x[1] == current[1]]
             mate = max(near, key=lambda x: _common_prefix(x[2], current[2]), default=None)  # a tie: the one before
-            text = main_text(current[7], mate[7] if mate else None)
+            other = next((x for x in near if x is not mate), None)
+            text = main_text(current[7], mate[7] if mate else None, other[7] if other else None)
             return [(current[5], current[6], text, len(text))]
 
         for b in batches:

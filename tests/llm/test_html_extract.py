@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.llm import html_extract
-from tally.llm.html_extract import INSIDE, OUTSIDE, all_lines, common_lines, extract, lines_of, main_text
+from tally.llm.html_extract import INSIDE, OUTSIDE, all_lines, common_lines, extract, furniture, lines_of, main_text
 from tests.llm.common import DATA, empty_like
 
 
@@ -130,3 +130,43 @@ def test_deeply_nested_pages_are_linear():
     seconds(1000)
     small, large = min(seconds(4000) for _ in range(3)), min(seconds(64000) for _ in range(3))
     assert large < 16 * 6 * small + 0.5
+
+
+def article(path, *lines):
+    return f"http://h.org{path}", "<nav>Menu</nav><article>" + "".join(f"<p>{x}" for x in lines) + "</article><footer>f"
+
+
+def test_differencing_decides_pages_with_an_article(spark):
+    """Short runs that both neighbours share are template; copies of articles and text of one neighbour stay."""
+    body = {k: [f"{k} says {w} " * 9 for w in ("this", "that", "more")] for k in "abcdefgh"}
+    top, ad, end = "By our staff", "Advertisement", "Subscribe to our letter"
+    full = {1: ("/a/1", top, *body["a"], end), 2: ("/a/2", top, body["b"][0], ad, *body["b"][1:], end),
+            3: ("/a/3", top, body["c"][0], ad, *body["c"][1:], end), 4: ("/a/4", top, body["d"][0], ad, *body["d"][1:], end),
+            5: ("/c/1", "Of one pair", *body["e"]), 6: ("/c/2", "Of one pair", *body["f"]),
+            7: ("/d/1", top, *body["g"], end), 8: ("/d/2", top, *body["g"], end), 9: ("/d/3", top, *body["h"], end)}
+    df = spark.createDataFrame([(k, *article(*v)) for k, v in full.items()], "page_id long, url string, html string")
+    want = {k: list(v[1:]) for k, v in full.items()}
+    want[2] = [x for x in want[2] if x not in (top, end)]  # page 1 has no advertisement
+    want[3] = body["c"]  # all three stand in pages 2 and 4
+    for n in (1, 3, 8):
+        assert {r.page_id: r.text.split("\n") for r in extract(df, partitions=n).collect()} == {
+            k: [" ".join(x.split()) for x in v] for k, v in want.items()}
+
+
+def test_article_pages_are_paired_with_both_neighbours_of_their_host(spark):
+    """Against a plain loop over all pages in path order."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(150):
+        body = [f"text {rnd.random()} of some length {rnd.random()}" * 2 for _ in range(rnd.randint(0, 4))]
+        lines = [rnd.choice(("Read on", "Share this", "Tags")) for _ in range(rnd.randint(0, 2))] + body + ["The end"] * rnd.randint(0, 1)
+        rows.append((k, f"http://h{k % 4}.org/{rnd.choice('xy')}/{rnd.randint(0, 400):04d}", "<article><p>" + "<p>".join(lines) + "</article>"))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string"), partitions=5).collect()}
+    pages = sorted(((u.split("/")[2], u.split("/", 3)[3], k, [t for _, t in all_lines(h)]) for k, u, h in rows))
+    cut = 0
+    for i, (host, _, k, mine) in enumerate(pages):
+        near = [pages[j][3] for j in (i - 1, i + 1) if 0 <= j < len(pages) and pages[j][0] == host]
+        gone = furniture(mine, near)
+        cut += len(gone)
+        assert got[k] == "\n".join(t for j, t in enumerate(mine) if j not in gone)
+    assert cut > 5
