@@ -66,9 +66,13 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "lineitem")
 
 
-def _net_units():
+LINE_CENTS = {"price": "l_extendedprice", "discount": "l_discount", "units": "l_quantity"}
+
+
+def _net_units(price=None, discount=None):
     """A line's net price, price x (1 - discount), in whole 1/10,000 units (bigint)."""
-    return cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
+    price, discount = (c if c is not None else cents(n) for c, n in ((price, "l_extendedprice"), (discount, "l_discount")))
+    return price * (F.lit(100) - discount)
 
 
 def _profit_units():
@@ -129,9 +133,11 @@ def _line_profit(lines: DataFrame, part: DataFrame) -> DataFrame:
 NET_PARTS = {"net_whole": "net_whole", "net_rem": "net_rem", "qty": "qty"}
 
 
-def _net_parts() -> dict:
-    """A line without a net price or without units has no profit: neither part of it counts."""
-    net, qty = _net_units(), cents("l_quantity")
+def _net_parts(price=None, discount=None, units=None) -> dict:
+    """A line without a net price or without units has no profit: neither part of it counts.
+
+    Of raw lines, or of lines whose price, discount and units are whole cents (``LINE_CENTS``) already."""
+    net, qty = _net_units(price, discount), units if units is not None else cents("l_quantity")
     whole, rem = split_units(F.when(qty.isNotNull(), net), 4)
     return {"net_whole": whole, "net_rem": rem, "qty": F.when(net.isNotNull(), qty)}
 
@@ -425,8 +431,8 @@ def _segment_sums(spark: SparkSession, d: str) -> DataFrame:
     """Sales and profit per segment.
 
     With a small part table: priced lines -> orders -> customers, summed at each grain.
-    With a large one: lines -> orders (the one line-grain shuffle) folded to (customer,
-    part), -> customers folded to (segment, part), -> part.
+    With a large one: orders -> customers, so that lines meet their segment with their order
+    (the one line-grain shuffle), as three narrow numbers; folded to (segment, part), -> part.
     """
     part = _part(spark, d, "p_retailprice")
     orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -437,12 +443,12 @@ def _segment_sums(spark: SparkSession, d: str) -> DataFrame:
         per_cust = rollup_join(per_order, "o_custkey", customers, "c_custkey", measures)
         totals = sum_by(per_cust, "segment", measures)
         return _profit_total(_dollars(totals, "sales", as_double=False), as_double=False)
-    lines = _lines(spark, d).select("l_orderkey", "l_partkey", cents("l_extendedprice").alias("sales"),
-                                    *[e.alias(n) for n, e in _net_parts().items()])
-    measures = {"sales": "sales", **NET_PARTS}
-    ordered = join_dim(lines, orders, "l_orderkey", "o_orderkey")
-    per_cust = rollup_join(ordered, "o_custkey", customers, "c_custkey", measures, fact_keys=["l_partkey"])
-    folded = sum_by(per_cust, ["segment", "l_partkey"], measures)
+    lines = _lines(spark, d).select("l_orderkey", "l_partkey", *[cents(c).alias(n) for n, c in LINE_CENTS.items()])
+    placed = join_dim(orders, customers, "o_custkey", "c_custkey").select("o_orderkey", "segment")
+    ordered = (join_dim(lines, placed, "l_orderkey", "o_orderkey") if fits_broadcast(orders)
+               else lines.join(placed, lines["l_orderkey"] == placed["o_orderkey"]))
+    measures = {"sales": F.col("price"), **_net_parts(F.col("price"), F.col("discount"), F.col("units"))}
+    folded = sum_by(ordered, ["segment", "l_partkey"], measures)
     priced = folded.join(part, folded["l_partkey"] == part["p_partkey"])
     rows = priced.select("segment", from_cents("sales").alias("sales"), _priced_profit().alias("profit"))
     return sum_by(rows, "segment", {"sales": "sales", "profit": "profit"})

@@ -156,3 +156,47 @@ def test_profit_of_lines_without_a_measure_is_the_same_in_both_plans(spark, tmp_
     assert run() == small
     for n in names:
         assert abs(sum(r[-1] for r in small[n]) - float(want)) < 1e-6, n
+
+
+@pytest.mark.parametrize("name", ["sales_profit_by_segment", "sales_to_profit_ratio"])
+def test_lines_are_not_shuffled_by_customer(no_broadcast, name):
+    """Orders meet customers before lines: two exchanges are at line grain, by order and by (segment, part)."""
+    text = plan(entry.queries()[name](no_broadcast, D))
+    exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: (\w+)\((.*?), \d+\)", text)
+    by = {re.sub(r"#\d+L?", "", keys): re.sub(r"#\d+L?", "", columns).split(", ") for columns, _, keys in exchanges}
+    assert by["o_custkey"] == ["o_orderkey", "o_custkey"] and by["o_orderkey"] == ["o_orderkey", "segment"]
+    assert by["l_orderkey"] == ["l_orderkey", "l_partkey", "price", "discount", "units"]
+    assert set(by) == {"o_custkey", "c_custkey", "o_orderkey", "l_orderkey", "segment, l_partkey", "l_partkey", "p_partkey", "segment",
+                       "segment ASC NULLS FIRST"}
+
+
+def test_segments_with_repeated_and_missing_keys(spark, tmp_path, request):
+    """Every match of a line counts, whatever the part table's size; rows without a key or a segment have none."""
+    from collections import defaultdict
+    part = [(1, 10.5), (2, 0.25), (2, 3.0), (None, 9.0), (4, None), (5, float("nan")), *((k, 1.0) for k in range(10, 40))]
+    customers = [(1, "A"), (1, "B"), (2, "A"), (3, None), (None, "C"), (4, "D")]
+    orders = [(1, 1), (1, 2), (2, 2), (3, 3), (4, None), (None, 1), (5, 4), (6, 99)]
+    lines = [(o, p, q, x, y) for o in (1, 2, 3, 4, 5, 6, 7, None) for p in (1, 2, 4, 5, 6, None)
+             for q, x, y in ((3.0, 100.25, 0.05), (None, 7.0, 0.1), (2.0, 5.5, None), (1.0, None, 0.0))]
+    for name, rows, schema in (("part", part, "p_partkey long, p_retailprice double"), ("customer", customers, "c_custkey long, c_mktsegment string"),
+                               ("orders", orders, "o_orderkey long, o_custkey long"),
+                               ("lineitem", lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    sales, profit = defaultdict(int), defaultdict(int)
+    for o, p, q, x, y in lines:
+        for seg in (s for k, c in orders if k == o is not None for c2, s in customers if c2 == c is not None and s):
+            for price in (r for k, r in part if k == p is not None):
+                sales[seg] += round((x or 0) * 100)
+                if None not in (q, x, y, price) and price == price:
+                    profit[seg] += round(x * 100) * (100 - round(y * 100)) - round(q * 100) * round(price * 100)
+    want = sorted((s, sales[s] / 100, profit[s] / 10000) for s in sales)
+    run = lambda: [tuple(r) for r in reports.sales_profit_by_segment(spark, str(tmp_path)).collect()]
+    small = run()
+    request.getfixturevalue("no_broadcast")
+    large = run()
+    spark.conf.set("tally.broadcast.maxBytes", "1000")  # the orders fit, the parts do not; the fixture unsets it
+    assert "BroadcastHashJoin" in plan(reports.sales_profit_by_segment(spark, str(tmp_path)))
+    between = run()
+    assert [r[0] for r in want] == ["A", "B", "D"]
+    assert [(s, pytest.approx(a), pytest.approx(b)) for s, a, b in want] == small
+    assert small == large == between
